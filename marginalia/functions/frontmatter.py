@@ -10,7 +10,7 @@ import json
 import math
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,7 +94,7 @@ def merge_frontmatter(content: str, payload: dict) -> str:
     return f"---\n{dump_yaml(merged)}\n---\n{gap}{body}"
 
 
-def _json(content: str | None) -> str:
+def _json(content: str | None) -> str | None:
     try:
         text, _ = split_note(content or "")
         return json.dumps(_plain(load_yaml(text)) if text else {}, ensure_ascii=False)
@@ -102,22 +102,24 @@ def _json(content: str | None) -> str:
         return None
 
 
-@F.pandas_udf(T.StringType())
-def frontmatter_json(content: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def frontmatter_json(content: pa.Array) -> pa.Array:
     """Front matter as JSON text; ``{}`` when there is none, NULL when it is not valid YAML."""
-    return content.map(_json)
+    return pa.array([_json(c) for c in content.to_pylist()], pa.string())
 
 
-@F.pandas_udf(T.StructType([T.StructField("content", T.StringType()), T.StructField("error_code", T.StringType())]))
-def set_frontmatter(content: pd.Series, payload: pd.Series) -> pd.DataFrame:
+def _merged(content: str, payload: str) -> dict:
+    try:
+        fields = json.loads(payload)
+        if not isinstance(fields, dict):
+            raise ValueError
+        return {"content": merge_frontmatter(content, fields), "error_code": None}
+    except (ValueError, TypeError):
+        return {"content": None, "error_code": "INVALID_FRONTMATTER_PAYLOAD"}
+
+
+@F.arrow_udf(T.StructType([T.StructField("content", T.StringType()), T.StructField("error_code", T.StringType())]))
+def set_frontmatter(content: pa.Array, payload: pa.Array) -> pa.Array:
     """Merge a JSON object into the front matter; a bad payload gives an error code."""
-    rows = []
-    for text, raw in zip(content, payload):
-        try:
-            fields = json.loads(raw)
-            if not isinstance(fields, dict):
-                raise ValueError
-            rows.append((merge_frontmatter(text, fields), None))
-        except (ValueError, TypeError):
-            rows.append((None, "INVALID_FRONTMATTER_PAYLOAD"))
-    return pd.DataFrame(rows, columns=["content", "error_code"])
+    rows = [_merged(c, p) for c, p in zip(content.to_pylist(), payload.to_pylist())]
+    return pa.array(rows, pa.struct([("content", pa.string()), ("error_code", pa.string())]))

@@ -6,7 +6,7 @@ import posixpath
 import re
 from urllib.parse import unquote_to_bytes
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,16 +56,16 @@ def directory_path(raw: str | None) -> str:
     return "" if path == "." else path
 
 
-@F.pandas_udf(T.StructType([T.StructField("path", T.StringType()), T.StructField("error_code", T.StringType())]))
-def safe_note_path(raw: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(T.StructType([T.StructField("path", T.StringType()), T.StructField("error_code", T.StringType())]))
+def safe_note_path(raw: pa.Array) -> pa.Array:
     """Column form of :func:`note_path`: the clean path, or an error code."""
     rows = []
-    for value in raw:
+    for value in raw.to_pylist():
         try:
-            rows.append((note_path(value or ""), None))
+            rows.append({"path": note_path(value or ""), "error_code": None})
         except NoteError as exc:
-            rows.append((None, exc.code))
-    return pd.DataFrame(rows, columns=["path", "error_code"])
+            rows.append({"path": None, "error_code": exc.code})
+    return pa.array(rows, pa.struct([("path", pa.string()), ("error_code", pa.string())]))
 
 
 def in_directory(path: Column, directory: str | None) -> Column:

@@ -5,15 +5,16 @@ from __future__ import annotations
 import difflib
 import json
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from marginalia.errors import BatchLimitExceeded, BlockNotFound, FreeformEditFailed, HeadingNotFound, InvalidFrontmatter, NoteError
 from marginalia.functions.frontmatter import merge_frontmatter
 from marginalia.functions.markdown import parse_note, with_blocks
-from marginalia.functions.text import let, replace_first
+from marginalia.functions.text import let, replace_first, unnest
 from marginalia.operators.chunks import find_block, find_heading, section_end
 from marginalia.operators.fuzzy import THRESHOLD, best_of
 
@@ -115,14 +116,18 @@ def patch(
             first = F.lit(0)
         return F.when(i.isNotNull(), _splice(old, first, last, content))
 
-    changed = source.select("path", old.alias("old_content"), let(at, cut).alias("content"))
+    # Going through a generator keeps the spliced text a plain column, so that a
+    # Python function applied to it later does not absorb the lambda expressions.
+    result = F.array(F.struct(old.alias("old_content"), let(at, cut).alias("content")))
+    changed = unnest(source, result, "path")
     return changed.withColumn("error_code", F.when(F.col("content").isNull(), missing))
 
 
-@F.pandas_udf(T.StringType())
-def unified_diff(path: pd.Series, old: pd.Series, new: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def unified_diff(path: pa.Array, old: pa.Array, new: pa.Array) -> pa.Array:
     """Preview of an edit in unified form; empty when nothing changes."""
-    return pd.Series([diff_text(p, a or "", b or "") for p, a, b in zip(path, old, new)])
+    rows = zip(path.to_pylist(), old.to_pylist(), new.to_pylist())
+    return pa.array([diff_text(p, a or "", b or "") for p, a, b in rows], pa.string())
 
 
 def diff_text(path: str, old: str, new: str) -> str:
@@ -225,10 +230,10 @@ OP_TYPES = {
 
 
 def _fold(dry_run: bool):
-    @F.pandas_udf(STEPS)
-    def run(path: pd.Series, content: pd.Series, ops: pd.Series) -> pd.Series:
+    @F.arrow_udf(STEPS)
+    def run(path: pa.Array, content: pa.Array, ops: pa.Array) -> pa.Array:
         out = []
-        for name, text, batch in zip(path, content, ops):
+        for name, text, batch in zip(path.to_pylist(), content.to_pylist(), ops.to_pylist()):
             steps, current = [], text
             for op in batch:
                 step = {"seq": op["seq"], "error": None, "content": None, "diff": None}
@@ -245,7 +250,7 @@ def _fold(dry_run: bool):
                     step["error"] = str(exc)
                 steps.append(step)
             out.append(steps)
-        return pd.Series(out)
+        return pa.array(out, to_arrow_type(STEPS))
 
     return run
 

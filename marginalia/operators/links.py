@@ -5,7 +5,6 @@ from __future__ import annotations
 import posixpath
 import re
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,18 +45,18 @@ def scan_wikilinks(content: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.struct([("target", pa.string()), ("off", pa.int32()), ("len", pa.int32()), ("line", pa.int32())])))
 
 
-@F.pandas_udf(T.StringType())
-def relative_target(source_path: pd.Series, url: pd.Series) -> pd.Series:
-    """Vault path a relative link points to; NULL when only an anchor or query remains."""
+def _relative(source: str, link: str) -> str | None:
+    clean = link.split("#")[0].split("?")[0]
+    if not clean:
+        return None
+    joined = posixpath.normpath((posixpath.dirname(source) or ".") + "/" + clean)
+    return joined + "/" if clean.endswith("/") and not joined.endswith("/") else joined
 
-    def resolve(source: str, link: str) -> str | None:
-        clean = link.split("#")[0].split("?")[0]
-        if not clean:
-            return None
-        joined = posixpath.normpath((posixpath.dirname(source) or ".") + "/" + clean)
-        return joined + "/" if clean.endswith("/") and not joined.endswith("/") else joined
 
-    return pd.Series([resolve(s, u) for s, u in zip(source_path, url)])
+@F.arrow_udf(T.StringType())
+def relative_target(source_path: pa.Array, url: pa.Array) -> pa.Array:
+    """Vault path a relative link points to; NULL when only an anchor or query remains."""
+    return pa.array([_relative(s, u) for s, u in zip(source_path.to_pylist(), url.to_pylist())], pa.string())
 
 
 def wikilinks(notes: DataFrame) -> DataFrame:

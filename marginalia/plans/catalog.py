@@ -49,7 +49,9 @@ def query(fn: Query) -> Query:
 
 
 def r6(x: Column | str) -> Column:
-    return F.round(x, 6)
+    """Six digits, halves (within the last bits) up, spelled out: engines round exact halves differently."""
+    value = F.col(x) if isinstance(x, str) else x
+    return F.floor(value * F.lit(1e6) + F.lit(0.5000001)) / F.lit(1e6)
 
 
 def md5(x: str) -> Column:
@@ -390,7 +392,7 @@ def vector_pad_truncate(spark, sf):
     rows = table(spark, sf, "embeddings").select("vec_id", F.explode(F.array(F.lit(48), F.lit(80))).alias("dims"), "embedding")
     fitted = F.when(F.col("dims") == 48, vectors.fit(F.col("embedding"), 48)).otherwise(vectors.fit(F.col("embedding"), 80))
     total = F.aggregate("f", F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return rows.select("vec_id", "dims", fitted.alias("f")).select("vec_id", "dims", F.size("f").alias("n"), F.round(total, 5).alias("total"))
+    return rows.select("vec_id", "dims", fitted.alias("f")).select("vec_id", "dims", F.size("f").alias("n"), r6(total).alias("total"))
 
 
 @query

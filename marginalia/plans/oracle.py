@@ -221,7 +221,7 @@ SELECT pos, path, heading, md5(got) AS content_md5, got IS NOT NULL AS found, CA
         SELECT 'v' || vec_id AS doc_path, 0 AS chunk_idx, round(embedding[1]::DOUBLE, 6) AS first, 64 AS n FROM embeddings
         WHERE 'v' || vec_id NOT IN (SELECT doc_path FROM n) UNION ALL SELECT doc_path, chunk_idx, round(f::DOUBLE, 6), 64 FROM n""",
     "vector_delete": "SELECT 'v' || vec_id AS doc_path, 0 AS chunk_idx FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)",
-    "vector_pad_truncate": """SELECT vec_id, dims, dims AS n, round(list_sum(embedding[1:dims]::DOUBLE[]), 5) AS total
+    "vector_pad_truncate": """SELECT vec_id, dims, dims AS n, round(list_sum(embedding[1:dims]::DOUBLE[]), 6) AS total
         FROM embeddings, (SELECT unnest([48, 80]) AS dims)""",
     "index_size": f"WITH {VAULT} SELECT count(DISTINCT path) AS documents, count(*) AS chunks FROM chunks",
     "point_ids": f"""WITH {VAULT}, h AS (SELECT path, chunk_idx, sha256(path || '::' || chunk_idx) AS s FROM chunks)
@@ -293,3 +293,21 @@ SELECT pos, path, heading, md5(got) AS content_md5, got IS NOT NULL AS found, CA
         HAVING max(us) + 3600000000 <= (SELECT max({MICROS}) FROM events)""",
     "workflow_stream": f"WITH RECURSIVE {WORKFLOW} SELECT * FROM final",
 }
+
+
+def half_up(sql: str) -> str:
+    """Spell ``round(x, 6)`` out as arithmetic, since engines round exact halves differently."""
+    start = sql.find("round(")
+    if start < 0:
+        return sql
+    depth, end = 0, start + 5
+    while end < len(sql):
+        depth += {"(": 1, ")": -1}.get(sql[end], 0)
+        if depth == 0:
+            break
+        end += 1
+    inner = sql[start + 6 : end].removesuffix(", 6")
+    return f"{sql[:start]}(floor(({half_up(inner)}) * 1e6::DOUBLE + 0.5000001::DOUBLE) / 1e6::DOUBLE){half_up(sql[end + 1 :])}"
+
+
+ORACLE = {name: half_up(sql) for name, sql in ORACLE.items()}
