@@ -11,7 +11,7 @@ import re
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,16 +44,6 @@ CHUNKS = T.ArrayType(
         ]
     )
 )
-LINKS = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("url", T.StringType()),
-            T.StructField("line", T.IntegerType()),
-            T.StructField("off", T.IntegerType()),
-        ]
-    )
-)
-
 # The white space that separates words and is trimmed.
 TRIMMED = "\t\n\v\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 WORD = re.compile(f"[^{TRIMMED}]+")
@@ -377,7 +367,7 @@ def parse_note(content: str) -> list[Block]:
     return out + scan(lines[end + 1 :], refs)
 
 
-def _list_array(counts: list[int], values: pa.Array) -> pa.Array:
+def list_array(counts: list[int], values: pa.Array) -> pa.Array:
     offsets = [0]
     for c in counts:
         offsets.append(offsets[-1] + c)
@@ -411,20 +401,7 @@ def parse_blocks(content: pa.Array) -> pa.Array:
         start_off=pa.array([b.first.off for b in flat], pa.int32()),
         end_off=pa.array([b.last.off + len(b.last.text) for b in flat], pa.int32()),
     )
-    return _list_array([len(b) for b in notes], values)
-
-
-@F.arrow_udf(LINKS)
-def parse_links(content: pa.Array) -> pa.Array:
-    """Inline markdown links of each note with line and character offset."""
-    notes = [[link for b in parse_note(c or "") for link in b.links] for c in content.to_pylist()]
-    flat = [link for links in notes for link in links]
-    values = _struct(
-        url=pa.array([x[0] for x in flat], pa.string()),
-        line=pa.array([x[1] for x in flat], pa.int32()),
-        off=pa.array([x[2] for x in flat], pa.int32()),
-    )
-    return _list_array([len(links) for links in notes], values)
+    return list_array([len(b) for b in notes], values)
 
 
 def note_chunks(blocks: list[Block]) -> list[tuple]:
@@ -468,13 +445,8 @@ def parse_chunks(content: pa.Array) -> pa.Array:
         end_line=pa.array([x[3] for x in flat], pa.int32()),
         word_count=pa.array([x[4] for x in flat], pa.int32()),
     )
-    return _list_array([len(chunks) for chunks in notes], values)
+    return list_array([len(chunks) for chunks in notes], values)
 
 
 def with_blocks(notes: DataFrame, content: str = "content") -> DataFrame:
     return notes.withColumn("blocks", parse_blocks(F.col(content)))
-
-
-def may_link(content: Column) -> Column:
-    """Notes without these characters cannot hold a vault link."""
-    return content.contains("](") | content.contains("<")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 # The separator classes that decide what a token and a word are.
 TOKEN = "[a-z0-9_]+"
-WORD = "[^\\t-\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]+"
+WORD_SPACE = "[\\t-\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
 PLACEHOLDER = r"\{\{\s*([a-zA-Z0-9_]+)\s*\}\}"
 
 
@@ -45,7 +45,7 @@ def token_count(text: Column) -> Column:
 
 def term_count(text: Column, term: str) -> Column:
     """Occurrences of a query token as a whole token, without building the token list."""
-    return F.regexp_count(F.lower(text), F.lit(f"(?<![a-z0-9_]){term}(?![a-z0-9_])"))
+    return F.regexp_count(F.lower(text), F.lit(f"{term}(?![a-z0-9_])(?<![a-z0-9_]{term})"))
 
 
 def query_terms(query: str) -> list[str]:
@@ -64,7 +64,7 @@ def mentions_any(text: Column, terms: Sequence[str]) -> Column:
 
 def word_count(text: Column) -> Column:
     """Words separated by Unicode white space."""
-    return F.regexp_count(text, F.lit(WORD))
+    return F.size(F.array_remove(F.split(text, WORD_SPACE + "+"), ""))
 
 
 def term_frequency(count: Column, n_tokens: Column) -> Column:
@@ -106,24 +106,20 @@ def _closest(hits: Column, a: str, b: str) -> Column:
     return F.aggregate(hits, start, step, lambda s: s["best"])
 
 
-def proximity(text: Column, terms: Sequence[str], all_present: Column) -> Column:
+def proximity(hits: Column, terms: Sequence[str]) -> Column:
     """Inverse of the mean closest distance between consecutive query terms.
 
-    Each pair is found in one pass over the hits. A missing term or a mean
-    distance of zero gives 0, as does a query of fewer than two terms.
+    ``hits`` comes from :func:`term_hits`; each pair is found in one pass over
+    it. A missing term or a mean distance of zero gives 0, as does a query of
+    fewer than two terms.
     """
     if len(terms) < 2:
         return F.lit(0.0)
-    pairs = len(terms) - 1
-
-    def mean_gap(hits: Column) -> Column:
-        total = _closest(hits, terms[0], terms[1])
-        for a, b in zip(terms[1:], terms[2:]):
-            total = total + _closest(hits, a, b)
-        return total.cast("double") / F.lit(float(pairs))
-
-    distance = F.when(all_present, let(term_hits(tokens(text), terms), mean_gap))
-    return let(distance, lambda avg: F.when(avg > 0, F.lit(1.0) / avg).otherwise(F.lit(0.0)))
+    total = _closest(hits, terms[0], terms[1])
+    for a, b in zip(terms[1:], terms[2:]):
+        total = total + _closest(hits, a, b)
+    mean = total.cast("double") / F.lit(float(len(terms) - 1))
+    return let(mean, lambda avg: F.when(avg > 0, F.lit(1.0) / avg).otherwise(F.lit(0.0)))
 
 
 def normalise(value: Column, top: Column) -> Column:
@@ -149,18 +145,6 @@ def replace_first(text: Column, search: Column, new: Column) -> Column:
     )
 
 
-def line_of(text: Column, offset: Column) -> Column:
-    """1-based line of a 0-based character offset."""
-    before = F.substring(text, F.lit(1), offset)
-    return F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
-
-
-def context_around(text: Column, offset: Column, length: Column) -> Column:
-    """The match with 30 characters on either side, on one line."""
-    start = F.greatest(offset - 30, F.lit(0))
-    return F.replace(F.substring(text, start + 1, offset + length + 30 - start), F.lit("\n"), F.lit(" "))
-
-
 def render_template(text: Column, variables: Column) -> Column:
     """Fill ``{{ name }}`` placeholders from a map, in one pass.
 

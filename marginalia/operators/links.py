@@ -10,41 +10,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.functions.markdown import may_link, parse_links
+from marginalia.functions.markdown import list_array, parse_note
 from marginalia.functions.paths import file_name, path_key
-from marginalia.functions.text import context_around, unnest
+from marginalia.functions.text import unnest
 from marginalia.operators.skew import attach
+from marginalia.session import materialise
 
 # The wikilink form and what counts as an external address.
 WIKILINK = re.compile(r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]")
 EXTERNAL = r"^(?i:[a-z]+://)|^mailto:|^#"
+AROUND = 30
+EXTERNAL_LINK = re.compile(EXTERNAL)
 
-MATCHES = T.ArrayType(
+FOUND = T.ArrayType(
     T.StructType(
         [
+            T.StructField("link_type", T.StringType()),
+            T.StructField("url", T.StringType()),
             T.StructField("target", T.StringType()),
-            T.StructField("off", T.IntegerType()),
-            T.StructField("len", T.IntegerType()),
             T.StructField("line", T.IntegerType()),
+            T.StructField("off", T.IntegerType()),
+            T.StructField("context", T.StringType()),
         ]
     )
 )
 
 
-@F.arrow_udf(MATCHES)
-def scan_wikilinks(content: pa.Array) -> pa.Array:
-    """Targets with offsets, found in the raw text (code and front matter included)."""
-    out = []
-    for text in content.to_pylist():
-        row, line, seen = [], 1, 0
-        for m in WIKILINK.finditer(text or ""):
-            line += text.count("\n", seen, m.start())
-            seen = m.start()
-            row.append({"target": m.group(1), "off": seen, "len": m.end() - seen, "line": line})
-        out.append(row)
-    return pa.array(out, pa.list_(pa.struct([("target", pa.string()), ("off", pa.int32()), ("len", pa.int32()), ("line", pa.int32())])))
-
-
 def _relative(source: str, link: str) -> str | None:
     clean = link.split("#")[0].split("?")[0]
     if not clean:
@@ -59,37 +50,54 @@ def relative_target(source_path: pa.Array, url: pa.Array) -> pa.Array:
     return pa.array([_relative(s, u) for s, u in zip(source_path.to_pylist(), url.to_pylist())], pa.string())
 
 
+def _context(text: str, off: int, length: int) -> str:
+    return text[max(off - AROUND, 0) : off + length + AROUND].replace("\n", " ")
+
+
+def _links_of(path: str, text: str) -> list[tuple]:
+    """Wikilinks of the raw text (code and front matter included), then inline links."""
+    found, line, seen = [], 1, 0
+    for m in WIKILINK.finditer(text):
+        line += text.count("\n", seen, m.start())
+        seen = m.start()
+        found.append(("wikilink", None, m.group(1), line, seen, _context(text, seen, m.end() - seen)))
+    if "](" in text or "<" in text:
+        for url, at_line, off in (link for block in parse_note(text) for link in block.links):
+            target = None if EXTERNAL_LINK.search(url) else _relative(path, url)
+            if target:
+                found.append(("markdown_link", url, target, at_line, off, _context(text, off, len(url) + 4)))
+    return found
+
+
+@F.arrow_udf(FOUND)
+def scan_links(path: pa.Array, content: pa.Array) -> pa.Array:
+    """All links of each note in one pass over its text."""
+    notes = [_links_of(p, c or "") for p, c in zip(path.to_pylist(), content.to_pylist())]
+    flat = [link for links in notes for link in links]
+    types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+    columns = [pa.array([x[i] for x in flat], t) for i, t in enumerate(types)]
+    return list_array([len(x) for x in notes], pa.StructArray.from_arrays(columns, FOUND.elementType.names))
+
+
+def all_links(notes: DataFrame) -> DataFrame:
+    """One row per link: ``path, link_type, url, target, line, off, context``.
+
+    Notes that cannot hold a link are skipped before their text leaves the JVM.
+    """
+    content = F.col("content")
+    linked = notes.filter(content.contains("[[") | content.contains("](") | content.contains("<"))
+    return unnest(linked, scan_links("path", "content"), "path")
+
+
 def wikilinks(notes: DataFrame) -> DataFrame:
-    """One row per wikilink: ``path, target, line, off, len, context``."""
+    """``path, target, line, off, context``."""
     linked = notes.filter(F.col("content").contains("[["))
-    found = linked.select("path", "content", scan_wikilinks("content").alias("w"))
-    snippets = F.transform(
-        "w",
-        lambda x: F.struct(
-            x["target"].alias("target"),
-            x["line"].alias("line"),
-            x["off"].alias("off"),
-            context_around(F.col("content"), x["off"], x["len"]).alias("context"),
-        ),
-    )
-    return unnest(found, snippets, "path")
+    return all_links(linked).filter(F.col("link_type") == "wikilink").drop("link_type", "url")
 
 
 def markdown_links(notes: DataFrame) -> DataFrame:
-    """One row per inline link that stays inside the vault: ``path, url, target, line, off, context``."""
-    linked = notes.filter(may_link(F.col("content")))
-    found = linked.select("path", "content", parse_links("content").alias("w"))
-    snippets = F.transform(
-        F.filter("w", lambda x: ~x["url"].rlike(EXTERNAL)),
-        lambda x: F.struct(
-            x["url"].alias("url"),
-            x["line"].alias("line"),
-            x["off"].alias("off"),
-            context_around(F.col("content"), x["off"], F.length(x["url"]) + 4).alias("context"),
-        ),
-    )
-    rows = unnest(found, snippets, "path")
-    return rows.withColumn("target", relative_target("path", "url")).filter(F.col("target").isNotNull())
+    """Inline links that stay inside the vault: ``path, url, target, line, off, context``."""
+    return all_links(notes).filter(F.col("link_type") == "markdown_link").drop("link_type")
 
 
 def _best(path: str = "file") -> Column:
@@ -137,30 +145,25 @@ def resolve(links: DataFrame, listing: DataFrame, row_id: list[str]) -> DataFram
     """
     named = links.withColumn("name", target_name(F.col("target")))
     names = named.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    return attach(named, resolve_names(names, listing), "name", "n", row_id).drop("name")
+    return attach(named, resolve_names(names, listing), "name", "n", row_id, weights=names).drop("name")
 
 
 def backlinks(notes: DataFrame, listing: DataFrame | None = None) -> DataFrame:
     """Edges ``target_key, source_path, line_number, context, link_type``.
 
     Unresolved wikilinks keep their full text as the key. Links of a note to
-    itself are left out.
+    itself are left out. The links found are written to the shared folder
+    first: they are needed twice, and the notes should be read only once.
     """
-    files = listing if listing is not None else notes
-    wiki = resolve(wikilinks(notes), files, ["path", "off"])
+    found = materialise(all_links(notes), "links")
+    wiki = resolve(found.filter(F.col("link_type") == "wikilink"), listing if listing is not None else notes, ["path", "off"])
     to_note = F.coalesce("resolved", F.concat("target", F.lit(".md")))
-    edges = wiki.select(
-        path_key(to_note).alias("target_key"), F.col("path").alias("source_path"), F.col("line").alias("line_number"), "context", F.lit("wikilink").alias("link_type")
-    ).unionByName(
-        markdown_links(notes).select(
-            path_key(F.col("target")).alias("target_key"),
-            F.col("path").alias("source_path"),
-            F.col("line").alias("line_number"),
-            "context",
-            F.lit("markdown_link").alias("link_type"),
-        )
+    inline = found.filter(F.col("link_type") == "markdown_link")
+    edges = wiki.withColumn("target", to_note).select(*found.columns).unionByName(inline)
+    key = path_key(F.col("target"))
+    return edges.filter(key != path_key(F.col("path"))).select(
+        key.alias("target_key"), F.col("path").alias("source_path"), F.col("line").alias("line_number"), "context", "link_type"
     )
-    return edges.filter(F.col("target_key") != path_key(F.col("source_path")))
 
 
 def backlinks_of(edges: DataFrame, path: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.functions.markdown import with_blocks
+from marginalia.functions.markdown import parse_blocks
 from marginalia.functions.paths import in_directory
 from marginalia.functions.text import render_template
 from marginalia.operators.chunks import section_text
@@ -42,13 +42,10 @@ def bulk_read(notes: DataFrame, items: DataFrame) -> DataFrame:
     asked = items.select("path").distinct()
     needed = notes.join(asked, "path", "left_semi").select("path", "content")
     joined = items.join(needed, "path", "left")
-    whole = joined.filter(F.col("heading").isNull() | F.col("content").isNull()).withColumn("section", F.col("content"))
-    part = joined.filter(F.col("heading").isNotNull() & F.col("content").isNotNull())
-    part = with_blocks(part).withColumn(
-        "section",
-        section_text(F.col("content"), F.col("blocks"), F.col("heading"), F.coalesce("heading_depth", F.lit(DEFAULT_DEPTH))),
+    part = section_text(F.col("content"), F.col("blocks"), F.col("heading"), F.coalesce("heading_depth", F.lit(DEFAULT_DEPTH)))
+    rows = joined.withColumn("blocks", parse_blocks(F.when(F.col("heading").isNotNull(), F.col("content")))).withColumn(
+        "section", F.when(F.col("heading").isNull(), F.col("content")).otherwise(part)
     )
-    rows = whole.unionByName(part.drop("blocks"))
     error = F.when(F.col("content").isNull(), F.concat(F.lit("Note not found: "), "path")).when(
         F.col("section").isNull(), F.concat(F.lit('Heading "'), "heading", F.lit('" not found in '), "path")
     )

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.paths import in_directory
 from marginalia.functions.text import (
+    hit_count,
     idf,
     let,
     mentions_any,
@@ -25,7 +26,9 @@ from marginalia.functions.text import (
     query_terms,
     term_count,
     term_frequency,
+    term_hits,
     token_count,
+    tokens,
     unnest,
 )
 from marginalia.operators.chunks import with_chunks
@@ -48,10 +51,6 @@ def _tfidf(counts: Column, n_tokens: Column, n: Column, dfs: Column, terms: Sequ
     return total
 
 
-def _counts(text: Column, unique: Sequence[str]) -> Column:
-    return F.array(*[term_count(text, t) for t in unique])
-
-
 def _df(ms: Column, i: int) -> Column:
     return F.size(F.filter(ms, lambda m: F.get(m["k"], F.lit(i)) > 0))
 
@@ -66,7 +65,18 @@ def score_array(chunks: Column, query: str, tfidf_weight: float = TFIDF_WEIGHT)
     unique = list(dict.fromkeys(terms))
 
     def measured(c: Column) -> Column:
-        return F.struct(c.alias("c"), token_count(c["text"]).alias("n"), _counts(c["text"], unique).alias("k"))
+        return let(
+            tokens(c["text"]),
+            lambda tk: let(
+                term_hits(tk, terms),
+                lambda hits: F.struct(
+                    c.alias("c"),
+                    F.size(tk).alias("n"),
+                    F.array(*[hit_count(hits, t) for t in unique]).alias("k"),
+                    hits.alias("hits"),
+                ),
+            ),
+        )
 
     def rate(note: Column) -> Column:
         ms, n = note["ms"], note["n"]
@@ -78,7 +88,7 @@ def score_array(chunks: Column, query: str, tfidf_weight: float = TFIDF_WEIGHT)
                 lambda m: F.struct(
                     m["c"].alias("c"),
                     _tfidf(m["k"], m["n"], n, d, terms).alias("tfidf"),
-                    proximity(m["c"]["text"], terms, F.forall(m["k"], lambda k: k > 0)).alias("proximity"),
+                    proximity(m["hits"], terms).alias("proximity"),
                 ),
             ),
         )
@@ -204,7 +214,7 @@ def score_rows(
         *cols,
         counts.alias("_k"),
         token_count(F.col(text)).alias("_t"),
-        proximity(F.col(text), terms, F.coalesce(reduce(and_, has), F.lit(False))).alias("proximity"),
+        F.when(reduce(and_, has), proximity(term_hits(tokens(F.col(text)), terms), terms)).otherwise(F.lit(0.0)).alias("proximity"),
     )
     raw = attach(rated, stats, scope, "_w", list(row_id)).select(
         *cols, _tfidf(F.col("_k"), F.col("_t"), F.col("_n"), F.col("_df"), terms).alias("tfidf"), "proximity"

@@ -18,6 +18,7 @@ from marginalia.functions.text import (
     round3,
     term_count,
     term_frequency,
+    term_hits,
     token_count,
     tokens,
     word_count,
@@ -251,9 +252,8 @@ def tfidf_corpus_scope(spark, sf):
 @query
 def proximity_scores(spark, sf):
     text = F.col("text")
-    both = (term_count(text, "the") > 0) & (term_count(text, "of") > 0)
     lines = document_lines(spark, sf).filter(mentions_any(text, ["the"]) & mentions_any(text, ["of"]))
-    return lines.select("doc_id", "line", proximity(text, ["the", "of"], both).alias("p")).filter("p > 0").select("doc_id", "line", r6("p").alias("score"))
+    return lines.select("doc_id", "line", proximity(term_hits(tokens(text), ["the", "of"]), ["the", "of"]).alias("p")).filter("p > 0").select("doc_id", "line", r6("p").alias("score"))
 
 
 @query

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +54,18 @@ def shared_dir(spark: SparkSession) -> str:
     return configured
 
 
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    For results that are costly to compute and used more than once. Lost
+    executors do not lose it, and its real size is known to the planner.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-repartition by a unique key, but only when the scan has too few splits.
 
