@@ -294,7 +294,7 @@ def batch_edit(notes: DataFrame, ops: DataFrame, dry_run: bool = False) -> DataF
         .agg(F.array_sort(F.collect_list(F.struct(F.col("seq").cast("int").alias("seq"), *fields))).alias("ops"))
     )
     needed = notes.join(lists.select("path").distinct(), "path", "left_semi").select("path", F.col("content"))
-    joined = lists.join(needed, "path", "left")
+    joined = lists.join(needed.hint("merge"), "path", "left")
     actions = F.transform("ops", lambda o: o["operation"])
     folded = joined.select("batch_id", "path", actions.alias("actions"), _fold(dry_run)("path", "content", "ops").alias("s"))
     paired = F.zip_with(

@@ -36,12 +36,13 @@ def bulk_read(notes: DataFrame, items: DataFrame) -> DataFrame:
     """Whole notes or single sections; a failing item reports its own error.
 
     ``items`` is ``pos, path, heading, heading_depth``. Only requested notes
-    pass the semi join, and only notes asked for by section are parsed. A note
+    pass the semi join, and only notes asked for by section are parsed. The
+    texts are shuffled, never broadcast, whatever their estimated size; a note
     that very many items ask for is split by the adaptive skew join.
     """
     asked = items.select("path").distinct()
     needed = notes.join(asked, "path", "left_semi").select("path", "content")
-    joined = items.join(needed, "path", "left")
+    joined = items.join(needed.hint("merge"), "path", "left")
     part = section_text(F.col("content"), F.col("blocks"), F.col("heading"), F.coalesce("heading_depth", F.lit(DEFAULT_DEPTH)))
     rows = joined.withColumn("blocks", parse_blocks(F.when(F.col("heading").isNotNull(), F.col("content")))).withColumn(
         "section", F.when(F.col("heading").isNull(), F.col("content")).otherwise(part)

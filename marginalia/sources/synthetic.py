@@ -36,8 +36,10 @@ def vault(spark: SparkSession, sf_dir: str) -> DataFrame:
         r"array_join(transform(ls, (x, i) -> concat('## Part ', i, '\n\n', x, "
         r"' [[doc-', (doc_id*31 + i*17) % 997, ']]\n')), '\n'))"
     )
+    # The generator keeps the assembled text a plain column, as a stored note
+    # would be; filters on it would otherwise repeat the assembly below the shuffle.
     return docs.select("doc_id", "source", "lang", doc_path().alias("path"), lines.alias("ls")).select(
-        "doc_id", "source", "lang", "path", content.alias("content")
+        "doc_id", "source", "lang", "path", F.explode_outer(F.array(content)).alias("content")
     )
 
 
