@@ -81,25 +81,26 @@ class Workspace:
     def _vault(self, action: str, a: dict) -> object:
         if action == "list":
             return [r.path for r in self.listing(a.get("directory")).select("path").orderBy("path").collect()]
-        path = note_path(_need(a, "path", action))
+        raw = _need(a, "path", action)
+        path = note_path(raw)
         if action == "read":
-            return self.one(path).first().content
+            return self.one(raw).first().content
         if action in ("create", "update"):
             content = _need(a, "content", action)
             if action == "create" and not self.some(path).isEmpty():
-                raise NoteAlreadyExists(path)
+                raise NoteAlreadyExists(raw)
             self._write(self.spark.createDataFrame([(path, content)], "path string, content string"))
-            return f"Note {'created' if action == 'create' else 'updated'}: {path}"
+            return f"Note {'created' if action == 'create' else 'updated'}: {raw}"
         if action == "delete":
             if delete_files(self.root, self.spark.createDataFrame([(path,)], "path string")).first().error_code:
-                raise NoteNotFound(path)
+                raise NoteNotFound(raw)
             self._index([path])
-            return f"Note deleted: {path}"
+            return f"Note deleted: {raw}"
         if action == "stat":
             folder = path.rpartition("/")[0]
             row = self.listing(folder).filter(F.col("path") == path).first()
             if row is None:
-                raise NoteNotFound(path)
+                raise NoteNotFound(raw)
             return {"sizeBytes": row.size_bytes, "modifiedAt": row.modified_at.isoformat(timespec="milliseconds") + "Z"}
         if action == "create_from_template":
             template = note_path(_need(a, "template_path", action))
@@ -108,9 +109,9 @@ class Workspace:
             )
             made = create_from_template(self.some(path, template).select("path", "content"), request).first()
             if made.error_code:
-                raise NoteAlreadyExists(path) if made.error_code == NoteAlreadyExists.code else NoteNotFound(template)
+                raise NoteAlreadyExists(raw) if made.error_code == NoteAlreadyExists.code else NoteNotFound(a["template_path"])
             self._write(self.spark.createDataFrame([(path, made.content)], "path string, content string"))
-            return f"Note created from template: {path}"
+            return f"Note created from template: {raw}"
         raise ValueError(f"Unknown vault action: {action}")
 
     def _edit(self, action: str, a: dict) -> object:

@@ -302,12 +302,12 @@ def test_tool_calls(spark, vault, tmp_path):
         return json.loads(text)["result"]
 
     assert "hello.md" in call("vault", "list") and call("vault", "list", directory="a") == ["a/b/c/deep.md"]
-    assert call("vault", "create", path="n/new", content="# New\n\nfresh apples\n") == "Note created: n/new.md"
-    assert space.call("vault", "create", path="n/new", content="x") == ("[NOTE_ALREADY_EXISTS] Note already exists: n/new.md", True)
+    assert call("vault", "create", path="n/new", content="# New\n\nfresh apples\n") == "Note created: n/new"
+    assert space.call("vault", "create", path="n/new", content="x") == ("[NOTE_ALREADY_EXISTS] Note already exists: n/new", True)
     assert space.call("vault", "read", path="zz") == ("[NOTE_NOT_FOUND] Note not found: zz", True)
     assert space.call("vault", "read", path="../x")[0].startswith("[PATH_TRAVERSAL]")
     assert call("vault", "stat", path="n/new")["sizeBytes"] == 20
-    assert call("vault", "create_from_template", path="t", template_path="_tpl/.dot", variables={"name": "Ann"}).endswith("t.md")
+    assert call("vault", "create_from_template", path="t", template_path="_tpl/.dot", variables={"name": "Ann"}).endswith(": t")
     assert call("vault", "read", path="t") == "Ann\n"
     assert call("edit", "append", path="hello", heading="Mor", content="Added.")["message"].startswith("Note patched")
     assert call("vault", "read", path="hello").endswith("Text about apples.\n\nAdded.\n")
@@ -332,7 +332,7 @@ def test_tool_calls(spark, vault, tmp_path):
     assert call("workflow", "transition", transition="search")["currentState"] == "exploring"
     assert space.call("workflow", "transition", transition="save")[0].startswith("[INVALID_STATE_TRANSITION]")
     assert len(call("workflow", "history")) == 1 and call("workflow", "reset") == {"currentState": "idle"}
-    assert call("vault", "delete", path="t") == "Note deleted: t.md"
+    assert call("vault", "delete", path="t") == "Note deleted: t"
     status = call("system", "status")
     assert status["backlinkIndexSize"] == 2 and status["indexedDocuments"] > 3
     assert call("system", "overview")["total_files"] == 6
