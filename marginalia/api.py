@@ -155,8 +155,9 @@ class Workspace:
             if not self.store:
                 raise ValueError("semantic_search needs an embedder and an index folder")
             query = _need(a, "query", action)
+            index = self.store.load()
             found = vectors.hybrid_search(
-                self.store.load(), query, embed_query(self.embedder, query), a.get("max_chunks") or HYBRID_LIMIT, directory=a.get("directory")
+                index.drop("text", "heading_path"), query, embed_query(self.embedder, query), a.get("max_chunks") or HYBRID_LIMIT, directory=a.get("directory"), texts=index.select("doc_path", "chunk_idx", "text", "heading_path")
             )
             return _scored(found, "doc_path", "heading_path", "text", "score", "vector_score", "lexical_score")
         if action == "outline":

@@ -18,9 +18,16 @@ from marginalia.functions.text import let, replace_first, unnest
 from marginalia.operators.chunks import find_block, find_heading, section_end
 from marginalia.operators.fuzzy import THRESHOLD, best_of
 
-# Operations per batch, heading depth when none is named.
+# Operations per batch, heading depth when none is named, messages.
 BATCH_LIMIT = 50
 DEFAULT_DEPTH = 2
+START_TOO_LOW = "startLine must be >= 1, got %d"
+END_TOO_HIGH = "endLine %d exceeds file length (%d lines)"
+START_AFTER_END = "startLine (%d) must be <= endLine (%d)"
+NOT_FOUND = 'Search string not found: "%s"'
+NEEDS_LINES = "startLine and endLine are required for line_replace"
+NEEDS_TEXT = "searchText is required for string_replace"
+BAD_JSON = "content is not valid JSON"
 SPACE = " \t\n\v\f\r"
 
 
@@ -29,15 +36,9 @@ def line_replace(content: Column, start: Column, end: Column, new: Column) -> Co
     lines = F.split(content, "\n", -1)
     count = F.size(lines)
     error = (
-        F.when(start < 1, F.concat(F.lit("startLine must be >= 1, got "), start.cast("string")))
-        .when(
-            end > count,
-            F.concat(F.lit("endLine "), end.cast("string"), F.lit(" exceeds file length ("), count.cast("string"), F.lit(" lines)")),
-        )
-        .when(
-            start > end,
-            F.concat(F.lit("startLine ("), start.cast("string"), F.lit(") must be <= endLine ("), end.cast("string"), F.lit(")")),
-        )
+        F.when(start < 1, F.format_string(START_TOO_LOW, start))
+        .when(end > count, F.format_string(END_TOO_HIGH, end, count))
+        .when(start > end, F.format_string(START_AFTER_END, start, end))
     )
     after = F.concat(F.slice(lines, F.lit(1), start - 1), F.array(new), F.slice(lines, end + 1, count))
     return _outcome(error, F.array_join(after, "\n"))
@@ -45,7 +46,7 @@ def line_replace(content: Column, start: Column, end: Column, new: Column) -> Co
 
 def string_replace(content: Column, search: Column, new: Column, replace_all: Column) -> Column:
     """``struct<content,error>``: literal replacement of the first or of every occurrence."""
-    error = F.when(~content.contains(search), F.concat(F.lit('Search string not found: "'), search, F.lit('"')))
+    error = F.when(~content.contains(search), F.format_string(NOT_FOUND, search))
     after = F.when(replace_all, F.replace(content, search, new)).otherwise(replace_first(content, search, new))
     return _outcome(error, after)
 
@@ -195,27 +196,27 @@ def apply_operation(text: str, op: dict) -> str:
     kind, new = op["operation"], op["content"]
     if kind == "line_replace":
         if op["start_line"] is None or op["end_line"] is None:
-            raise ValueError("startLine and endLine are required for line_replace")
+            raise ValueError(NEEDS_LINES)
         start, end = int(op["start_line"]), int(op["end_line"])
         lines = text.split("\n")
         if start < 1:
-            raise FreeformEditFailed(f"startLine must be >= 1, got {start}")
+            raise FreeformEditFailed(START_TOO_LOW % start)
         if end > len(lines):
-            raise FreeformEditFailed(f"endLine {end} exceeds file length ({len(lines)} lines)")
+            raise FreeformEditFailed(END_TOO_HIGH % (end, len(lines)))
         if start > end:
-            raise FreeformEditFailed(f"startLine ({start}) must be <= endLine ({end})")
+            raise FreeformEditFailed(START_AFTER_END % (start, end))
         return "\n".join([*lines[: start - 1], new, *lines[end:]])
     if kind == "string_replace":
         if not op["search_text"]:
-            raise ValueError("searchText is required for string_replace")
+            raise ValueError(NEEDS_TEXT)
         if op["search_text"] not in text:
-            raise FreeformEditFailed(f'Search string not found: "{op["search_text"]}"')
+            raise FreeformEditFailed(NOT_FOUND % op["search_text"])
         return text.replace(op["search_text"], new, -1 if op["replace_all"] else 1)
     if kind == "frontmatter_set":
         try:
             fields = json.loads(new)
         except ValueError:
-            raise InvalidFrontmatter("content is not valid JSON") from None
+            raise InvalidFrontmatter(BAD_JSON) from None
         if not isinstance(fields, dict):
             raise InvalidFrontmatter("content is not a JSON object")
         return merge_frontmatter(text, fields)

@@ -33,6 +33,7 @@ from marginalia.functions.text import (
 )
 from marginalia.operators.chunks import with_chunks
 from marginalia.operators.skew import attach
+from marginalia.session import materialise
 
 # Result sizes, weight and threshold when the caller gives none.
 FRAGMENT_LIMIT = 5
@@ -193,34 +194,42 @@ def score_rows(
 ) -> DataFrame:
     """The same scores for a table with one row per chunk and any scope key.
 
-    Two grouped passes (frequencies, then maxima) with map-side combining; the
-    statistics return to the matching rows through skew-safe joins.
+    The texts are read once: the counts of the matching rows are written as a
+    narrow table, and the scope sizes need the key column only. Frequencies and
+    maxima are grouped with map-side combining and return to the rows through
+    skew-safe joins.
     """
     terms = query_terms(query)
     unique = list(dict.fromkeys(terms))
     cols = list(dict.fromkeys([scope, *row_id, *keep]))
-    measured = rows.select(
-        *cols, text, *[F.when(mentions_any(F.col(text), [t]), term_count(F.col(text), t)).alias(f"_k{i}") for i, t in enumerate(unique)]
+    if not terms:
+        return rows.select(*cols, *[F.lit(0.0).alias(c) for c in ("tfidf", "proximity", "score")]).limit(0)
+    body = F.col(text)
+    counted = rows.select(
+        *cols, text, *[F.when(mentions_any(body, [t]), term_count(body, t)).alias(f"_k{i}") for i, t in enumerate(unique)]
     )
     has = [F.col(f"_k{i}") > 0 for i in range(len(unique))]
-    stats = measured.groupBy(scope).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.array(*[F.count_if(h) for h in has]).alias("_df"),
-        F.count(F.lit(1)).alias("_w"),
+    near = F.when(reduce(and_, has), proximity(term_hits(tokens(body), terms), terms)).otherwise(F.lit(0.0))
+    narrow = materialise(
+        counted.filter(reduce(or_, has)).select(
+            *cols,
+            F.array(*[F.coalesce(F.col(f"_k{i}"), F.lit(0)) for i in range(len(unique))]).alias("_k"),
+            token_count(body).alias("_t"),
+            near.alias("proximity"),
+        ),
+        "scores",
     )
-    matching = measured.filter(reduce(or_, has))
-    counts = F.array(*[F.coalesce(F.col(f"_k{i}"), F.lit(0)) for i in range(len(unique))])
-    rated = matching.select(
-        *cols,
-        counts.alias("_k"),
-        token_count(F.col(text)).alias("_t"),
-        F.when(reduce(and_, has), proximity(term_hits(tokens(F.col(text)), terms), terms)).otherwise(F.lit(0.0)).alias("proximity"),
+    sizes = rows.groupBy(scope).agg(F.count(F.lit(1)).alias("_n"))
+    stats = narrow.groupBy(scope).agg(
+        F.array(*[F.count_if(F.get("_k", F.lit(i)) > 0) for i in range(len(unique))]).alias("_df"),
+        F.count(F.lit(1)).alias("_w"),
     )
-    raw = attach(rated, stats, scope, "_w", list(row_id)).select(
+    raw = attach(narrow, stats.join(sizes, scope), scope, "_w", list(row_id), weights=stats.select(scope, "_w")).select(
         *cols, _tfidf(F.col("_k"), F.col("_t"), F.col("_n"), F.col("_df"), terms).alias("tfidf"), "proximity"
     )
     tops = raw.groupBy(scope).agg(
         F.max("tfidf").alias("_mt"), F.max("proximity").alias("_mp"), F.count(F.lit(1)).alias("_w")
     )
     score = _blended(F.col("tfidf"), F.col("_mt"), F.col("proximity"), F.col("_mp"), tfidf_weight)
-    return attach(raw, tops, scope, "_w", list(row_id)).select(*cols, "tfidf", "proximity", score.alias("score"))
+    best = attach(raw, tops, scope, "_w", list(row_id), weights=stats.select(scope, "_w"))
+    return best.select(*cols, "tfidf", "proximity", score.alias("score"))

@@ -73,8 +73,9 @@ def hybrid_search(
 ) -> DataFrame:
     """Vector candidates re-ranked with keyword scores.
 
-    With ``texts`` (tie columns plus ``text``) the text is fetched for the
-    candidates only, so the vector scan does not carry it.
+    With ``texts`` (tie columns plus ``text``) the vector scan does not carry
+    the text. The candidates, at most ``max(3k, 20)`` rows, are fetched first
+    and their keys become a pushed-down filter on the stored texts.
 
     The directory is a raw prefix applied after the candidates are taken, so
     fewer than ``k`` rows may remain; ``prefilter=True`` restricts first.
@@ -87,7 +88,10 @@ def hybrid_search(
     rank = F.row_number().over(Window.orderBy(F.desc("similarity"), *ties))
     pool = pool.withColumn("vector_rank", rank).filter(inside)
     if texts is not None:
-        pool = texts.join(F.broadcast(pool), list(ties))
+        rows = pool.collect()
+        pool = pool.sparkSession.createDataFrame(rows, pool.schema)
+        wanted = texts.filter(F.col(ties[0]).isin(sorted({r[ties[0]] for r in rows})))
+        pool = wanted.join(F.broadcast(pool), list(ties))
 
     terms = query_terms(query)
     unique = list(dict.fromkeys(terms))

@@ -82,7 +82,7 @@ class _Run:
 
 def _ranged(events: DataFrame, key: str, order: list[str]) -> DataFrame:
     n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return events.repartitionByRange(n, key, *order).sortWithinPartitions(key, *order)
+    return events.filter(F.col(key).isNotNull()).repartitionByRange(n, key, *order).sortWithinPartitions(key, *order)
 
 
 def _runs(ranged: DataFrame, key: str, order: list[str], name: str) -> DataFrame:

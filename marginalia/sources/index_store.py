@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.errors import StartupFailed
+from marginalia.functions.markdown import parse_chunks
 from marginalia.operators.chunks import chunk_id, chunk_notes
 from marginalia.operators.vectors import fit
 from marginalia.sources.embedders import Embedder, embed_udf
@@ -39,6 +40,26 @@ def build_index(notes: DataFrame, embedder: Embedder) -> DataFrame:
     )
 
 
+def build_changes(paths: DataFrame, notes: DataFrame, embedder: Embedder) -> DataFrame:
+    """Index rows of the listed paths, and a ``removed`` row for each that is gone or has no chunks.
+
+    One pass: every note is read, parsed and embedded once.
+    """
+    found = paths.select("path").join(notes.select("path", F.col("content")).hint("merge"), "path", "left")
+    rows = found.select(F.col("path").alias("doc_path"), F.explode_outer(parse_chunks("content")).alias("c"))
+    gone = F.col("c").isNull()
+    vector = fit(embed_udf(embedder)(F.coalesce("c.text", F.lit(""))), embedder.dimensions)
+    return rows.select(
+        "doc_path",
+        "c.chunk_idx",
+        F.when(~gone, chunk_id(F.col("c.heading_path"))).alias("chunk_id"),
+        F.when(~gone, vector).alias("embedding"),
+        "c.text",
+        "c.heading_path",
+        gone.alias("removed"),
+    )
+
+
 class IndexStore:
     """A vector index under one shared folder."""
 
@@ -94,11 +115,9 @@ class IndexStore:
         current = log.join(newest, ["doc_path", "epoch"], "left_semi").filter(~F.col("removed"))
         return base.join(newest, "doc_path", "left_anti").select(*COLUMNS).unionByName(current.select(*COLUMNS))
 
-    def write_changes(self, epoch: int, replaced: DataFrame, removed: DataFrame) -> None:
-        """Log one batch: new chunks of changed notes, and notes that are gone."""
-        gone = removed.select("doc_path", *[F.lit(None).alias(c) for c in COLUMNS[1:]], F.lit(True).alias("removed"))
-        rows = replaced.select(*COLUMNS, F.lit(False).alias("removed")).unionByName(gone)
-        rows.write.mode("overwrite").parquet(f"{self.root}/changes/epoch={epoch}")
+    def write_changes(self, epoch: int, rows: DataFrame) -> None:
+        """Log one batch: the new chunks of changed notes, and a ``removed`` row per note without any."""
+        rows.select(*COLUMNS, "removed").write.mode("overwrite").parquet(f"{self.root}/changes/epoch={epoch}")
 
     def compact(self) -> str:
         """Fold the change log into a new snapshot."""

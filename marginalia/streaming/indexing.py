@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from marginalia.sources.embedders import Embedder
-from marginalia.sources.index_store import IndexStore, build_index
+from marginalia.sources.index_store import IndexStore, build_changes
 
 
 def index_batch(store: IndexStore, embedder: Embedder, changed: DataFrame, read: Callable[[DataFrame], DataFrame], epoch: int) -> None:
@@ -21,10 +20,7 @@ def index_batch(store: IndexStore, embedder: Embedder, changed: DataFrame, read:
     the batch, which Spark then repeats, instead of being taken for a delete.
     """
     paths = changed.select("path").distinct()
-    rows = build_index(read(paths), embedder)
-    indexed = rows.select("doc_path").distinct()
-    gone = paths.withColumnRenamed("path", "doc_path").join(indexed, "doc_path", "left_anti")
-    store.write_changes(epoch, rows, gone)
+    store.write_changes(epoch, build_changes(paths, read(paths), embedder))
 
 
 def start_indexing(
@@ -49,4 +45,4 @@ def start_indexing(
 
 def changed_contents(paths: DataFrame, notes: DataFrame) -> DataFrame:
     """Reader over a table of notes; only the changed rows survive the semi join."""
-    return notes.join(paths, "path", "left_semi").select("path", F.col("content"))
+    return notes.join(paths, "path", "left_semi").select("path", "content")

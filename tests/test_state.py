@@ -14,7 +14,7 @@ from marginalia.functions.paths import clean_path, directory_path, note_path
 from marginalia.operators import workflow
 from marginalia.sources import files
 from marginalia.sources.embedders import HashingEmbedder, ServiceEmbedder, create_embedder
-from marginalia.sources.index_store import IndexStore, build_index
+from marginalia.sources.index_store import IndexStore, build_changes, build_index
 from marginalia.streaming import debounce
 from marginalia.streaming.indexing import changed_contents, start_indexing
 from marginalia.streaming.workflow_state import workflow_states
@@ -121,15 +121,13 @@ def test_index_store(spark, make, tmp_path):
     with pytest.raises(errors.StartupFailed):
         other.check()
     other.check(allow_reset=True)
-    gone = spark.createDataFrame([("b.md",)], "doc_path string")
+    paths = spark.createDataFrame([("a.md",), ("b.md",), ("c.md",)], "path string")
     for _ in range(2):
-        store.write_changes(0, build_index(make({"a.md": "changed\n"}), embedder), gone)
+        store.write_changes(0, build_changes(paths, make({"a.md": "changed\n", "c.md": " "}), embedder))
     assert {(r.doc_path, r.text) for r in store.load().collect()} == {("a.md", "changed")}
-    store.write_changes(1, build_index(make({"b.md": "back\n"}), embedder), gone.filter("false"))
+    store.write_changes(1, build_changes(paths.filter("path = 'b.md'"), make({"b.md": "back\n"}), embedder))
     store.compact()
     assert {(r.doc_path, r.text) for r in store.load().collect()} == {("a.md", "changed"), ("b.md", "back")}
-    part = next(n for n in os.listdir(tmp_path / "ix/vectors") if os.path.isdir(tmp_path / "ix/vectors" / n))
-    assert part
 
 
 def test_truncated_snapshot_is_ignored(spark, make, tmp_path):
