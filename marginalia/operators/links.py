@@ -18,6 +18,7 @@ from marginalia.session import materialise
 
 # The wikilink form and what counts as an external address.
 WIKILINK = re.compile(r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]")
+NAME = r"\[\[([^\]]+)\]\]"
 EXTERNAL = r"^(?i:[a-z]+://)|^mailto:|^#"
 AROUND = 30
 EXTERNAL_LINK = re.compile(EXTERNAL)
@@ -105,6 +106,12 @@ def _best(path: str = "file") -> Column:
     return F.min_by(path, F.struct(F.size(F.split(path, "/")), F.collate(path, "UNICODE")))
 
 
+def wikilink_names(content: Column) -> Column:
+    """Targets of all wikilinks of a text, without aliases: ``array<string>``."""
+    inner = F.regexp_extract_all(content, F.lit(NAME), F.lit(1))
+    return F.transform(inner, lambda x: F.split_part(x, F.lit("|"), F.lit(1)))
+
+
 def target_name(target: Column) -> Column:
     """What a wikilink looks for: no anchor, no ``.md``, lower case."""
     return F.lower(F.regexp_replace(F.regexp_extract(target, r"\A[^#]*", 0), r"\.md\z", ""))

@@ -185,7 +185,7 @@ def fragment_search(
 
 def score_rows(
     rows: DataFrame,
-    scope: str,
+    scope: str | None,
     text: str,
     row_id: Sequence[str],
     query: str,
@@ -197,11 +197,12 @@ def score_rows(
     The texts are read once: the counts of the matching rows are written as a
     narrow table, and the scope sizes need the key column only. Frequencies and
     maxima are grouped with map-side combining and return to the rows through
-    skew-safe joins.
+    skew-safe joins. Without a scope all rows count together; then the
+    statistics are single values and need no join.
     """
     terms = query_terms(query)
     unique = list(dict.fromkeys(terms))
-    cols = list(dict.fromkeys([scope, *row_id, *keep]))
+    cols = list(dict.fromkeys([*([scope] if scope else []), *row_id, *keep]))
     if not terms:
         return rows.select(*cols, *[F.lit(0.0).alias(c) for c in ("tfidf", "proximity", "score")]).limit(0)
     body = F.col(text)
@@ -219,11 +220,15 @@ def score_rows(
         ),
         "scores",
     )
+    dfs = F.array(*[F.count_if(F.get("_k", F.lit(i)) > 0) for i in range(len(unique))]).alias("_df")
+    if scope is None:
+        n, found = F.lit(rows.count()), narrow.agg(dfs).first()["_df"]
+        raw = narrow.withColumn("tfidf", _tfidf(F.col("_k"), F.col("_t"), n, F.array(*map(F.lit, found)), terms))
+        top = raw.agg(F.max("tfidf").alias("t"), F.max("proximity").alias("p")).first()
+        score = _blended(F.col("tfidf"), F.lit(top["t"]), F.col("proximity"), F.lit(top["p"]), tfidf_weight)
+        return raw.select(*cols, "tfidf", "proximity", score.alias("score"))
     sizes = rows.groupBy(scope).agg(F.count(F.lit(1)).alias("_n"))
-    stats = narrow.groupBy(scope).agg(
-        F.array(*[F.count_if(F.get("_k", F.lit(i)) > 0) for i in range(len(unique))]).alias("_df"),
-        F.count(F.lit(1)).alias("_w"),
-    )
+    stats = narrow.groupBy(scope).agg(dfs, F.count(F.lit(1)).alias("_w"))
     raw = attach(narrow, stats.join(sizes, scope), scope, "_w", list(row_id), weights=stats.select(scope, "_w")).select(
         *cols, _tfidf(F.col("_k"), F.col("_t"), F.col("_n"), F.col("_df"), terms).alias("tfidf"), "proximity"
     )

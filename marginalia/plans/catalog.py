@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable
 
@@ -28,8 +29,9 @@ from marginalia.operators.chunks import chunk_notes, outline, read_sections
 from marginalia.operators.hints import with_hints
 from marginalia.operators.search import fragment_search, global_search, score_rows
 from marginalia.session import shared_dir, spread
+from marginalia.sources import files
 from marginalia.sources.embedders import HashingEmbedder, embed_query
-from marginalia.sources.index_store import build_index
+from marginalia.sources.index_store import IndexStore, build_changes, build_index
 from marginalia.sources.synthetic import doc_path, document_lines, table, vault, vault_listing
 from marginalia.streaming import debounce
 from marginalia.streaming.workflow_state import workflow_states
@@ -82,6 +84,16 @@ def read_note(spark, sf):
     return vault(spark, sf).select("path", md5("content").alias("content_md5"))
 
 
+@query
+def vault_files(spark, sf):
+    """Notes written as files to the shared folder, listed and read back."""
+    root = f"{shared_dir(spark).removeprefix('file://').removeprefix('file:')}/files-{uuid.uuid4().hex}"
+    os.makedirs(root)
+    files.write_files(root, vault(spark, sf), overwrite=True).write.format("noop").mode("overwrite").save()
+    rows = files.read_files(spark, root, files.list_files(spark, root))
+    return rows.select("path", "size_bytes", md5("content").alias("content_md5"))
+
+
 @query
 def missing_notes(spark, sf):
     wanted = table(spark, sf, "embeddings").select(F.concat(F.lit("doc-"), "vec_id").alias("path"))
@@ -245,8 +257,7 @@ def tfidf_note_scope(spark, sf):
 
 @query
 def tfidf_corpus_scope(spark, sf):
-    lines = document_lines(spark, sf).withColumn("scope", F.lit(1))
-    return score_rows(lines, "scope", "text", ["doc_id", "line"], PAIR).select("doc_id", "line", r6("tfidf").alias("score"))
+    return score_rows(document_lines(spark, sf), None, "text", ["doc_id", "line"], PAIR).select("doc_id", "line", r6("tfidf").alias("score"))
 
 
 @query
@@ -413,6 +424,17 @@ def embedded_index(spark, sf):
     return rows.select("doc_path", "chunk_idx", "chunk_id", F.size("embedding").alias("n"), F.round(norm, 4).alias("norm"))
 
 
+@query
+def index_incremental(spark, sf):
+    """A stored index after one batch of changes: labelled notes replaced, or removed if toxic."""
+    embedder = HashingEmbedder(16)
+    store = IndexStore(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", embedder.model, embedder.dimensions)
+    store.save(build_index(vault(spark, sf), embedder))
+    new = _label_notes(spark, sf)
+    store.write_changes(0, build_changes(new.select("path"), new.filter(~F.col("content").endswith("1")), embedder))
+    return store.load().select("doc_path", "chunk_idx", "chunk_id", md5("text").alias("text_md5"), F.size("embedding").alias("n"))
+
+
 @query
 def semantic_search(spark, sf):
     embedder = HashingEmbedder(64)
@@ -433,6 +455,12 @@ def wikilinks(spark, sf):
     return links.wikilinks(vault(spark, sf)).select("path", "target", "line", "context")
 
 
+@query
+def wikilink_names(spark, sf):
+    aliased = F.replace("content", F.lit("]]"), F.lit("|shown]]"))
+    return vault(spark, sf).select("path", F.array_join(links.wikilink_names(aliased), " ").alias("names"))
+
+
 @query
 def wikilink_resolve(spark, sf):
     found = links.resolve(links.wikilinks(vault(spark, sf)), vault_listing(spark, sf), ["path", "off"])

@@ -157,6 +157,7 @@ ORACLE: dict[str, str] = {
     "list_notes_dir": f"SELECT {DOC_PATH} AS path FROM documents WHERE source = 'src1' AND lang = 'en'",
     "note_stat": f"WITH {VAULT} SELECT path, CAST(strlen(content) AS BIGINT) AS size_bytes FROM vault",
     "read_note": f"WITH {VAULT} SELECT path, md5(content) AS content_md5 FROM vault",
+    "vault_files": f"WITH {VAULT} SELECT path, CAST(strlen(content) AS BIGINT) AS size_bytes, md5(content) AS content_md5 FROM vault",
     "missing_notes": "SELECT 'doc-' || vec_id AS path FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)",
     "safe_paths": """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN source || '/' || lang || '/doc-' || doc_id || '.md'
         WHEN 1 THEN source || '/' || lang || '/doc-' || doc_id || '.md' WHEN 3 THEN source || '/' || lang || ' ' || doc_id || '.md' END AS path,
@@ -227,8 +228,12 @@ SELECT pos, path, heading, md5(got) AS content_md5, got IS NOT NULL AS found, CA
     "point_ids": f"""WITH {VAULT}, h AS (SELECT path, chunk_idx, sha256(path || '::' || chunk_idx) AS s FROM chunks)
         SELECT path, chunk_idx, substr(s, 1, 8) || '-' || substr(s, 9, 4) || '-' || substr(s, 13, 4) || '-' || substr(s, 17, 4) || '-' || substr(s, 21, 12) AS point_id FROM h""",
     "embedded_index": f"""WITH {VAULT} SELECT path AS doc_path, chunk_idx, 'Doc ' || doc_id || ' > Part ' || chunk_idx AS chunk_id, 64 AS n, 1.0::DOUBLE AS norm FROM chunks""",
+    "index_incremental": f"""WITH {VAULT}, {LABEL_NOTES} SELECT path AS doc_path, chunk_idx, 'Doc ' || doc_id || ' > Part ' || chunk_idx AS chunk_id,
+        md5(text) AS text_md5, 16 AS n FROM chunks WHERE path NOT IN (SELECT path FROM label_notes)
+        UNION ALL SELECT path, 0, 'root', md5(content), 16 FROM label_notes WHERE content = 'Label 0'""",
     "wikilinks": f"""WITH {VAULT}, {EDGES}, w AS (SELECT source_path, line_number, context FROM edges)
         SELECT source_path AS path, link AS target, line_number AS line, context FROM w JOIN parts ON path = source_path AND line_number = 10 + 4 * i""",
+    "wikilink_names": f"WITH {VAULT} SELECT path, string_agg(link, ' ' ORDER BY i) AS names FROM parts GROUP BY path",
     "wikilink_resolve": f"""WITH {VAULT} SELECT link AS target, b.path AS resolved, count(*) AS n FROM parts
         LEFT JOIN base b ON 'doc-' || b.doc_id = link GROUP BY ALL""",
     "partial_resolve": f"""WITH d AS (SELECT *, {DOC_PATH} AS path FROM documents),

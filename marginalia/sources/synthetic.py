@@ -27,10 +27,8 @@ def vault_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vault(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
-    lines = F.expr(
-        r"filter(transform(split(text, '\n'), "
-        r"x -> trim(regexp_replace(regexp_replace(x, '[^\\p{L}\\p{N} ,]', ' '), ' +', ' '))), x -> x <> '')"
-    )
+    clean = F.expr(r"regexp_replace(regexp_replace(text, '[^\\p{L}\\p{N} ,\n]', ' '), ' +', ' ')")
+    lines = F.filter(F.transform(F.split(clean, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     content = F.expr(
         r"concat('---\ntitle: Doc ', doc_id, '\nlang: ', lang, '\n---\n\n# Doc ', doc_id, '\n\n', "
         r"array_join(transform(ls, (x, i) -> concat('## Part ', i, '\n\n', x, "
