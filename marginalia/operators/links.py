@@ -121,10 +121,11 @@ def resolve_names(names: DataFrame, listing: DataFrame) -> DataFrame:
     """Resolve distinct names (``name, n``) against the notes that exist: adds ``resolved``.
 
     A bare name matches a file name. A name with ``/`` matches the end of a
-    path, at any character; every suffix with a slash is listed for the few
-    notes whose file name occurs in such a link, which keeps this an equi-join
-    rather than a comparison of all pairs. Both sides of each join are
-    distinct on the join key.
+    path, at any character. For these, each path lists its endings of exactly
+    the lengths that occur among such names (a set no larger than the longest
+    path), which keeps this an equi-join rather than a comparison of all pairs
+    and keeps equal file names, however common, from meeting in one task. Both
+    sides of each join are distinct on the join key.
     """
     files = listing.select(F.col("path").alias("file")).withColumn("low", F.lower("file"))
     stem = F.regexp_replace(file_name(F.col("file")), r"(?<=.)\.md\z", "")
@@ -132,14 +133,12 @@ def resolve_names(names: DataFrame, listing: DataFrame) -> DataFrame:
     plain = names.filter(~F.col("name").contains("/")).join(by_base, "name", "left")
 
     partial = names.filter(F.col("name").contains("/")).withColumn("suffix", F.concat("name", F.lit(".md")))
-    wanted = partial.select(file_name(F.col("suffix")).alias("leaf")).distinct()
-    near = files.withColumn("leaf", file_name(F.col("low"))).join(wanted, "leaf", "left_semi")
-    last_slash = F.length("low") - F.length("leaf")
-    starts = F.when(last_slash > 0, F.sequence(F.lit(1), last_slash))
-    suffixes = near.select("file", "low", F.explode_outer(starts).alias("at")).filter("at IS NOT NULL")
-    by_suffix = suffixes.groupBy(F.substring(F.col("low"), F.col("at"), F.length("low")).alias("suffix")).agg(
-        _best().alias("resolved")
-    )
+    lengths = sorted(r[0] for r in partial.select(F.length("suffix")).distinct().collect())
+    if not lengths:
+        return plain
+    fitting = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("low"))
+    endings = files.select("file", "low", F.explode_outer(fitting).alias("n")).filter("n IS NOT NULL")
+    by_suffix = endings.groupBy(F.right(F.col("low"), F.col("n")).alias("suffix")).agg(_best().alias("resolved"))
     return plain.unionByName(partial.join(by_suffix, "suffix", "left").drop("suffix"))
 
 

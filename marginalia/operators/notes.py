@@ -27,7 +27,7 @@ def stat(notes: DataFrame) -> DataFrame:
 def read_notes(notes: DataFrame, paths: DataFrame) -> DataFrame:
     """Requested paths with content, NULL content and an error code where missing."""
     wanted = notes.join(paths.select("path").distinct(), "path", "left_semi").select("path", "content")
-    return paths.join(wanted, "path", "left").withColumn(
+    return paths.join(wanted.hint("merge"), "path", "left").withColumn(
         "error_code", F.when(F.col("content").isNull(), F.lit("NOTE_NOT_FOUND"))
     )
 

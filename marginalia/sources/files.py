@@ -8,17 +8,21 @@ underscore, and empty files, all of which are notes.
 from __future__ import annotations
 
 import os
+import time
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from marginalia.errors import VaultNotFound
 from marginalia.functions.paths import directory_path
 
+# Fixed value: how long a file must have been left alone before it is read.
+SETTLE_MS = 100
 LISTING = "path string, size_bytes long, modified_at timestamp"
 
 
@@ -32,14 +36,14 @@ def _walk(top: str) -> Iterator[os.DirEntry]:
     stack = [top]
     while stack:
         try:
-            entries = list(os.scandir(stack.pop()))
+            with os.scandir(stack.pop()) as entries:
+                for entry in entries:
+                    if entry.is_dir(follow_symlinks=False):
+                        stack.append(entry.path)
+                    elif entry.is_file(follow_symlinks=False) and entry.name.endswith(".md"):
+                        yield entry
         except OSError:
             continue
-        for entry in entries:
-            if entry.is_dir(follow_symlinks=False):
-                stack.append(entry.path)
-            elif entry.is_file(follow_symlinks=False) and entry.name.endswith(".md"):
-                yield entry
 
 
 def list_files(spark: SparkSession, root: str, directory: str | None = None) -> DataFrame:
@@ -50,28 +54,36 @@ def list_files(spark: SparkSession, root: str, directory: str | None = None) ->
     """
     base = open_vault(root)
     top = os.path.join(base, directory_path(directory))
-    upper, frontier = [], [top]
-    for _ in range(2):
-        upper += frontier
-        frontier = [e.path for f in frontier if os.path.isdir(f) for e in os.scandir(f) if e.is_dir(follow_symlinks=False)]
-    work = [(f, False) for f in upper] + [(f, True) for f in frontier]
+    work = _work_folders(top)
     n = min(len(work), spark.sparkContext.defaultParallelism * 4)
     frame = spark.createDataFrame(work, "folder string, deep boolean").repartition(max(n, 1), "folder")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["path", "size_bytes", "modified_at"]
         for batch in batches:
             rows = []
             for folder, deep in zip(batch["folder"], batch["deep"]):
-                found = _walk(folder) if deep else _flat(folder)
-                for entry in found:
+                for entry in _walk(folder) if deep else _flat(folder):
                     info = entry.stat(follow_symlinks=False)
                     stamp = pd.Timestamp(info.st_mtime_ns // 1000, unit="us", tz="UTC")
                     rows.append((os.path.relpath(entry.path, base), info.st_size, stamp))
-            yield pd.DataFrame(rows, columns=["path", "size_bytes", "modified_at"])
+                    if len(rows) == 10_000:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows = []
+            yield pd.DataFrame(rows, columns=columns)
 
     return frame.mapInPandas(scan, LISTING)
 
 
+def _work_folders(top: str) -> list[tuple[str, bool]]:
+    """Folders to scan and whether to descend: two levels one by one, subtrees below."""
+    upper, frontier = [], [top]
+    for _ in range(2):
+        upper += frontier
+        frontier = [e.path for f in frontier if os.path.isdir(f) for e in os.scandir(f) if e.is_dir(follow_symlinks=False)]
+    return [(f, False) for f in upper] + [(f, True) for f in frontier]
+
+
 def _flat(folder: str) -> Iterator[os.DirEntry]:
     try:
         with os.scandir(folder) as entries:
@@ -165,9 +177,12 @@ def delete_files(root: str, paths: DataFrame) -> DataFrame:
 class ChangeStream(DataSource):
     """Streaming source of notes changed since the last batch.
 
-    The offset is a modification time, so it stays small however many notes
-    there are. Deletes leave no time stamp; they are found by comparing the
-    stored index with a listing (:func:`removed_notes`).
+    Offsets are points in time, so they stay small however many notes there
+    are, and every batch scans the folders in parallel for modification times
+    between two of them. Files younger than ``settle_ms`` (100) wait for the
+    next batch, so that half-written files are not read. Deletes leave no time
+    stamp; they are found by comparing the stored index with a listing
+    (:func:`removed_notes`).
     """
 
     @classmethod
@@ -177,34 +192,39 @@ class ChangeStream(DataSource):
     def schema(self) -> str:
         return "path string, kind string, ts timestamp"
 
-    def simpleStreamReader(self, schema):
+    def streamReader(self, schema):
         return _ChangeReader(self.options)
 
 
-class _ChangeReader(SimpleDataSourceStreamReader):
+@dataclass
+class _Span(InputPartition):
+    folder: str
+    deep: bool
+    low: int
+    high: int
+
+
+class _ChangeReader(DataSourceStreamReader):
     def __init__(self, options: dict) -> None:
         self.root = open_vault(options["path"])
         self.first = int(options.get("since_ns", "0"))
+        self.settle = int(options.get("settle_ms", SETTLE_MS)) * 1_000_000
 
     def initialOffset(self) -> dict:
         return {"ns": self.first}
 
-    def _between(self, low: int, high: int | None) -> list[tuple[int, tuple]]:
-        found = []
-        for entry in _walk(self.root):
-            ns = entry.stat(follow_symlinks=False).st_mtime_ns
-            if ns > low and (high is None or ns <= high):
-                stamp = pd.Timestamp(ns // 1000, unit="us", tz="UTC").to_pydatetime()
-                found.append((ns, (os.path.relpath(entry.path, self.root), "change", stamp)))
-        return found
+    def latestOffset(self) -> dict:
+        return {"ns": time.time_ns() - self.settle}
 
-    def read(self, start: dict):
-        found = self._between(start["ns"], None)
-        last = max((ns for ns, _ in found), default=start["ns"])
-        return iter([row for _, row in found]), {"ns": last}
+    def partitions(self, start: dict, end: dict) -> list[_Span]:
+        return [_Span(folder, deep, start["ns"], end["ns"]) for folder, deep in _work_folders(self.root)]
 
-    def readBetweenOffsets(self, start: dict, end: dict):
-        return iter([row for _, row in self._between(start["ns"], end["ns"])])
+    def read(self, partition: _Span) -> Iterator[tuple]:
+        for entry in _walk(partition.folder) if partition.deep else _flat(partition.folder):
+            ns = entry.stat(follow_symlinks=False).st_mtime_ns
+            if partition.low < ns <= partition.high:
+                stamp = pd.Timestamp(ns // 1000, unit="us", tz="UTC").to_pydatetime()
+                yield os.path.relpath(entry.path, self.root), "change", stamp
 
 
 def removed_notes(index: DataFrame, listing: DataFrame) -> DataFrame:

@@ -231,17 +231,18 @@ def test_change_stream_indexes_a_folder(spark, vault, tmp_path):
     def run():
         stream = spark.readStream.format("note_changes").option("path", vault).load()
         query = start_indexing(
-            stream, store, embedder, lambda p: files.read_files(spark, vault, p), str(tmp_path / "cp"), processingTime="1 second"
+            stream, store, embedder, lambda p: files.read_files(spark, vault, p), str(tmp_path / "cp"), availableNow=True
         )
-        query.processAllAvailable()
-        query.stop()
+        query.awaitTermination()
 
+    time.sleep(0.2)
     run()
     docs = {r.doc_path for r in store.load().collect()}
     assert "hello.md" in docs and "empty.md" not in docs
     time.sleep(0.05)
     with open(vault + "/hello.md", "w") as f:
         f.write("replaced text\n")
+    time.sleep(0.2)
     run()
     assert [r.text for r in store.load().filter("doc_path = 'hello.md'").collect()] == ["replaced text"]
     os.unlink(vault + "/hello.md")
