@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marginalia.errors import InvalidFrontmatter, PatchFailed
 from marginalia.functions.markdown import frontmatter_end, split_lines
 
 try:
@@ -67,7 +68,13 @@ def _plain(value):
 
 
 def load_yaml(text: str) -> dict | list:
-    data = yaml.load(text, Loader=Loader)
+    """Parsed front matter, ``{}`` unless it is a mapping or a list; bad YAML raises PatchFailed."""
+    if yaml is None:
+        raise ImportError("PyYAML is needed for front matter")
+    try:
+        data = yaml.load(text, Loader=Loader)
+    except (yaml.YAMLError, ValueError) as exc:
+        raise PatchFailed(f"front matter is not valid YAML: {exc}") from None
     return data if isinstance(data, dict | list) else {}
 
 
@@ -98,7 +105,7 @@ def _json(content: str | None) -> str | None:
     try:
         text, _ = split_note(content or "")
         return json.dumps(_plain(load_yaml(text)) if text else {}, ensure_ascii=False)
-    except yaml.YAMLError:
+    except PatchFailed:
         return None
 
 
@@ -114,8 +121,10 @@ def _merged(content: str, payload: str) -> dict:
         if not isinstance(fields, dict):
             raise ValueError
         return {"content": merge_frontmatter(content, fields), "error_code": None}
+    except PatchFailed as exc:
+        return {"content": None, "error_code": exc.code}
     except (ValueError, TypeError):
-        return {"content": None, "error_code": "INVALID_FRONTMATTER_PAYLOAD"}
+        return {"content": None, "error_code": InvalidFrontmatter.code}
 
 
 @F.arrow_udf(T.StructType([T.StructField("content", T.StringType()), T.StructField("error_code", T.StringType())]))

@@ -8,6 +8,8 @@ sections, search and edits are built from those arrays with Spark expressions.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -59,9 +61,11 @@ ITEM = re.compile(r"( {0,3})([-+*]|\d{1,9}[.)])([ \t]+|$)")
 TASK = re.compile(r"\[[ xX]\][ \t]+(?=\S)")
 NOTE = re.compile(r" {0,3}\[\^[^\s\]]+\]:[ \t]*")
 DEFINITION = re.compile(
-    r" {0,3}\[(?!\^)((?:[^\[\]\\]|\\.)*\S(?:[^\[\]\\]|\\.)*)\]:[ \t]*\n?[ \t]*(?:<[^<>\n]*>|[^\s<]\S*)"
+    r" {0,3}\[(?!\^)((?:[^\[\]\\]|\\.)+)\]:[ \t]*\n?[ \t]*(?:<[^<>\n]*>|[^\s<]\S*)"
     r"(?:[ \t]*\n?[ \t]+(?:\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\)))?[ \t]*(?:\n|$)"
 )
+DEFINITION_LINES = 50
+MAX_NESTING = 100
 ANY_LABEL = re.compile(r"^[ >\t]*\[((?:[^\[\]\\]|\\.)+)\]:", re.M)
 DASHES = re.compile(r" {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
 CELL = re.compile(r"(?<!\\)\|")
@@ -148,19 +152,25 @@ def _interrupts(text: str) -> bool:
 
 def _inline_block(kind: str, depth: int, lines: list[Line], refs: set[str], content: list[Line] | None = None) -> Block:
     parts = [Line(x.text.lstrip(" \t"), x.off + len(x.text) - len(x.text.lstrip(" \t")), x.no) for x in content or lines]
-    nodes = parse_inline("\n".join(p.text for p in parts).rstrip(" \t"), refs)
-    return Block(kind, depth, body_text(nodes), plain_text(nodes), lines[0], lines[-1], _locate(nodes, parts))
+    source = "\n".join(p.text for p in parts).rstrip(" \t")
+    try:
+        nodes = parse_inline(source, refs)
+        return Block(kind, depth, body_text(nodes), plain_text(nodes), lines[0], lines[-1], _locate(nodes, parts))
+    except RecursionError:  # absurdly deep nesting: keep the words, give up the structure
+        return Block(kind, depth, source, source, lines[0], lines[-1], [])
 
 
 def _locate(nodes: list, parts: list[Line]) -> list:
-    found = []
-    for url, pos in link_nodes(nodes):
-        for part in parts:
-            if pos <= len(part.text):
-                found.append((url, part.no, part.off + pos))
-                break
-            pos -= len(part.text) + 1
-    return found
+    """Line and source offset of each link of a paragraph."""
+    found = link_nodes(nodes)
+    if not found:
+        return []
+    starts = list(accumulate((len(p.text) + 1 for p in parts[:-1]), initial=0))
+    out = []
+    for url, pos in found:
+        i = bisect_right(starts, pos) - 1
+        out.append((url, parts[i].no, parts[i].off + pos - starts[i]))
+    return out
 
 
 def _container(kind: str, first: Line, last: Line, children: list[Block]) -> Block:
@@ -180,8 +190,10 @@ def _take_item(lines: list[Line], i: int, inner: list[Line], width: int) -> int:
     while i < len(lines):
         text = lines[i].text
         if not text.strip():
-            after = next((x.text for x in lines[i:] if x.text.strip()), None)
-            if after is None or _indent(after) < width:
+            after = i
+            while after < len(lines) and not lines[after].text.strip():
+                after += 1
+            if after == len(lines) or _indent(lines[after].text) < width:
                 break
             inner.append(Line("", lines[i].off, lines[i].no))
         elif _indent(text) >= width:
@@ -194,7 +206,7 @@ def _take_item(lines: list[Line], i: int, inner: list[Line], width: int) -> int:
     return i
 
 
-def _list(lines: list[Line], i: int, refs: set[str]) -> tuple[Block, int]:
+def _list(lines: list[Line], i: int, refs: set[str], level: int) -> tuple[Block, int]:
     first = last = lines[i]
     mark = ITEM.match(first.text).group(2)[-1]
     items: list[Block] = []
@@ -212,7 +224,7 @@ def _list(lines: list[Line], i: int, refs: set[str]) -> tuple[Block, int]:
         i = _take_item(lines, i, inner, width)
         filled = [x for x in inner if x.text.strip()]
         last = filled[-1] if filled else head
-        items.append(_container("listItem", head, last, scan(inner, refs)))
+        items.append(_container("listItem", head, last, scan(inner, refs, level + 1)))
         ahead = i
         while ahead < len(lines) and not lines[ahead].text.strip():
             ahead += 1
@@ -259,8 +271,8 @@ def _paragraph(lines: list[Line], i: int, refs: set[str], out: list[Block]) -> i
         i += 1
     body = lines[start:i]
     while body and body[0].text.lstrip().startswith("["):
-        m = DEFINITION.match("\n".join(x.text for x in body))
-        if not m:
+        m = DEFINITION.match("\n".join(x.text for x in body[:DEFINITION_LINES]))
+        if not m or not m.group(1).strip():
             break
         used = m.group().rstrip("\n").count("\n") + 1
         out.append(Block("definition", 0, "", "", body[0], body[used - 1], []))
@@ -275,7 +287,7 @@ def _paragraph(lines: list[Line], i: int, refs: set[str], out: list[Block]) -> i
     return i
 
 
-def scan(lines: list[Line], refs: set[str]) -> list[Block]:
+def scan(lines: list[Line], refs: set[str], level: int = 0) -> list[Block]:
     """Blocks of a list of lines; containers are parsed inside and flattened."""
     out: list[Block] = []
     i, n = 0, len(lines)
@@ -313,7 +325,7 @@ def scan(lines: list[Line], refs: set[str]) -> list[Block]:
         elif RULE.match(text):
             out.append(Block("thematicBreak", 0, "", "", line, line, []))
             i += 1
-        elif QUOTE.match(text):
+        elif level < MAX_NESTING and QUOTE.match(text):
             inner: list[Line] = []
             j = i
             while j < n:
@@ -323,15 +335,15 @@ def scan(lines: list[Line], refs: set[str]) -> list[Block]:
                 cut = m.end() if m else 0
                 inner.append(Line(lines[j].text[cut:], lines[j].off + cut, lines[j].no))
                 j += 1
-            out.append(_container("blockquote", line, lines[j - 1], scan(inner, refs)))
+            out.append(_container("blockquote", line, lines[j - 1], scan(inner, refs, level + 1)))
             i = j
-        elif ITEM.match(text):
-            block, i = _list(lines, i, refs)
+        elif level < MAX_NESTING and ITEM.match(text):
+            block, i = _list(lines, i, refs, level)
             out.append(block)
-        elif m := NOTE.match(text):
+        elif level < MAX_NESTING and (m := NOTE.match(text)):
             inner = [Line(text[m.end() :], line.off + m.end(), line.no)]
             i = _take_item(lines, i, inner, 4)
-            out.append(_container("footnoteDefinition", line, lines[i - 1], scan(inner, refs)))
+            out.append(_container("footnoteDefinition", line, lines[i - 1], scan(inner, refs, level + 1)))
         elif (kind := _html_kind(text, False)) >= 0:
             stop = HTML_KINDS[kind][1]
             j = i

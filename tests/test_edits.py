@@ -152,6 +152,8 @@ def test_frontmatter(spark, make):
     assert merge_frontmatter("Body.\n", {"a": 1}) == "---\na: 1\n---\n\nBody.\n"
     codes = base.filter("path = 'n.md'").select(set_frontmatter("content", F.lit("{nope")).alias("r")).first().r
     assert codes.error_code == "INVALID_FRONTMATTER_PAYLOAD"
+    codes = base.filter("path = 'bad.md'").select(set_frontmatter("content", F.lit("{}")).alias("r")).first().r
+    assert codes.error_code == "AST_PATCH_FAILED"
 
 
 def test_template(spark):

@@ -196,3 +196,34 @@ def test_small_functions(spark):
         similarity(F.lit(0), F.col("e"), F.col("f")).alias("s"),
     ).first()
     assert (row.x, row.y, row.w, row.s) == (0.0, 1.235, 3, 1.0)
+
+
+def test_semantic_search_matches_brute_force(make):
+    """Index, embed and re-rank a small vault by hand."""
+    import numpy as np
+
+    from marginalia.sources.embedders import embed_query
+    from marginalia.sources.index_store import build_index
+
+    embedder, query, k = HashingEmbedder(12), "quantum types of cheese", 3
+    index = build_index(make(VAULT), embedder)
+    rows = []
+    for path, content in VAULT.items():
+        for i, c in enumerate(note_chunks(parse_note(content))):
+            a, b = (np.array(embedder.embed_batch([t])[0]) for t in (query, c[1]))
+            rows.append((path, i, c[1], float(a @ b / np.sqrt((a @ a) * (b @ b)))))
+    rows.sort(key=lambda r: (-r[3], r[0], r[1]))
+    pool = rows[: max(3 * k, 20)]
+    lists, terms = [toks(r[2]) for r in pool], toks(query)
+    lex = []
+    for tk in lists:
+        df = {q: sum(q in x for x in lists) for q in terms}
+        lex.append(sum(tk.count(q) / len(tk) * (math.log(len(lists) / df[q]) if df[q] else 0.0) for q in terms))
+    best = [0.6 * r[3] / pool[0][3] + 0.4 * x / max(lex) for r, x in zip(pool, lex)]
+    want = sorted(range(len(pool)), key=lambda i: (-round(best[i], 9), i))[:k]
+    found = vectors.hybrid_search(index, query, embed_query(embedder, query), k).collect()
+    assert [(r.doc_path, r.chunk_idx) for r in found] == [pool[i][:2] for i in want]
+    assert all(abs(r.score - best[i]) < 1e-6 for r, i in zip(found, want))
+    texts = index.select("doc_path", "chunk_idx", "text")
+    again = vectors.hybrid_search(index.drop("text"), query, embed_query(embedder, query), k, texts=texts).collect()
+    assert [(r.doc_path, r.chunk_idx, r.score) for r in again] == [(r.doc_path, r.chunk_idx, r.score) for r in found]

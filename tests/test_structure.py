@@ -136,3 +136,31 @@ def test_find_block(make):
     rows = with_blocks(make({"n.md": COMPLEX}))
     got = rows.select(find_block(F.col("blocks"), F.lit("blk-1")).alias("a"), find_block(F.col("blocks"), F.lit("zz")).alias("b")).first()
     assert (got.a, got.b) == (8, None)
+
+
+def test_pathological_input_stays_linear():
+    import time
+
+    started = time.time()
+    for text in (
+        "> " * 3000 + "x\n",
+        "*a " * 3000 + "a* " * 3000,
+        "[" * 20000,
+        "[a " * 8000 + "b\n",
+        "- a\n\n" * 5000,
+        "`" + "` ``" * 4000,
+        "".join(f"[l{i}]: /x{i}\n" for i in range(3000)),
+        "line [a](b.md)\n" * 5000,
+        "<" * 20000,
+        "_a" * 20000,
+        "* * " * 5000 + "x",
+    ):
+        assert parse_note(text)
+    assert time.time() - started < 30
+
+
+def test_definitions_and_footnotes():
+    kinds = [b.kind for b in parse_note("[a]: /x 'title'\n[b]: <y z>\ntext [a][] and [^1]\n\n[^1]: the note\n    more\n")]
+    assert kinds == ["definition", "definition", "paragraph", "footnoteDefinition"]
+    last = parse_note("text[^1]\n\n[^1]: the note\n")
+    assert last[0].text == "text " and last[1].text == "the note"
