@@ -123,13 +123,27 @@ def _blended(tfidf: Column, top_t: Column, prox: Column, top_p: Column, weight:
     return F.lit(weight) * normalise(tfidf, top_t) + F.lit(1 - weight) * normalise(prox, top_p)
 
 
+FRONT = r"\A---[ \t]*\r?\n(?:(?s).*?\r?\n)??---[ \t]*(?:\r?\n|\z)"
+MARKED_HEADING = r"(?:\A|[\r\n]) {0,3}#{1,6}[ \t][^\r\n]*[*_~`\[<!]"
+UNDERLINED_HEADING = r"[^\s][^\r\n]*(?:\r\n|\r|\n) {0,3}(?:=+|-+)[ \t]*(?:[\r\n]|\z)"
+
+
 def may_match(content: Column, query: str) -> Column:
     """Necessary condition on the raw note, tested before it is parsed.
 
-    Every token of a chunk is a substring of the source unless an entity or a
-    backslash escape takes part in it, so notes with those always pass.
+    A token of a chunk is a substring of the source, with three exceptions: an
+    entity or a backslash escape takes part in it, or it comes from a heading
+    whose markup is dropped without leaving a gap. Notes with any of these
+    always pass.
     """
-    return mentions_any(content, query_terms(query)) | content.contains("&") | content.contains("\\")
+    body = F.regexp_replace(content, FRONT, "")
+    return (
+        mentions_any(content, query_terms(query))
+        | content.contains("&")
+        | content.contains("\\")
+        | content.rlike(MARKED_HEADING)
+        | body.rlike(UNDERLINED_HEADING)
+    )
 
 
 def _matches(notes: DataFrame, query: str, tfidf_weight: float, min_score: float) -> DataFrame:

@@ -99,6 +99,24 @@ def test_escapes_and_entities_are_searched(make):
     assert fragment_search(notes, "abc").count() == 1
 
 
+@pytest.mark.parametrize(
+    "head",
+    ["# foo**bar**", "#\tfoo`x`bar", "## foo[bar](u) #", "foo*bar*\n===", "foo  \nbar\n---", "---\nt: 1\n---\nfoo_ba_ r\n# fo<b>o</b>bar", "x\r\n\r\n# foo~~bar~~"],
+)
+def test_words_joined_by_heading_markup_are_found(make, head):
+    vault = {"n.md": head + "\n\nbody words\n\n# Other\n\nmore\n", "m.md": "# Plain\n\nnothing here\n\n# B\n\nb\n"}
+    for query in ("foobar", "foobar body", "words"):
+        assert got(global_search(make(vault), query)) == brute(vault, query, 20)
+
+
+def test_front_matter_does_not_force_parsing(spark, make):
+    from marginalia.operators.search import may_match
+
+    notes = make({"a.md": "---\ntitle: x\n---\n\n# Plain\n\nnothing\n", "b.md": "---\na: 1\n---\nhead\n---\n", "c.md": "needle"})
+    passed = notes.filter(may_match(F.col("content"), "needle")).select("path")
+    assert {r.path for r in passed.collect()} == {"b.md", "c.md"}
+
+
 def test_fragment_limit_and_weights(make):
     notes = make(VAULT)
     assert fragment_search(notes, "quantum particles", 1).groupBy("path").count().filter("count > 1").count() == 0
