@@ -125,7 +125,7 @@ def _blended(tfidf: Column, top_t: Column, prox: Column, top_p: Column, weight:
 
 FRONT = r"\A---[ \t]*\r?\n(?:(?s).*?\r?\n)??---[ \t]*(?:\r?\n|\z)"
 MARKED_HEADING = r"(?:\A|[\r\n]) {0,3}#{1,6}[ \t][^\r\n]*[*_~`\[<!]"
-UNDERLINED_HEADING = r"[^\s][^\r\n]*(?:\r\n|\r|\n) {0,3}(?:=+|-+)[ \t]*(?:[\r\n]|\z)"
+UNDERLINED_HEADING = r"[^\r\n](?:\r\n|\r|\n) {0,3}(?:=+|-+)[ \t]*(?:[\r\n]|\z)"
 
 
 def may_match(content: Column, query: str) -> Column:

@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,6 +58,9 @@ def transitions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(TRANSITIONS), "name string, from_place string, to_place string")
 
 
+STARTS = T.ArrayType(T.StructType([T.StructField("run", T.IntegerType()), T.StructField("start", T.LongType())]))
+
+
 class _Run:
     """Effect of a stretch of events for each possible starting place."""
 
@@ -130,6 +134,19 @@ def _compose(runs: Column) -> Column:
     return F.aggregate(runs, start, step)
 
 
+@F.arrow_udf(STARTS)
+def _starts(runs: pa.Array) -> pa.Array:
+    """Starting place of every run of a key, in one pass over its ordered runs."""
+    out = []
+    for ordered in runs.to_pylist():
+        at, row = 0, []
+        for run in ordered:
+            row.append({"run": run["run"], "start": at})
+            at = run["place"][at]
+        out.append(row)
+    return pa.array(out, pa.list_(pa.struct([("run", pa.int32()), ("start", pa.int64())])))
+
+
 def _place_name(slot: Column) -> Column:
     return F.get(F.array(*[F.lit(p) for p in PLACES]), slot.cast("int"))
 
@@ -165,11 +182,7 @@ def history(events: DataFrame, key: str, order: list[str], name: str) -> DataFra
     ranged = _ranged(events.select(key, *order, name), key, order).withColumn("run", F.spark_partition_id()).checkpoint()
     runs = _runs(ranged, key, order + ["run"], name)
     numbered = _collected(runs, key, order, "run")
-    before = F.transform(
-        "runs",
-        lambda r, i: F.struct(r["run"].alias("run"), _compose(F.slice("runs", F.lit(1), i))["place"].alias("place")),
-    )
-    starts = numbered.select(key, F.explode_outer(before).alias("b")).select(key, "b.run", F.col("b.place").alias("start"))
+    starts = numbered.select(key, F.explode_outer(_starts("runs")).alias("b")).select(key, "b.run", "b.start")
     joined = ranged.join(starts, [key, "run"]).repartition(key, "run").sortWithinPartitions(key, "run", *order)
     fields = [ranged.schema[c] for c in [key, *order, name]]
     schema = T.StructType([*fields, *[T.StructField(c, T.StringType()) for c in ("from_place", "to_place")], T.StructField("accepted", T.BooleanType())])
