@@ -7,9 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marginalia.llm.balancing import op10_mix
+from marginalia.llm.hostquality import op7_host_rules
+from marginalia.llm.langid import op6_language
+from marginalia.llm.pieces import op5_pieces
 from marginalia.llm.resharding import op9_reshard
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_pieces": op5_pieces,
+    "op6_language": op6_language,
+    "op7_host_rules": op7_host_rules,
     "op9_reshard": op9_reshard,
     "op10_mix": op10_mix,
 }
