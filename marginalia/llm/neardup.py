@@ -224,7 +224,7 @@ def classes(docs: DataFrame, weighting: str = "set") -> DataFrame:
     sketched = materialise(sketch(docs, weighting), "sketch")
     # A node is a set of elements (or, without words, a text); it keeps one text to verify with.
     node = F.when(F.col("n") > 0, F.col("digest")).otherwise(F.col("t1"))
-    nodes = materialise(sketched.withColumn("node", node).groupBy("node").agg(F.first("n").alias("n"), F.min(F.struct("t1", "t2")).alias("text"), F.first("bands").alias("bands")).filter("n > 0"), "nodes")
+    nodes = materialise(sketched.withColumn("node", node).groupBy("node").agg(F.first("n").alias("n"), F.min(F.struct("t1", "t2", "doc_id")).alias("text"), F.first("bands").alias("bands")).filter("n > 0"), "nodes")
     members = nodes.select("node", "n", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("node", "n")).alias("rep")).filter("m > 1")
     shared = materialise(members.join(buckets, "key").select("key", "node", "n", "m", "rep"), "buckets")
@@ -237,9 +237,11 @@ def classes(docs: DataFrame, weighting: str = "set") -> DataFrame:
     first = materialise(star.select("a", "b").union(close).distinct(), "pairs")
 
     needed = shared.filter("m > 1").select("node").distinct()
-    texts = nodes.join(needed, "node", "left_semi").select("node", F.col("text.t1").alias("t1"), F.col("text.t2").alias("t2"))
-    wanted = docs.select(F.xxhash64(text_of()).alias("t1"), F.crc32(text_of().cast("binary")).alias("t2"), text_of().alias("__text"))
-    one_text = wanted.join(texts, ["t1", "t2"]).groupBy("node").agg(F.first("__text").alias("__text"))
+    texts = nodes.join(needed, "node", "left_semi").select("node", F.col("text.t1").alias("t1"), F.col("text.t2").alias("t2"), F.col("text.doc_id").alias("id"))
+    # The id is part of the key: copies of one text then spread over the tasks, and all but one find no partner.
+    wanted = docs.select(F.xxhash64(text_of()).alias("w1"), F.crc32(text_of().cast("binary")).alias("w2"), "doc_id", text_of().alias("__text"))
+    same = (wanted["w1"] == texts["t1"]) & (wanted["w2"] == texts["t2"]) & wanted["doc_id"].eqNullSafe(texts["id"])
+    one_text = wanted.join(texts, same).groupBy("node").agg(F.first("__text").alias("__text"))
     sets = materialise(element_sets(one_text.select("node", "__text")), "sets")
     links = materialise(_verified(first, sets), "links")
     roots = components(links)

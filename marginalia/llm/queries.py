@@ -8,18 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marginalia.llm.balancing import op10_mix
 from marginalia.llm.hostquality import op7_host_rules
+from marginalia.llm.imatch import op8_imatch
 from marginalia.llm.langid import op6_language
+from marginalia.llm.licenses import op3_licenses
 from marginalia.llm.neardup import op4_neardup
+from marginalia.llm.pii import op2_pii
 from marginalia.llm.pieces import op5_pieces
 from marginalia.llm.resharding import op9_reshard
 from marginalia.llm.toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_pii": op2_pii,
+    "op3_licenses": op3_licenses,
     "op4_neardup": op4_neardup,
     "op5_pieces": op5_pieces,
     "op6_language": op6_language,
     "op7_host_rules": op7_host_rules,
+    "op8_imatch": op8_imatch,
     "op9_reshard": op9_reshard,
     "op10_mix": op10_mix,
 }
