@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from marginalia.session import materialise, shared_dir, ship_package
 
-__all__ = ["is_held_out", "join_small", "materialise", "row_hash", "shared_dir", "ship_package", "slot_in_group", "table", "text_of"]
+__all__ = ["first_by_hash", "is_held_out", "join_small", "materialise", "row_hash", "shared_dir", "ship_package", "slot_in_group", "table", "text_of"]
 
 # Broadcast sides are counted first; above this many (narrow) rows the join shuffles.
 BROADCAST_ROWS = 200_000
@@ -72,3 +72,17 @@ def slot_in_group(df: DataFrame, group: list[str], hashed: str, ties: list[str],
     placed = sliced.withColumn("__place", F.row_number().over(place) - 1)
     joined = join_small(placed, offsets, [*group, "__slice"])
     return joined.withColumn(name, (F.col("__before") + F.col("__place")).cast("long")).drop("__before", "__place", "__slice")
+
+
+def first_by_hash(rows: DataFrame, group: str, sizes: dict, most: int) -> DataFrame:
+    """At most ``most`` rows of each group, the first by (__h, __t); ``sizes`` holds the rows of each group.
+
+    Only rows whose hash lies in the share that holds about twice the wanted
+    number are ranked, so no task ranks a whole large group.
+    """
+    share = F.lit(0.0)
+    for value, n in sizes.items():
+        share = F.when(F.col(group) == value, F.lit(min(1.0, 2.0 * most / max(n, 1)))).otherwise(share)
+    near = rows.filter(F.pmod("__h", F.lit(1 << 20)) < share * (1 << 20))
+    order = W.partitionBy(group).orderBy(F.pmod("__h", F.lit(1 << 20)), "__h", "__t")
+    return near.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= most).drop("__rank")

@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marginalia.llm import textscan as ts
-from marginalia.llm.common import is_held_out, materialise, row_hash, ship_package, table
+from marginalia.llm.common import first_by_hash, is_held_out, materialise, row_hash, ship_package, table
 
 SAMPLE_DOCS = 4000
 SIZES = (3, 4, 5)
@@ -144,8 +144,7 @@ def learn(training: DataFrame, text: str = "text", lang: str = "lang") -> Filter
         return None
     languages = sorted(sizes, key=lambda x: x.encode())
     index = {x: i for i, x in enumerate(languages)}
-    first = W.partitionBy("lang").orderBy("__h", "__t")
-    sample = rows.withColumn("__rank", F.row_number().over(first)).filter(F.col("__rank") <= SAMPLE_DOCS).select("lang", "text")
+    sample = first_by_hash(rows, "lang", sizes, SAMPLE_DOCS).select("lang", "text")
     # The rank leaves one task per language; deal the sampled texts out again.
     sample = sample.repartition(max(spark.sparkContext.defaultParallelism, 4))
 

@@ -275,8 +275,8 @@ def _count(kind: int) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """Documents with every span replaced by its kind in brackets; n_chars follows. Overlapping spans are replaced once."""
     model = learn(described(docs, ["doc_id"]))
-    columns = docs.columns
-    rows = decided(described(docs.withColumn("__text", text_of()), [*[c for c in columns if c not in ("base", "all", "cands")], "__text"]), model)
+    whole_row = docs.select(F.struct(*docs.columns).alias("__row"), F.col("text"), text_of().alias("__text"))
+    rows = decided(described(whole_row, ["__row", "__text", "text"]), model)
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
     def step(acc: Column, s: Column) -> Column:
@@ -286,9 +286,13 @@ def redact(docs: DataFrame) -> DataFrame:
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     whole = F.aggregate("all", start, step, lambda a: F.concat(a["out"], F.substring(F.col("__text"), a["at"] + 1, F.length("__text"))))
-    clean = rows.withColumn("__clean", F.when(F.size("all") > 0, whole).otherwise(F.col("text")))
-    replaced = {"text": F.col("__clean").alias("text"), "n_chars": F.when(F.size("all") > 0, F.length("__clean").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if "n_chars" in columns else None}
-    return clean.select(*[replaced.get(c, F.col(c)) if replaced.get(c) is not None else F.col(c) for c in columns])
+    found = F.size("all") > 0
+    clean = rows.withColumn("__clean", F.when(found, whole).otherwise(F.col("text")))
+    own = {c: F.col("__row")[c] for c in docs.columns}
+    own["text"] = F.col("__clean")
+    if "n_chars" in own:
+        own["n_chars"] = F.when(found, F.length("__clean").cast("long")).otherwise(own["n_chars"])
+    return clean.select(*[own[c].alias(c) for c in docs.columns])
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
