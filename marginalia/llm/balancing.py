@@ -49,7 +49,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     rest = by_ratio.rowsBetween(0, W.unboundedFollowing)
     level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("__cap").over(done), F.lit(0.0))) / F.sum("__w").over(rest)
     ranked = ranked.withColumn("__level", level).withColumn("__free", F.col("__level") <= F.col("__cap") / F.col("__w"))
-    final = F.min(F.when(F.col("__free"), F.struct(F.col("__cap") / F.col("__w"), F.col("__level")))).over(everything)["__level"]
+    # The first free source decides; among equal ratios it is the one with the highest level.
+    final = -F.min(F.when(F.col("__free"), F.struct((F.col("__cap") / F.col("__w")).alias("r"), (-F.col("__level")).alias("l")))).over(everything)["l"]
     target = F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(F.least(F.col("__cap"), F.col("__w") * F.coalesce(final, F.lit(0.0))))
     return ranked.select("source", "source_size", target.alias("target"))
 
@@ -99,8 +100,7 @@ def copy_plan(cells: DataFrame, state: DataFrame, most: int = MAX_COPIES) -> Dat
 
     Systematic rounding in the order of size keeps the error of a source below
     half of its largest document. The correction then goes once from large to
-    small sizes and moves one copy of as many documents as still fit, which
-    leaves less than the smallest document that can move. The fold holds one
+    small sizes and gives or takes one copy of as many documents as still fit. The fold holds one
     entry per different size of a source.
     """
     raw = F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(50.0)))
@@ -118,11 +118,11 @@ def copy_plan(cells: DataFrame, state: DataFrame, most: int = MAX_COPIES) -> Dat
     )
 
     def step(acc: Column, c: Column) -> Column:
-        room = F.when(c["base"] < most, c["n"] - c["extra"]).otherwise(F.lit(0))
+        copies = c["n"] * c["base"] + c["extra"]
         # A move is taken only while it shortens the distance: half a document counts as fitting.
         fits = F.floor(F.abs(acc["short"]) / c["size"] + 0.4999)
-        up = F.least(room, fits)
-        down = F.least(c["extra"], fits)
+        up = F.least(c["n"], c["n"] * most - copies, fits)
+        down = F.least(c["n"], copies, fits)
         move = F.when(acc["short"] > 0, up).otherwise(-down).cast("long")
         return F.struct(
             (acc["short"] - move * c["size"]).alias("short"),
@@ -132,7 +132,8 @@ def copy_plan(cells: DataFrame, state: DataFrame, most: int = MAX_COPIES) -> Dat
     start = F.struct(F.col("short").cast("double").alias("short"), F.array().cast("array<struct<size:bigint,move:bigint>>").alias("moves"))
     moves = folded.select("source", F.explode(F.aggregate("cells", start, step)["moves"]).alias("m")).select("source", "m.size", "m.move")
     fixed = join_small(rounded, moves, ["source", "size"], "left")
-    return fixed.select("source", "size", "n", "rate", "base", (F.col("extra") + F.coalesce("move", F.lit(0))).alias("extra"))
+    copies = F.col("n") * F.col("base") + F.col("extra") + F.coalesce("move", F.lit(0))
+    return fixed.withColumn("__c", copies).select("source", "size", "n", "rate", F.floor(F.col("__c") / F.col("n")).alias("base"), F.pmod("__c", F.col("n")).alias("extra"))
 
 
 def balance(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_COPIES) -> tuple[DataFrame, DataFrame]:

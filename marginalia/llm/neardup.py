@@ -15,10 +15,12 @@ on a coordinate with the probability of their weighted Jaccard similarity.
 their element sets. Groups of any size stay linear:
 
 * equal texts and equal element sets are one node;
-* every member of a bucket is compared with the bucket's smallest node;
+* every member of a bucket is compared with the bucket's most central node, the
+  one that shares buckets with most others;
 * in buckets of up to ``SMALL`` nodes all pairs are compared;
 * in larger buckets, members outside the bucket's largest component are compared
-  with the members of other components (an exact way for the rest).
+  with the members of other components (an exact way for the rest); as long as
+  that would be many pairs, further central nodes take turns first.
 
 Result: one row per document with its class, the smallest doc_id of the
 connected component over similarities of 0.8 or more. Null and empty texts are
@@ -44,6 +46,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 36, 5
 K = BANDS * ROWS
 SMALL = 32
+# The exact rest of large buckets is compared at once when it has at most so many pairs for each of their rows.
+REST_PER_ROW, ROUNDS = 8, 40
 # Ranks are visited one unit at a time; a single element fills all coordinates long before this.
 MAX_UNITS = 1 << 14
 EMPTY = np.iinfo(np.uint64).max
@@ -226,39 +230,61 @@ def classes(docs: DataFrame, weighting: str = "set") -> DataFrame:
     node = F.when(F.col("n") > 0, F.col("digest")).otherwise(F.col("t1"))
     nodes = materialise(sketched.withColumn("node", node).groupBy("node").agg(F.first("n").alias("n"), F.min(F.struct("t1", "t2", "doc_id")).alias("text"), F.first("bands").alias("bands")).filter("n > 0"), "nodes")
     members = nodes.select("node", "n", F.explode("bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("node", "n")).alias("rep")).filter("m > 1")
-    shared = materialise(members.join(buckets, "key").select("key", "node", "n", "m", "rep"), "buckets")
+    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    shared = materialise(members.join(buckets, "key").select("key", "node", "n", "m"), "buckets")
+    # A text that many others derive from shares buckets with most of them: the best partner for all of a bucket.
+    central = shared.groupBy("node").agg(F.sum("m").alias("c"))
+    shared = materialise(shared.join(central, "node"), "buckets")
+    best = F.max(F.struct("c", "node", "n"))
 
     near = (F.col("n") * 10 >= F.col("n2") * int(THRESHOLD * 10)) & (F.col("n2") * 10 >= F.col("n") * int(THRESHOLD * 10))
-    star = shared.filter(F.col("node") != F.col("rep.node")).select(F.col("rep.node").alias("a"), F.col("node").alias("b"), "n", F.col("rep.n").alias("n2")).filter(near)
-    small = shared.filter((F.col("m") > 2) & (F.col("m") <= SMALL) & (F.col("node") != F.col("rep.node"))).select("key", "node", "n")
+    ordered = [F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")]
+
+    def star(rows: DataFrame, reps: DataFrame) -> DataFrame:
+        """Pairs of each bucket's chosen node with the bucket's other nodes: one row per member at most."""
+        chosen = reps.select("key", F.col("rep.node").alias("node2"), F.col("rep.n").alias("n2"))
+        return rows.join(chosen, "key").filter((F.col("node") != F.col("node2")) & near).select(*ordered)
+
+    small = shared.filter((F.col("m") > 2) & (F.col("m") <= SMALL)).select("key", "node", "n")
     other = small.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"))
-    close = small.join(other, "key").filter((F.col("node") < F.col("node2")) & near).select(F.col("node").alias("a"), F.col("node2").alias("b"))
-    first = materialise(star.select("a", "b").union(close).distinct(), "pairs")
+    close = small.join(other, "key").filter((F.col("node") < F.col("node2")) & near).select(*ordered)
+    tested = materialise(star(shared.select("key", "node", "n"), shared.groupBy("key").agg(best.alias("rep"))).union(close).distinct(), "pairs")
 
-    needed = shared.filter("m > 1").select("node").distinct()
-    texts = nodes.join(needed, "node", "left_semi").select("node", F.col("text.t1").alias("t1"), F.col("text.t2").alias("t2"), F.col("text.doc_id").alias("id"))
+    texts = nodes.join(central.select("node"), "node", "left_semi").select("node", F.col("text.t1").alias("t1"), F.col("text.t2").alias("t2"), F.col("text.doc_id").alias("id"))
     # The id is part of the key: copies of one text then spread over the tasks, and all but one find no partner.
     wanted = docs.select(F.xxhash64(text_of()).alias("w1"), F.crc32(text_of().cast("binary")).alias("w2"), "doc_id", text_of().alias("__text"))
     same = (wanted["w1"] == texts["t1"]) & (wanted["w2"] == texts["t2"]) & wanted["doc_id"].eqNullSafe(texts["id"])
     one_text = wanted.join(texts, same).groupBy("node").agg(F.first("__text").alias("__text"))
     sets = materialise(element_sets(one_text.select("node", "__text")), "sets")
-    links = materialise(_verified(first, sets), "links")
+    links = materialise(_verified(tested, sets), "links")
     roots = components(links)
 
-    # The rest: members of large buckets outside its largest component, against the other components.
-    large = shared.filter(F.col("m") > SMALL).select("key", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    large = materialise(large, "large")
-    sizes = large.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    mixed = large.join(main, "key")
-    outside = mixed.filter(F.col("root") != F.col("main")).select("key", "node", "n", "root")
-    against = mixed.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-    again = outside.join(against, "key").filter((F.col("root") != F.col("root2")) & near).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-    more = materialise(_verified(again.join(first, ["a", "b"], "left_anti"), sets), "links")
-    if not more.isEmpty():
-        roots = components(links.union(more))
-    roots = materialise(roots, "roots")
+    # Large buckets that still hold several components. While the exact rest would be more than a few pairs for
+    # each row, the most central node outside a bucket's largest component is compared with the bucket.
+    large = materialise(shared.filter(F.col("m") > SMALL).select("key", "node", "n", "c"), "large")
+    rows = large.count()
+    for turn in range(ROUNDS):
+        placed = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        placed = materialise(placed, "placed")
+        parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"))
+        main = parts.groupBy("key").agg(F.max(F.struct("k", "root")).alias("main"), F.sum("k").alias("m"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+        main = materialise(main.select("key", F.col("main.root").alias("main"), (F.col("m") - F.col("main.k")).alias("out"), "m"), "main")
+        rest = main.agg(F.sum(F.col("out") * F.col("m")).alias("pairs")).first()["pairs"] or 0
+        if not rest:
+            break
+        mixed = placed.join(main, "key")
+        outside = mixed.filter(F.col("root") != F.col("main"))
+        last = rest <= REST_PER_ROW * rows or turn == ROUNDS - 1
+        against = mixed.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
+        reps = outside if last else outside.groupBy("key").agg(F.max(F.struct("c", "node", "n", "root")).alias("r")).select("key", "r.node", "r.n", "r.root")
+        pairs = reps.select("key", "node", "n", "root").join(against, "key").filter((F.col("root") != F.col("root2")) & near).select(*ordered).distinct()
+        pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = materialise(_verified(pairs, sets), "links")
+        links, tested = links.union(found), tested.union(pairs)
+        if not found.isEmpty():
+            roots = components(links)
+        if last:
+            break
 
     rooted = sketched.select("doc_id", "t1", "t2", node.alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = materialise(rooted.select("doc_id", "t1", "t2", "root"), "rooted")

@@ -328,7 +328,7 @@ def targets(sizes):
 
 
 def test_targets_reshare_the_excess(spark):
-    sizes = {"a": 10, "b": 1000, "c": 500, "d": 3, "é": 70, None: 40}
+    sizes = {"a": 10, "b": 1000, "c": 500, "d": 3, "é": 70, None: 40}  # b and c have equal ratios
     got = {r["source"]: r["target"] for r in balancing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size bigint")).collect()}
     assert got == pytest.approx(targets(sizes))
 
