@@ -29,10 +29,9 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import is_held_out, materialise, row_hash, ship_package, table, text_of
+from marginalia.llm.common import first_by_hash, is_held_out, materialise, row_hash, ship_package, table, text_of
 
 SAMPLE_DOCS = 6000
 MODULUS, REMAINDER = 5, 0
@@ -162,7 +161,7 @@ def choose_words(words: DataFrame, grams: DataFrame, n_toxic: int, n_ordinary: i
     n = F.col("t") + F.col("o")
     expected = n * (n_toxic / (n_toxic + n_ordinary))
     ratio = 2 * (F.col("t") * F.log(F.col("t") / expected) + F.when(F.col("o") > 0, F.col("o") * F.log(F.col("o") / (n - expected))).otherwise(0.0))
-    marked = grams.filter((F.col("t") >= 2) & (F.col("t") > 2 * expected)).select("gram", ratio.alias("ratio")).filter(F.col("ratio") > MIN_RATIO)
+    marked = grams.filter((F.col("t") >= 2) & (F.col("t") * float(n_ordinary) > F.col("o") * (2.0 * n_toxic))).select("gram", ratio.alias("ratio")).filter(F.col("ratio") > MIN_RATIO)
     rare = words.filter((F.col("t") > 0) & (F.col("o") * (2.0 * n_toxic) <= F.col("t") * float(n_ordinary)))
 
     def cuts(n: int) -> Column:
@@ -188,13 +187,19 @@ def _content(words: list[str], size: int) -> bytes:
     return b"".join(reversed(out))
 
 
-def learn(labelled: DataFrame) -> Model:
-    """Fit on rows with doc_id, text and toxic (0 or 1)."""
-    spark = labelled.sparkSession
+def learn(docs: DataFrame, labels: DataFrame) -> Model:
+    """Fit on documents (doc_id, text) whose labels (doc_id, toxic 0 or 1) are given.
+
+    The sample is chosen among ids alone; at most 2 * SAMPLE_DOCS ids are then
+    sent to the texts, so no text is shuffled but those of the sample.
+    """
+    spark = docs.sparkSession
     ship_package(spark)
-    rows = labelled.filter(F.col("toxic").isin(0, 1)).select(text_of().alias("text"), F.col("toxic").cast("int").alias("y"), row_hash("doc_id").alias("__h"), F.crc32(text_of().cast("binary")).alias("__t"))
-    first = W.partitionBy("y").orderBy("__h", "__t")
-    sample = rows.withColumn("__rank", F.row_number().over(first)).filter(F.col("__rank") <= SAMPLE_DOCS).select("text", "y")
+    known = labels.filter(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("y")).distinct()
+    ids = docs.select("doc_id").distinct().join(known, "doc_id").select("doc_id", "y", row_hash("doc_id").alias("__h"), F.lit(0).alias("__t"))
+    per_class = {r["y"]: r["n"] for r in ids.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    chosen = first_by_hash(ids, "y", per_class, SAMPLE_DOCS).select("doc_id", "y")
+    sample = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "y")
     sample = materialise(sample.repartition(max(spark.sparkContext.defaultParallelism, 4)), "toxic-sample")
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
@@ -260,12 +265,11 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     return narrow.mapInArrow(run, (schema + ", " if schema else "") + "score double, predicted int")
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    known = labels.filter(F.col("toxic").isNotNull()).select("doc_id", "toxic")
-    return docs.filter(~is_held_out("doc_id", MODULUS, REMAINDER)).select("doc_id", "text").join(known, "doc_id")
+def training_rows(docs: DataFrame) -> DataFrame:
+    return docs.filter(~is_held_out("doc_id", MODULUS, REMAINDER)).select("doc_id", "text")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = learn(training_rows(docs, table(spark, sf_dir, "labels")))
+    model = learn(training_rows(docs), table(spark, sf_dir, "labels"))
     return score(docs.withColumn("held_out", is_held_out("doc_id", MODULUS, REMAINDER)), model, ["doc_id", "held_out"])

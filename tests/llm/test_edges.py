@@ -13,7 +13,7 @@ def language(docs):
 
 def toxic(docs):
     labels = docs.select("doc_id").distinct().withColumn("toxic", (F.col("doc_id") % 2).cast("int"))
-    return toxicity.score(docs, toxicity.learn(docs.select("doc_id", "text").join(labels, "doc_id")), ["doc_id"])
+    return toxicity.score(docs, toxicity.learn(docs.select("doc_id", "text"), labels), ["doc_id"])
 
 
 OPERATORS = {

@@ -33,7 +33,8 @@ def texts(docs):
 def test_compression_tells_toxic_words(spark):
     calm, bad = [f"quiet river walk stone{i % 9} tree" for i in range(120)], [f"quiet river vermin{i % 5} stone{i % 9} tree" for i in range(120)]
     rows = [(i, t, 0) for i, t in enumerate(calm)] + [(1000 + i, t, 1) for i, t in enumerate(bad)]
-    model = toxicity.learn(spark.createDataFrame(rows, "doc_id int, text string, toxic int"))
+    labelled = spark.createDataFrame(rows, "doc_id int, text string, toxic int")
+    model = toxicity.learn(labelled.select("doc_id", "text"), labelled.select("doc_id", "toxic"))
     probe = spark.createDataFrame([(1, "stone1 and vermin3 by the river"), (2, "a quiet walk by the river"), (3, "")], "doc_id int, text string")
     got = {r["doc_id"]: r for r in toxicity.score(probe, model, ["doc_id"]).collect()}
     assert got[1]["predicted"] == 1 and got[2]["predicted"] == 0 and 0 <= got[3]["score"] <= 1
