@@ -220,7 +220,7 @@ class Workspace:
             return {"message": "Re-indexing done"}
         if action == "overview":
             depth = a.get("max_depth")
-            rows = overview.folders(self.listing(), overview.DEFAULT_DEPTH if depth is None else depth).collect()
+            rows = overview.in_folder_order(overview.folders(self.listing(), overview.DEFAULT_DEPTH if depth is None else depth)).collect()
             total = overview.total_files(self.listing()).first().total_files
             return overview.nest([r.asDict() for r in rows], total)
         raise ValueError(f"Unknown system action: {action}")

@@ -194,6 +194,10 @@ def _similar(a: str, b: str) -> float:
 def apply_operation(text: str, op: dict) -> str:
     """One edit of one note; raises the domain error on failure."""
     kind, new = op["operation"], op["content"]
+    if kind not in OPERATIONS:
+        raise FreeformEditFailed(UNKNOWN_OPERATION % kind)
+    if new is None:
+        raise ValueError(NEEDS_CONTENT)
     if kind == "line_replace":
         if op["start_line"] is None or op["end_line"] is None:
             raise ValueError(NEEDS_LINES)
@@ -223,6 +227,9 @@ def apply_operation(text: str, op: dict) -> str:
     return _patch_text(text, op)
 
 
+OPERATIONS = ("append", "prepend", "replace", "line_replace", "string_replace", "frontmatter_set")
+UNKNOWN_OPERATION = "unknown operation %s"
+NEEDS_CONTENT = "content is required"
 OP_FIELDS = ("operation", "content", "heading", "heading_depth", "block_id", "start_line", "end_line", "search_text", "replace_all")
 OP_TYPES = {
     "operation": "string", "content": "string", "heading": "string", "heading_depth": "int", "block_id": "string",

@@ -57,12 +57,19 @@ def total_files(listing: DataFrame) -> DataFrame:
     return listing.filter(visible(F.col("path"))).agg(F.count(F.lit(1)).alias("total_files"))
 
 
+def in_folder_order(folders: DataFrame) -> DataFrame:
+    """Folders by path in locale order: letters before case, accents after plain letters."""
+    return folders.orderBy(F.collate("path", "UNICODE"), "path")
+
+
 def nest(rows: list[dict], total: int) -> dict:
-    """Nested form of a folder table for one response; sorted by path at each level.
+    """Nested form of a folder table for one response, in the order of the rows at each level.
+
+    ``in_folder_order`` gives the rows in the order a reader expects.
 
     Folders hang below ``.`` only when the root itself holds notes.
     """
-    by_path = {r["path"]: {**r, "children": []} for r in sorted(rows, key=lambda r: r["path"])}
+    by_path = {r["path"]: {**r, "children": []} for r in rows}
     roots = []
     for row in by_path.values():
         parent = by_path.get(row["parent_path"])

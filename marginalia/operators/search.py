@@ -56,8 +56,8 @@ def _df(ms: Column, i: int) -> Column:
     return F.size(F.filter(ms, lambda m: F.get(m["k"], F.lit(i)) > 0))
 
 
-def score_array(chunks: Column, query: str, tfidf_weight: float = TFIDF_WEIGHT) -> Column:
-    """Scored chunks of one note; chunks without any query term are left out.
+def score_array(chunks: Column, query: str, tfidf_weight: float = TFIDF_WEIGHT, every: bool = False) -> Column:
+    """Scored chunks of one note; chunks without any query term are left out unless ``every`` is set.
 
     Left-out chunks would score 0, and both the document frequencies and the
     maxima depend on matching chunks only, so dropping them early is exact.
@@ -112,10 +112,13 @@ def score_array(chunks: Column, query: str, tfidf_weight: float = TFIDF_WEIGHT)
             ),
         )
 
-    matched = F.filter(
-        F.transform(F.filter(chunks, lambda c: mentions_any(c["text"], terms)), measured),
-        lambda m: F.exists(m["k"], lambda k: k > 0),
-    )
+    if every:
+        matched = F.transform(chunks, measured)
+    else:
+        matched = F.filter(
+            F.transform(F.filter(chunks, lambda c: mentions_any(c["text"], terms)), measured),
+            lambda m: F.exists(m["k"], lambda k: k > 0),
+        )
     return let(let(F.struct(matched.alias("ms"), F.size(chunks).alias("n")), rate), blend)
 
 
@@ -147,10 +150,12 @@ def may_match(content: Column, query: str) -> Column:
 
 
 def _matches(notes: DataFrame, query: str, tfidf_weight: float, min_score: float) -> DataFrame:
-    """Notes with ``m``: the qualifying scored chunks of each."""
+    """Notes with ``m``: the qualifying scored chunks of each. A limit of 0 or less keeps chunks without a term too."""
+    every = min_score <= 0
     if "chunks" not in notes.columns:
-        notes = with_chunks(notes.filter(may_match(F.col("content"), query)).select("path", "content"))
-    scored = notes.select("path", score_array(F.col("chunks"), query, tfidf_weight).alias("m"))
+        wanted = notes if every else notes.filter(may_match(F.col("content"), query))
+        notes = with_chunks(wanted.select("path", "content"))
+    scored = notes.select("path", score_array(F.col("chunks"), query, tfidf_weight, every).alias("m"))
     return scored.select("path", F.filter("m", lambda r: r["score"] >= min_score).alias("m"))
 
 

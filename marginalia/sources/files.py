@@ -7,6 +7,7 @@ underscore, and empty files, all of which are notes.
 
 from __future__ import annotations
 
+import math
 import os
 import time
 import uuid
@@ -14,15 +15,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-from marginalia.errors import VaultNotFound
+from marginalia.errors import InvalidNotePath, NoteError, PathTraversal, VaultNotFound
 from marginalia.functions.paths import directory_path
 
 # Fixed value: how long a file must have been left alone before it is read.
 SETTLE_MS = 100
+# Bytes of notes that one reading task gets at most, on average.
+TASK_BYTES = 64 << 20
 LISTING = "path string, size_bytes long, modified_at timestamp"
 
 
@@ -95,7 +98,8 @@ def _flat(folder: str) -> Iterator[os.DirEntry]:
 def read_files(spark: SparkSession, root: str, listing: DataFrame) -> DataFrame:
     """Add ``content``; NULL where a file cannot be read. Bad bytes become U+FFFD.
 
-    Files are spread by path first, so one large folder does not stay in one task.
+    Files are spread by path first, over a number of tasks that follows from the
+    listed bytes: with a number given, adaptive execution does not join them again.
     """
     base = open_vault(root)
     columns = [f.simpleString().replace(":", " ", 1) for f in listing.schema.fields]
@@ -104,30 +108,49 @@ def read_files(spark: SparkSession, root: str, listing: DataFrame) -> DataFrame:
         for batch in batches:
             for start in range(0, len(batch), 64):
                 part = batch.iloc[start : start + 64].copy()
-                part["content"] = [_content(os.path.join(base, p)) for p in part["path"]]
+                part["content"] = [_content(base, p) for p in part["path"]]
                 yield part
 
-    spread = listing.repartition("path")
+    tasks = spark.sparkContext.defaultParallelism
+    if "size_bytes" in listing.columns:
+        tasks = max(tasks, math.ceil((listing.agg(F.sum("size_bytes")).first()[0] or 0) / TASK_BYTES))
+    spread = listing.repartition(tasks, "path")
     return spread.mapInPandas(read, ", ".join([*columns, "content string"]))
 
 
-def _content(path: str) -> str | None:
+def _content(base: str, path: str) -> str | None:
     try:
-        with open(path, "rb") as handle:
+        with open(inside(base, path), "rb") as handle:
             return handle.read().decode("utf-8", "replace")
-    except OSError:
+    except (OSError, NoteError):
         return None
 
 
-def write_files(root: str, notes: DataFrame, overwrite: bool = False, existing: DataFrame | None = None) -> DataFrame:
+def inside(base: str, path: str | None) -> str:
+    """Absolute place of a note below ``base``; raises for paths that are empty, absolute or lead out of it."""
+    if not path or "\0" in path:
+        raise InvalidNotePath(path)
+    target = os.path.normpath(os.path.join(base, path))
+    if os.path.isabs(path) or target == base or os.path.commonpath([base, target]) != base:
+        raise PathTraversal(path)
+    return target
+
+
+def write_files(root: str, notes: DataFrame, overwrite: bool = False, existing: DataFrame | None = None, order: str = "content") -> DataFrame:
     """Write ``path, content`` rows; gives ``path, error_code`` per row.
 
+    Of several rows with one path, the first by ``order`` is written and the
+    others get ``NOTE_ALREADY_EXISTS``; with ``overwrite`` the last one is
+    written and the others count as overwritten. Paths that lead out of the
+    root and rows without content get an error code.
+
     Without ``overwrite`` the caller passes the listing taken before, and
     existing paths are refused up front. Each file is replaced atomically, so
     a retried task simply writes the same bytes again.
     """
     base = open_vault(root)
-    todo = notes.select("path", "content")
+    turn = Window.partitionBy("path").orderBy(F.desc(order) if overwrite else F.asc(order))
+    todo = notes.withColumn("turn", F.row_number().over(turn)).select("path", "content", "turn")
     if not overwrite and existing is not None:
         todo = todo.join(existing.select("path", F.lit(True).alias("taken")), "path", "left")
     else:
@@ -136,11 +159,18 @@ def write_files(root: str, notes: DataFrame, overwrite: bool = False, existing:
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for path, content, taken in zip(batch["path"], batch["content"], batch["taken"]):
-                if taken is not None and taken == True:  # noqa: E712 - may be a numpy value
-                    rows.append((path, "NOTE_ALREADY_EXISTS"))
+            for path, content, taken, turn in zip(batch["path"], batch["content"], batch["taken"], batch["turn"]):
+                if taken is not None and taken == True or turn > 1:  # noqa: E712 - may be a numpy value
+                    rows.append((path, None if overwrite else "NOTE_ALREADY_EXISTS"))
+                    continue
+                try:
+                    target = inside(base, path)
+                except NoteError as exc:
+                    rows.append((path, exc.code))
+                    continue
+                if content is None:
+                    rows.append((path, "INVALID_CONTENT"))
                     continue
-                target = os.path.join(base, path)
                 os.makedirs(os.path.dirname(target), exist_ok=True)
                 temp = os.path.join(os.path.dirname(target), f".{uuid.uuid4().hex}.tmp")
                 try:
@@ -165,8 +195,10 @@ def delete_files(root: str, paths: DataFrame) -> DataFrame:
             rows = []
             for path in batch["path"]:
                 try:
-                    os.unlink(os.path.join(base, path))
+                    os.unlink(inside(base, path))
                     rows.append((path, None))
+                except NoteError as exc:
+                    rows.append((path, exc.code))
                 except OSError:
                     rows.append((path, "NOTE_NOT_FOUND"))
             yield pd.DataFrame(rows, columns=["path", "error_code"])

@@ -185,3 +185,11 @@ def test_note_tables(spark, make):
     assert [r.path for r in notes.missing(base, new.select("path")).collect()] == ["c.md"]
     read = notes.read_notes(base, new.select("path")).collect()
     assert {r.path: r.error_code for r in read} == {"b.md": None, "c.md": "NOTE_NOT_FOUND"}
+
+
+def test_unknown_operations_and_missing_content_are_row_errors(spark, make):
+    notes = make({"a.md": "# A\n\ntext\n"})
+    ops = spark.createDataFrame([(1, 1, "a.md", "explode", "new"), (2, 1, "a.md", "append", None), (3, 1, "a.md", "append", "more")], "batch_id int, seq int, path string, operation string, content string")
+    got = {r["batch_id"]: r for r in edits.batch_edit(notes, ops).collect()}
+    assert "unknown operation explode" in got[1]["error"] and got[2]["error"] == "content is required"
+    assert got[1]["content"] is None and got[3]["status"] == "success"

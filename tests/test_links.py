@@ -132,7 +132,7 @@ def test_overview(spark):
         "l1/l2/l3": ("l1/l2", 3, 0, None),
     }
     assert overview.total_files(listing).first().total_files == 4
-    tree = overview.nest([r.asDict() for r in overview.folders(listing).collect()], 4)
+    tree = overview.nest([r.asDict() for r in overview.in_folder_order(overview.folders(listing)).collect()], 4)
     assert [f["path"] for f in tree["folders"]] == ["."] and tree["folders"][0]["children"][0]["path"] == "l1"
     rootless = overview.folders(listing.filter("path <> 'root.md'"))
     assert [f["path"] for f in overview.nest([r.asDict() for r in rootless.collect()], 3)["folders"]] == ["l1"]
@@ -156,3 +156,9 @@ def test_fuzzy(spark):
     assert {r.t: r.distance for r in found} == {"cat": 0, "car": 1, "bat": 1, "cart": 1}
     row = spark.range(1).select(fuzzy.best_of(F.lit("prt 0"), F.array(F.lit("Part 1"), F.lit("Part 0"))).alias("m")).first()
     assert row.m == "Part 0"
+
+
+def test_folders_come_in_locale_order(spark):
+    rows = spark.createDataFrame([(f"{d}/x.md", 1) for d in ("b", "A", "é", "a", "_z", "B")], "path string, size_bytes long").selectExpr("path", "size_bytes", "timestamp'2024-01-01' AS modified_at")
+    got = [r["path"] for r in overview.in_folder_order(overview.folders(rows)).collect() if r["path"] != "."]
+    assert got == ["_z", "a", "A", "b", "B", "é"]

@@ -245,3 +245,10 @@ def test_semantic_search_matches_brute_force(make):
     texts = index.select("doc_path", "chunk_idx", "text")
     again = vectors.hybrid_search(index.drop("text"), query, embed_query(embedder, query), k, texts=texts).collect()
     assert [(r.doc_path, r.chunk_idx, r.score) for r in again] == [(r.doc_path, r.chunk_idx, r.score) for r in found]
+
+
+def test_limit_zero_keeps_chunks_without_a_term(make):
+    notes = make({"n.md": "# A\n\nalpha beta\n\n# B\n\nnothing here\n\n# C\n\nalpha\n", "m.md": "# D\n\nother text\n"})
+    rows = fragment_search(notes, "alpha beta", min_score=0.0).collect()
+    assert sorted((r["path"], r["chunk_idx"]) for r in rows) == [("m.md", 0), ("n.md", 0), ("n.md", 1), ("n.md", 2)]
+    assert {r["path"] for r in fragment_search(notes, "alpha beta").collect()} == {"n.md"}

@@ -335,3 +335,25 @@ def test_tool_calls(spark, vault, tmp_path):
     status = call("system", "status")
     assert status["backlinkIndexSize"] == 2 and status["indexedDocuments"] > 3
     assert call("system", "overview")["total_files"] == 6
+
+
+def test_files_outside_the_root_are_refused(spark, tmp_path):
+    root = tmp_path / "vault"
+    root.mkdir()
+    (tmp_path / "secret.md").write_text("x")
+    rows = spark.createDataFrame([("../escaped.md", "a"), ("/tmp/abs.md", "b"), ("ok.md", "c"), ("ok.md", "d"), (None, "e"), ("empty.md", None)], "path string, content string")
+    got = {(r["path"], r["error_code"]) for r in files.write_files(str(root), rows).collect()}
+    assert got == {("../escaped.md", "PATH_TRAVERSAL"), ("/tmp/abs.md", "PATH_TRAVERSAL"), ("ok.md", None), ("ok.md", "NOTE_ALREADY_EXISTS"), (None, "INVALID_NOTE_PATH"), ("empty.md", "INVALID_CONTENT")}
+    assert not (tmp_path / "escaped.md").exists() and (root / "ok.md").read_text() == "c"
+    asked = spark.createDataFrame([("../secret.md",), ("ok.md",)], "path string")
+    assert {r["path"]: r["content"] for r in files.read_files(spark, str(root), asked).collect()} == {"../secret.md": None, "ok.md": "c"}
+    gone = {r["path"]: r["error_code"] for r in files.delete_files(str(root), asked).collect()}
+    assert gone == {"../secret.md": "PATH_TRAVERSAL", "ok.md": None} and (tmp_path / "secret.md").exists()
+
+
+def test_many_files_use_more_than_one_task(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"n{i}.md").write_text("text")
+    rows = files.read_files(spark, str(tmp_path), files.list_files(spark, str(tmp_path)))
+    tasks = rows.selectExpr("spark_partition_id() AS p").distinct().count()
+    assert tasks > 1 and rows.count() == 300
