@@ -66,7 +66,7 @@ class Workspace:
         if self.store and paths:
             rows = self.spark.createDataFrame([(p,) for p in paths], "path string")
             epoch = int(dt.datetime.now(dt.timezone.utc).timestamp() * 1e6)
-            index_batch(self.store, self.embedder, rows, lambda p: self.some(*[r.path for r in p.collect()]), epoch)
+            index_batch(self.store, self.embedder, rows, lambda p: self.some(*[r.path for r in p.collect()]), epoch, "api")
 
     # ---- tools ----
 

@@ -435,6 +435,19 @@ def index_incremental(spark, sf):
     return store.load().select("doc_path", "chunk_idx", "chunk_id", md5("text").alias("text_md5"), F.size("embedding").alias("n"))
 
 
+@query
+def index_reindexed(spark, sf):
+    """Saved, changed, saved again, changed by a second writer: only what came after the last snapshot counts on top."""
+    embedder = HashingEmbedder(16)
+    store = IndexStore(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", embedder.model, embedder.dimensions)
+    new = _label_notes(spark, sf)
+    store.save(build_index(new, embedder))
+    store.write_changes(7, build_changes(new.select("path"), new.limit(0), embedder), "first")
+    store.save(build_index(vault(spark, sf), embedder))
+    store.write_changes(0, build_changes(new.select("path"), new.filter(~F.col("content").endswith("1")), embedder), "second")
+    return store.load().select("doc_path", "chunk_idx", "chunk_id", md5("text").alias("text_md5"), F.size("embedding").alias("n"))
+
+
 @query
 def semantic_search(spark, sf):
     embedder = HashingEmbedder(64)

@@ -231,6 +231,9 @@ SELECT pos, path, heading, md5(got) AS content_md5, got IS NOT NULL AS found, CA
     "index_incremental": f"""WITH {VAULT}, {LABEL_NOTES} SELECT path AS doc_path, chunk_idx, 'Doc ' || doc_id || ' > Part ' || chunk_idx AS chunk_id,
         md5(text) AS text_md5, 16 AS n FROM chunks WHERE path NOT IN (SELECT path FROM label_notes)
         UNION ALL SELECT path, 0, 'root', md5(content), 16 FROM label_notes WHERE content = 'Label 0'""",
+    "index_reindexed": f"""WITH {VAULT}, {LABEL_NOTES} SELECT path AS doc_path, chunk_idx, 'Doc ' || doc_id || ' > Part ' || chunk_idx AS chunk_id,
+        md5(text) AS text_md5, 16 AS n FROM chunks WHERE path NOT IN (SELECT path FROM label_notes)
+        UNION ALL SELECT path, 0, 'root', md5(content), 16 FROM label_notes WHERE content = 'Label 0'""",
     "wikilinks": f"""WITH {VAULT}, {EDGES}, w AS (SELECT source_path, line_number, context FROM edges)
         SELECT source_path AS path, link AS target, line_number AS line, context FROM w JOIN parts ON path = source_path AND line_number = 10 + 4 * i""",
     "wikilink_names": f"WITH {VAULT} SELECT path, string_agg(link, ' ' ORDER BY i) AS names FROM parts GROUP BY path",

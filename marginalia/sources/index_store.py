@@ -2,16 +2,19 @@
 
 ``vectors/<snapshot>`` holds a full index. ``meta`` gets one row per snapshot,
 written last, so a snapshot without its row does not exist for readers.
-``changes/epoch=N`` holds what one streaming batch replaced or removed; an
-epoch that is written again after a failure overwrites itself.
+``changes/<snapshot>/writer=W/epoch=N`` holds what one batch replaced or removed
+since that snapshot; a batch that is written again after a failure overwrites
+itself.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import time
 import uuid
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,12 +83,15 @@ class IndexStore:
         return self.spark.createDataFrame([], VECTORS)
 
     def save(self, vectors: DataFrame, epoch: int = -1) -> str:
-        """Write a snapshot, sorted by note so that reads of one note prune row groups."""
+        """Write a snapshot, sorted by note so that reads of one note prune row groups.
+
+        Each snapshot has a change log of its own, so a new one covers all that
+        was written before it and older log rows no longer count.
+        """
         name = uuid.uuid4().hex
         target = f"{self.root}/vectors/{name}"
-        vectors.select(*COLUMNS).repartitionByRange("doc_path", "chunk_idx").sortWithinPartitions(
-            "doc_path", "chunk_idx"
-        ).write.parquet(target)
+        # By hash: a range would sample its input, which embeds every chunk twice.
+        vectors.select(*COLUMNS).repartition("doc_path").sortWithinPartitions("doc_path", "chunk_idx").write.parquet(target)
         count = self.spark.read.parquet(target).count()
         now = dt.datetime.now(dt.timezone.utc)
         row = [(VERSION, self.model, self.dimensions, now, name, epoch, count)]
@@ -101,34 +107,40 @@ class IndexStore:
             base = self.spark.read.schema(VECTORS).parquet(f"{self.root}/vectors/{last['snapshot']}")
             if base.count() < last["chunks"]:
                 return self.empty()
-        except AnalysisException:
-            return self.empty()
-        return self._with_changes(base, last["epoch"])
+        except (PySparkException, Py4JJavaError):
+            return self.empty()  # absent or unreadable files
+        return self._with_changes(base)
+
+    def _log(self) -> str:
+        last = self._latest()
+        return f"{self.root}/changes/{'none' if last is None else last['snapshot']}"
 
-    def _with_changes(self, base: DataFrame, since: int) -> DataFrame:
+    def _with_changes(self, base: DataFrame) -> DataFrame:
         try:
-            log = self.spark.read.schema(VECTORS + ", removed boolean, epoch long").parquet(f"{self.root}/changes")
+            log = self.spark.read.schema(VECTORS + ", removed boolean, seq long").parquet(self._log())
         except AnalysisException:
             return base
-        log = log.filter(F.col("epoch") > since)
-        newest = log.groupBy("doc_path").agg(F.max("epoch").alias("epoch"))
-        current = log.join(newest, ["doc_path", "epoch"], "left_semi").filter(~F.col("removed"))
+        newest = log.groupBy("doc_path").agg(F.max("seq").alias("seq"))
+        current = log.join(newest, ["doc_path", "seq"], "left_semi").filter(~F.col("removed"))
         return base.join(newest, "doc_path", "left_anti").select(*COLUMNS).unionByName(current.select(*COLUMNS))
 
-    def write_changes(self, epoch: int, rows: DataFrame) -> None:
-        """Log one batch: the new chunks of changed notes, and a ``removed`` row per note without any."""
-        rows.select(*COLUMNS, "removed").write.mode("overwrite").parquet(f"{self.root}/changes/epoch={epoch}")
+    def write_changes(self, epoch: int, rows: DataFrame, writer: str = "main") -> None:
+        """Log one batch: the new chunks of changed notes, and a ``removed`` row per note without any.
+
+        A repeated batch of one writer overwrites itself. Batches of all writers
+        are ordered by the time of writing, so a stream that starts again at
+        epoch 0 under another name neither hides nor loses earlier changes.
+        """
+        target = f"{self._log()}/writer={writer}/epoch={epoch}"
+        rows.select(*COLUMNS, "removed", F.lit(time.time_ns()).alias("seq")).write.mode("overwrite").parquet(target)
+
+    def has(self, doc_path: str) -> bool:
+        """Whether the index holds chunks of a note."""
+        return not self.load().filter(F.col("doc_path") == doc_path).isEmpty()
 
     def compact(self) -> str:
-        """Fold the change log into a new snapshot."""
-        last = self._latest()
-        since = -1 if last is None else last["epoch"]
-        try:
-            log = self.spark.read.parquet(f"{self.root}/changes")
-            upto = log.agg(F.max("epoch")).first()[0]
-        except AnalysisException:
-            upto = since
-        return self.save(self.load(), since if upto is None else int(upto))
+        """Fold the change log into a new snapshot, which starts an empty log."""
+        return self.save(self.load())
 
     def matches(self, row) -> bool:
         return (row["version"], row["embedding_model"], row["dimensions"]) == (VERSION, self.model, self.dimensions)

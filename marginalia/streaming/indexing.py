@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -11,7 +12,7 @@ from marginalia.sources.embedders import Embedder
 from marginalia.sources.index_store import IndexStore, build_changes
 
 
-def index_batch(store: IndexStore, embedder: Embedder, changed: DataFrame, read: Callable[[DataFrame], DataFrame], epoch: int) -> None:
+def index_batch(store: IndexStore, embedder: Embedder, changed: DataFrame, read: Callable[[DataFrame], DataFrame], epoch: int, writer: str = "main") -> None:
     """Index one batch of changed paths.
 
     Each path is handled once, whatever the number of its events. ``read``
@@ -20,7 +21,7 @@ def index_batch(store: IndexStore, embedder: Embedder, changed: DataFrame, read:
     the batch, which Spark then repeats, instead of being taken for a delete.
     """
     paths = changed.select("path").distinct()
-    store.write_changes(epoch, build_changes(paths, read(paths), embedder))
+    store.write_changes(epoch, build_changes(paths, read(paths), embedder), writer)
 
 
 def start_indexing(
@@ -34,8 +35,11 @@ def start_indexing(
 ) -> StreamingQuery:
     """Run :func:`index_batch` on every micro-batch of a change stream; ``after`` may update backlinks."""
 
+    # Epochs count within one checkpoint, so the checkpoint names the writer.
+    writer_name = hashlib.md5(checkpoint.encode()).hexdigest()
+
     def handle(batch: DataFrame, epoch: int) -> None:
-        index_batch(store, embedder, batch, read, epoch)
+        index_batch(store, embedder, batch, read, epoch, writer_name)
         if after:
             after(batch.select("path").distinct(), epoch)
 

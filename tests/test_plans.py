@@ -9,7 +9,7 @@ from marginalia.plans.catalog import QUERIES
 from marginalia.plans.oracle import ORACLE
 
 SF = "/root/testdata/sf0.001"
-STREAMING = {"debounce_stream", "workflow_stream", "workflow_history", "vault_files", "index_incremental"}
+STREAMING = {"debounce_stream", "workflow_stream", "workflow_history", "vault_files", "index_incremental", "index_reindexed"}
 
 
 def plan(df) -> str:

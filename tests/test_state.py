@@ -357,3 +357,20 @@ def test_many_files_use_more_than_one_task(spark, tmp_path):
     rows = files.read_files(spark, str(tmp_path), files.list_files(spark, str(tmp_path)))
     tasks = rows.selectExpr("spark_partition_id() AS p").distinct().count()
     assert tasks > 1 and rows.count() == 300
+
+
+def test_reindexing_starts_a_new_log(spark, make, tmp_path):
+    embedder = HashingEmbedder(8)
+    store = IndexStore(spark, str(tmp_path / "ix"), embedder.model, 8)
+    paths = spark.createDataFrame([("a.md",)], "path string")
+    texts = lambda: {(r.doc_path, r.text) for r in store.load().collect()}
+    store.save(build_index(make({"a.md": "one\n"}), embedder))
+    store.write_changes(5, build_changes(paths, make({"a.md": "two\n"}), embedder), "old")
+    store.save(build_index(make({"a.md": "three\n"}), embedder))
+    assert texts() == {("a.md", "three")}
+    store.write_changes(10**15, build_changes(paths, make({"a.md": "four\n"}), embedder), "api")
+    store.write_changes(0, build_changes(paths, make({"a.md": "five\n"}), embedder), "stream")
+    assert texts() == {("a.md", "five")} and store.has("a.md") and not store.has("b.md")
+    for part in (tmp_path / "ix/vectors" / store._latest()["snapshot"]).glob("*.parquet"):
+        part.write_bytes(b"broken")
+    assert store.load().count() == 0
