@@ -161,8 +161,12 @@ def backlinks(notes: DataFrame, listing: DataFrame | None = None) -> DataFrame:
     itself are left out. The links found are written to the shared folder
     first: they are needed twice, and the notes should be read only once.
     """
-    found = materialise(all_links(notes), "links")
-    wiki = resolve(found.filter(F.col("link_type") == "wikilink"), listing if listing is not None else notes, ["path", "off"])
+    return edges_of(materialise(all_links(notes), "links"), listing if listing is not None else notes)
+
+
+def edges_of(found: DataFrame, listing: DataFrame) -> DataFrame:
+    """Edges of a kept table of links (from :func:`all_links`) under the notes that exist now; parses nothing."""
+    wiki = resolve(found.filter(F.col("link_type") == "wikilink"), listing, ["path", "off"])
     to_note = F.coalesce("resolved", F.concat("target", F.lit(".md")))
     inline = found.filter(F.col("link_type") == "markdown_link")
     edges = wiki.withColumn("target", to_note).select(*found.columns).unionByName(inline)
@@ -172,6 +176,16 @@ def backlinks(notes: DataFrame, listing: DataFrame | None = None) -> DataFrame:
     )
 
 
+def update_links(found: DataFrame, changed: DataFrame) -> DataFrame:
+    """Kept table of links after changes (``path, content``; NULL content removes). Only changed notes are parsed.
+
+    :func:`edges_of` then resolves all names against the new listing, so a link
+    whose target appeared or vanished follows it, as in a full rebuild.
+    """
+    kept = found.join(changed.select("path").distinct(), "path", "left_anti")
+    return materialise(kept.unionByName(all_links(changed.filter(F.col("content").isNotNull())).select(*kept.columns)), "links")
+
+
 def backlinks_of(edges: DataFrame, path: str) -> DataFrame:
     return edges.filter(F.col("target_key") == path_key(F.lit(path)))
 
@@ -181,7 +195,11 @@ def backlink_counts(edges: DataFrame) -> DataFrame:
 
 
 def update_sources(edges: DataFrame, changed: DataFrame, listing: DataFrame) -> DataFrame:
-    """Replace the edges of changed notes (``path, content``; NULL content removes)."""
+    """Replace the edges of changed notes (``path, content``; NULL content removes).
+
+    Edges of other notes keep their resolution; keep the links with
+    :func:`update_links` where targets may appear or vanish.
+    """
     kept = edges.join(changed.select(F.col("path").alias("source_path")).distinct(), "source_path", "left_anti")
     return kept.unionByName(backlinks(changed.filter(F.col("content").isNotNull()), listing))
 

@@ -735,7 +735,7 @@ def debounce_stream(spark, sf):
     """Bursts closed by the watermark, computed by a streaming query."""
     base = f"{shared_dir(spark)}/debounce-{uuid.uuid4().hex}"
     rows = _event_stream(spark, sf).select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    closed = debounce.sessions(rows, "user_id", "ts", "1 hour")
+    closed = debounce.sessions(rows, "user_id", "ts", "1 hour", "0 seconds")
     out = closed.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/cp")
     out.trigger(availableNow=True).start().awaitTermination()
     done = spark.read.schema("user_id long, last_ts timestamp, n_events long, fires_at timestamp").parquet(f"{base}/out")

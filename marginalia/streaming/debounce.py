@@ -43,8 +43,12 @@ def queue_entries(events: DataFrame, path: str, micros: str, is_delete: Column,
     return changes.unionByName(deletes)
 
 
-def sessions(stream: DataFrame, path: str, ts: str, gap: str, watermark: str = "0 seconds") -> DataFrame:
-    """Streaming debounce: one row per path and burst once the watermark passes its end."""
+def sessions(stream: DataFrame, path: str, ts: str, gap: str, watermark: str) -> DataFrame:
+    """Streaming debounce: one row per path and burst once the watermark passes its end.
+
+    ``watermark`` is how late events may come; it has no default, because later
+    ones are dropped. Zero suits sources that are in order.
+    """
     return (
         stream.withWatermark(ts, watermark)
         .groupBy(path, F.session_window(ts, gap).alias("w"))

@@ -162,3 +162,13 @@ def test_folders_come_in_locale_order(spark):
     rows = spark.createDataFrame([(f"{d}/x.md", 1) for d in ("b", "A", "é", "a", "_z", "B")], "path string, size_bytes long").selectExpr("path", "size_bytes", "timestamp'2024-01-01' AS modified_at")
     got = [r["path"] for r in overview.in_folder_order(overview.folders(rows)).collect() if r["path"] != "."]
     assert got == ["_z", "a", "A", "b", "B", "é"]
+
+
+def test_kept_links_follow_targets_like_a_full_rebuild(spark, make):
+    before = {"a.md": "see [[new]] and [[b]]\n", "b.md": "[a](a.md) [[gone]]\n", "gone.md": "x\n"}
+    after = {"a.md": before["a.md"], "b.md": "only [[gone]] now\n", "sub/new.md": "back to [[a]]\n"}
+    changed = spark.createDataFrame([("b.md", after["b.md"]), ("gone.md", None), ("sub/new.md", after["sub/new.md"])], "path string, content string")
+    kept = links.update_links(links.all_links(make(before)), changed)
+    got = sorted(map(tuple, links.edges_of(kept, make(after)).collect()))
+    assert got == sorted(map(tuple, links.backlinks(make(after)).collect()))
+    assert ("sub/new", "a.md") in {(x[0], x[1]) for x in got}
