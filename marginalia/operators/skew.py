@@ -26,4 +26,7 @@ def attach(rows: DataFrame, facts: DataFrame, key: str, weight: str, row_id: lis
     left = rows.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot") == 1, salt).otherwise(F.lit(0)))
     copies = F.when(F.col("_hot") == 1, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     right = facts.join(hot, key, "left").withColumn("_salt", F.explode(copies))
-    return left.drop("_hot").join(right.drop("_hot", weight), [key, "_salt"]).drop("_salt")
+    right = right.drop("_hot", weight).withColumnRenamed(key, "_key").withColumnRenamed("_salt", "_other")
+    # A null key is a key of its own.
+    same = left[key].eqNullSafe(right["_key"]) & (left["_salt"] == right["_other"])
+    return left.join(right, same).drop("_hot", "_salt", "_key", "_other")

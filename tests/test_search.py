@@ -252,3 +252,10 @@ def test_limit_zero_keeps_chunks_without_a_term(make):
     rows = fragment_search(notes, "alpha beta", min_score=0.0).collect()
     assert sorted((r["path"], r["chunk_idx"]) for r in rows) == [("m.md", 0), ("n.md", 0), ("n.md", 1), ("n.md", 2)]
     assert {r["path"] for r in fragment_search(notes, "alpha beta").collect()} == {"n.md"}
+
+
+def test_rows_of_a_null_scope_keep_their_facts(spark):
+    rows = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "k string, i int")
+    facts = spark.createDataFrame([(None, 2, "none"), ("a", 1, "one")], "k string, w long, fact string")
+    got = sorted((r["i"], r["fact"]) for r in attach(rows, facts, "k", "w", ["i"]).collect())
+    assert got == [(1, "none"), (2, "none"), (3, "one")]
