@@ -35,6 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marginalia.llm import textscan as ts
@@ -47,7 +48,7 @@ BANDS, ROWS = 36, 5
 K = BANDS * ROWS
 SMALL = 32
 # The exact rest of large buckets is compared at once when it has at most so many pairs for each of their rows.
-REST_PER_ROW, ROUNDS = 8, 40
+REST_PER_ROW, ROUNDS = 8, 6
 # Ranks are visited one unit at a time; a single element fills all coordinates long before this.
 MAX_UNITS = 1 << 14
 EMPTY = np.iinfo(np.uint64).max
@@ -260,7 +261,8 @@ def classes(docs: DataFrame, weighting: str = "set") -> DataFrame:
     roots = components(links)
 
     # Large buckets that still hold several components. While the exact rest would be more than a few pairs for
-    # each row, the most central node outside a bucket's largest component is compared with the bucket.
+    # each row, the most central nodes outside a bucket's largest component are compared with the bucket: one in
+    # the first round, four times as many in each later one.
     large = materialise(shared.filter(F.col("m") > SMALL).select("key", "node", "n", "c"), "large")
     rows = large.count()
     for turn in range(ROUNDS):
@@ -276,7 +278,8 @@ def classes(docs: DataFrame, weighting: str = "set") -> DataFrame:
         outside = mixed.filter(F.col("root") != F.col("main"))
         last = rest <= REST_PER_ROW * rows or turn == ROUNDS - 1
         against = mixed.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-        reps = outside if last else outside.groupBy("key").agg(F.max(F.struct("c", "node", "n", "root")).alias("r")).select("key", "r.node", "r.n", "r.root")
+        rank = F.row_number().over(W.partitionBy("key").orderBy(F.desc("c"), "node"))
+        reps = outside if last else outside.withColumn("rank", rank).filter(F.col("rank") <= 4**turn)
         pairs = reps.select("key", "node", "n", "root").join(against, "key").filter((F.col("root") != F.col("root2")) & near).select(*ordered).distinct()
         pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         found = materialise(_verified(pairs, sets), "links")
