@@ -96,7 +96,7 @@ def blocks_of(words: Column, block: int = BLOCK) -> Column:
 
 
 def block_matches(words: Column, templates: list[tuple[str, list[str], int]], block: int = BLOCK) -> Column:
-    """Array of (start, label, template, score) of the blocks that reach a template's least overlap."""
+    """Array of (start, label, template, score, words) of the blocks that reach a template's least overlap; words are the shared ones."""
     vocabulary = F.array(*[F.lit(w) for w in dict.fromkeys(w for _, ws, _ in templates for w in ws)])
 
     def verify(b: Column) -> Column:
@@ -110,8 +110,9 @@ def block_matches(words: Column, templates: list[tuple[str, list[str], int]], bl
                 # Place of the rarest shared prefix word; the words from there on bound the overlap.
                 place = F.coalesce(*[F.when(F.array_contains(held, w), F.lit(i)) for i, w in enumerate(prefix)], F.lit(len(ws)))
                 possible = (F.size(held) >= least) & (F.lit(len(ws)) - place >= least)
-                overlap = F.size(F.array_intersect(held, F.array(*map(F.lit, ws))))
-                hit = F.when(possible, F.when(overlap >= least, F.struct(b["start"].alias("start"), F.lit(label).alias("label"), F.lit(k).alias("template"), (overlap / len(ws)).alias("score"))))
+                shared = F.array_intersect(held, F.array(*map(F.lit, ws)))
+                overlap = F.size(shared)
+                hit = F.when(possible, F.when(overlap >= least, F.struct(b["start"].alias("start"), F.lit(label).alias("label"), F.lit(k).alias("template"), (overlap / len(ws)).alias("score"), shared.alias("words"))))
                 found.append(hit)
             return F.filter(F.array(*found), lambda x: x.isNotNull())
 
@@ -134,7 +135,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
     ordered = ordered_templates(templates, frequencies(docs, vocabulary), threshold)
     prefixes = sorted({w for _, ws, least in ordered for w in ws[: len(ws) - least + 1]})
     narrow = docs.select(*(keep or ["doc_id"]), normal(text_of()).alias("normal"))
-    none = F.array().cast("array<struct<start:int,label:string,template:int,score:double>>")
+    none = F.array().cast("array<struct<start:int,label:string,template:int,score:double,words:array<string>>>")
     words = F.split("normal", " ")
     rough = F.col("normal").rlike("|".join(f"(?:{w})" for w in prefixes))
     exact = F.arrays_overlap(words, F.array(*map(F.lit, prefixes)))
@@ -162,11 +163,11 @@ def digest(docs: DataFrame) -> DataFrame:
         found = found.withColumn(f"__p{k}", phrase_places(F.col("normal"), phrase))
     places = F.concat(*[F.col(f"__p{k}") for k in range(len(PHRASES))])
     base = F.array_compact(F.array(*[F.when(F.size(f"__p{k}") > 0, F.lit(label)) for k, label in enumerate(PHRASES.values())]))
-    # A block takes the labels of its best templates only: similar notices also reach the threshold.
-    def is_best(m: Column) -> Column:
-        return ~F.exists("matches", lambda o: (o["start"] == m["start"]) & (o["score"] > m["score"]))
+    # A similar notice also reaches the threshold: it is no find of its own where a better one matches through all of its words.
+    def is_own(m: Column) -> Column:
+        return ~F.exists("matches", lambda o: (o["start"] == m["start"]) & (o["score"] > m["score"]) & (F.size(F.array_except(m["words"], o["words"])) == 0))
 
-    own = F.transform(F.filter("matches", is_best), lambda m: m["label"])
+    own = F.transform(F.filter("matches", is_own), lambda m: m["label"])
     best = F.coalesce(F.array_max(F.transform("matches", lambda m: m["score"])), F.lit(0.0))
     return found.select(
         "doc_id",

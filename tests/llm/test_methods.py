@@ -130,6 +130,17 @@ def test_license_scan_matches_brute_force(spark, docs):
     assert got[20_003]["labels"] == "gpl-3"
 
 
+def test_license_digest_keeps_every_notice_of_a_block(spark):
+    rows = {
+        1: ("Released under the MIT License, or licensed under the Apache License 2.0", "apache-2,mit"),
+        2: ("This work is licensed under the GNU General Public License, version 3; docs licensed under CC BY SA 4.0", "cc-by-sa,gpl-3"),
+        3: ("licensed under the GNU Lesser General Public License, version 3", "lgpl-3"),
+        4: ("Licensed under CC BY SA 4.0", "cc-by-sa"),
+    }
+    got = licenses.digest(spark.createDataFrame([(i, t) for i, (t, _) in rows.items()], "doc_id int, text string"))
+    assert {r["doc_id"]: r["labels"] for r in got.collect()} == {i: labels for i, (_, labels) in rows.items()}
+
+
 # ---- op4 ----
 
 
