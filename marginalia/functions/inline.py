@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Callable, Iterator
 
 SPECIAL = re.compile(r"[\\`<&\[\]!*_~\n]")
 TICKS = re.compile(r"`+")
@@ -229,10 +230,20 @@ def parse_inline(s: str, refs: set[str]) -> list:
 
 def _bare_links(nodes: list) -> list:
     """Turn web and mail addresses in text into links, as GFM does."""
-    out: list = []
+    top: list = []
+    work = [(nodes, top)]
+    while work:
+        nodes, out = work.pop()
+        _bare_level(nodes, out, work)
+    return top
+
+
+def _bare_level(nodes: list, out: list, work: list) -> None:
     for node in nodes:
         if node[0] == "em" or node[0] == "ref":
-            node = [node[0], node[1], _bare_links(node[2]), node[3], node[4]]
+            inner: list = []
+            work.append((node[2], inner))
+            node = [node[0], node[1], inner, node[3], node[4]]
         if node[0] != "text" or not ("@" in node[1] or "://" in node[1] or "www." in node[1].lower()):
             out.append(node)
             continue
@@ -248,23 +259,30 @@ def _bare_links(nodes: list) -> list:
             last = m.start() + len(address)
         if last < len(node[1]):
             out.append(_text(node[1][last:]))
-    return out
+
+
+def _walk(nodes: list, opened: Callable[[list], bool]) -> Iterator[list]:
+    """Nodes in order of the text, those below a node behind it if it is to be opened."""
+    stack = [iter(nodes)]
+    while stack:
+        node = next(stack[-1], None)
+        if node is None:
+            stack.pop()
+            continue
+        yield node
+        if node[2] and opened(node):
+            stack.append(iter(node[2]))
 
 
 def body_text(nodes: list) -> str:
     """Values as they are; children joined with one space."""
-    return " ".join(n[1] if n[1] is not None else body_text(n[2] or []) for n in nodes)
+    return " ".join(n[1] or "" for n in _walk(nodes, lambda n: n[1] is None) if n[1] is not None or not n[2])
 
 
 def plain_text(nodes: list) -> str:
     """Only text nodes, nothing between them; inline code is left out."""
-    return "".join(n[1] if n[0] == "text" else plain_text(n[2] or []) for n in nodes)
+    return "".join(n[1] for n in _walk(nodes, lambda n: n[0] != "text") if n[0] == "text")
 
 
 def link_nodes(nodes: list) -> list:
-    found = []
-    for n in nodes:
-        if n[0] == "link":
-            found.append((n[3], n[4]))
-        found.extend(link_nodes(n[2] or []))
-    return found
+    return [(n[3], n[4]) for n in _walk(nodes, lambda n: True) if n[0] == "link"]

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections.abc import Generator
 from itertools import accumulate
 from typing import NamedTuple
 
@@ -64,8 +65,6 @@ DEFINITION = re.compile(
     r" {0,3}\[(?!\^)((?:[^\[\]\\]|\\.)+)\]:[ \t]*\n?[ \t]*(?:<[^<>\n]*>|[^\s<]\S*)"
     r"(?:[ \t]*\n?[ \t]+(?:\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\)))?[ \t]*(?:\n|$)"
 )
-DEFINITION_LINES = 50
-MAX_NESTING = 100
 ANY_LABEL = re.compile(r"^[ >\t]*\[((?:[^\[\]\\]|\\.)+)\]:", re.M)
 DASHES = re.compile(r" {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
 CELL = re.compile(r"(?<!\\)\|")
@@ -153,11 +152,8 @@ def _interrupts(text: str) -> bool:
 def _inline_block(kind: str, depth: int, lines: list[Line], refs: set[str], content: list[Line] | None = None) -> Block:
     parts = [Line(x.text.lstrip(" \t"), x.off + len(x.text) - len(x.text.lstrip(" \t")), x.no) for x in content or lines]
     source = "\n".join(p.text for p in parts).rstrip(" \t")
-    try:
-        nodes = parse_inline(source, refs)
-        return Block(kind, depth, body_text(nodes), plain_text(nodes), lines[0], lines[-1], _locate(nodes, parts))
-    except RecursionError:  # absurdly deep nesting: keep the words, give up the structure
-        return Block(kind, depth, source, source, lines[0], lines[-1], [])
+    nodes = parse_inline(source, refs)
+    return Block(kind, depth, body_text(nodes), plain_text(nodes), lines[0], lines[-1], _locate(nodes, parts))
 
 
 def _locate(nodes: list, parts: list[Line]) -> list:
@@ -178,6 +174,10 @@ def _container(kind: str, first: Line, last: Line, children: list[Block]) -> Blo
     return Block(kind, 0, " ".join(c.text for c in children), "", first, last, links)
 
 
+def _filled(lines: list[Line]) -> list[Line]:
+    return [x for x in lines if x.text.strip()]
+
+
 def _lazy(inner: list[Line], text: str) -> bool:
     """Can ``text`` continue the paragraph that ends ``inner``?"""
     prior = inner[-1].text if inner else ""
@@ -206,31 +206,23 @@ def _take_item(lines: list[Line], i: int, inner: list[Line], width: int) -> int:
     return i
 
 
-def _list(lines: list[Line], i: int, refs: set[str], level: int) -> tuple[Block, int]:
-    first = last = lines[i]
-    mark = ITEM.match(first.text).group(2)[-1]
-    items: list[Block] = []
-    while i < len(lines):
-        m = ITEM.match(lines[i].text)
-        if not m or m.group(2)[-1] != mark or (items and RULE.match(lines[i].text)):
-            break
-        gap = _indent(m.group(3)) if lines[i].text[m.end() :].strip() else 1
-        width = len(m.group(1)) + len(m.group(2)) + (gap if 1 <= gap <= 4 else 1)
-        head = lines[i]
-        cut = min(width, len(head.text))
-        if task := TASK.match(head.text, cut):
-            cut = task.end()
-        inner = [Line(head.text[cut:], head.off + cut, head.no)]
-        i = _take_item(lines, i, inner, width)
-        filled = [x for x in inner if x.text.strip()]
-        last = filled[-1] if filled else head
-        items.append(_container("listItem", head, last, scan(inner, refs, level + 1)))
-        ahead = i
-        while ahead < len(lines) and not lines[ahead].text.strip():
-            ahead += 1
-        if ahead < len(lines) and ahead > i and ITEM.match(lines[ahead].text):
-            i = ahead
-    return _container("list", first, last, items), i
+def _item(lines: list[Line], i: int) -> tuple[list[Line], int]:
+    """The lines inside the list item that starts at ``i``, and the line behind it."""
+    head = lines[i]
+    m = ITEM.match(head.text)
+    gap = _indent(m.group(3)) if head.text[m.end() :].strip() else 1
+    width = len(m.group(1)) + len(m.group(2)) + (gap if 1 <= gap <= 4 else 1)
+    cut = min(width, len(head.text))
+    if task := TASK.match(head.text, cut):
+        cut = task.end()
+    inner = [Line(head.text[cut:], head.off + cut, head.no)]
+    return inner, _take_item(lines, i, inner, width)
+
+
+def _same_list(lines: list[Line], i: int, mark: str) -> bool:
+    """Does line ``i`` start a further item of a list with this mark?"""
+    m = ITEM.match(lines[i].text) if i < len(lines) else None
+    return bool(m and m.group(2)[-1] == mark and not RULE.match(lines[i].text))
 
 
 def _cells(text: str) -> list[str]:
@@ -270,13 +262,17 @@ def _paragraph(lines: list[Line], i: int, refs: set[str], out: list[Block]) -> i
             break
         i += 1
     body = lines[start:i]
-    while body and body[0].text.lstrip().startswith("["):
-        m = DEFINITION.match("\n".join(x.text for x in body[:DEFINITION_LINES]))
+    source, pos, taken = "", 0, 0
+    while taken < len(body) and body[taken].text.lstrip().startswith("["):
+        source = source or "\n".join(x.text for x in body)
+        m = DEFINITION.match(source, pos)
         if not m or not m.group(1).strip():
             break
         used = m.group().rstrip("\n").count("\n") + 1
-        out.append(Block("definition", 0, "", "", body[0], body[used - 1], []))
-        body = body[used:]
+        out.append(Block("definition", 0, "", "", body[taken], body[taken + used - 1], []))
+        pos += sum(len(x.text) + 1 for x in body[taken : taken + used])
+        taken += used
+    body = body[taken:]
     mark = SETEXT.match(lines[i].text) if body and i < len(lines) else None
     if mark and body:
         depth = 1 if mark.group(1)[0] == "=" else 2
@@ -287,8 +283,30 @@ def _paragraph(lines: list[Line], i: int, refs: set[str], out: list[Block]) -> i
     return i
 
 
-def scan(lines: list[Line], refs: set[str], level: int = 0) -> list[Block]:
-    """Blocks of a list of lines; containers are parsed inside and flattened."""
+def scan(lines: list[Line], refs: set[str]) -> list[Block]:
+    """Blocks of a list of lines; containers are parsed inside and flattened.
+
+    Containers can be nested to any depth: the steps wait on a stack of their own.
+    """
+    stack, value = [_scan(lines, refs, False)], None
+    while stack:
+        try:
+            step = stack[-1].send(value)
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+        else:
+            stack.append(step)
+            value = None
+    return value
+
+
+def _scan(lines: list[Line], refs: set[str], inside: bool) -> Generator[Generator, list[Block], list[Block]]:
+    """A step of ``scan``: yields the steps of containers and is sent their blocks.
+
+    ``inside`` a container only the order of texts and links counts. The blocks
+    of one that reaches the last line then stand for it, and no step has to wait.
+    """
     out: list[Block] = []
     i, n = 0, len(lines)
     while i < n:
@@ -325,7 +343,7 @@ def scan(lines: list[Line], refs: set[str], level: int = 0) -> list[Block]:
         elif RULE.match(text):
             out.append(Block("thematicBreak", 0, "", "", line, line, []))
             i += 1
-        elif level < MAX_NESTING and QUOTE.match(text):
+        elif QUOTE.match(text):
             inner: list[Line] = []
             j = i
             while j < n:
@@ -335,15 +353,39 @@ def scan(lines: list[Line], refs: set[str], level: int = 0) -> list[Block]:
                 cut = m.end() if m else 0
                 inner.append(Line(lines[j].text[cut:], lines[j].off + cut, lines[j].no))
                 j += 1
-            out.append(_container("blockquote", line, lines[j - 1], scan(inner, refs, level + 1)))
+            if inside and j == n and _filled(inner):
+                lines, i, n = inner, 0, len(inner)
+                continue
+            out.append(_container("blockquote", line, lines[j - 1], (yield _scan(inner, refs, True))))
             i = j
-        elif level < MAX_NESTING and ITEM.match(text):
-            block, i = _list(lines, i, refs, level)
-            out.append(block)
-        elif level < MAX_NESTING and (m := NOTE.match(text)):
+        elif m := ITEM.match(text):
+            mark = m.group(2)[-1]
+            items: list[Block] = []
+            while not items or _same_list(lines, i, mark):
+                head = lines[i]
+                inner, i = _item(lines, i)
+                filled = _filled(inner)
+                if inside and i == n and filled:
+                    break
+                last = filled[-1] if filled else head
+                items.append(_container("listItem", head, last, (yield _scan(inner, refs, True))))
+                ahead = i
+                while ahead < n and not lines[ahead].text.strip():
+                    ahead += 1
+                if ahead < n and ahead > i and ITEM.match(lines[ahead].text):
+                    i = ahead
+            else:
+                out.append(_container("list", line, last, items))
+                continue
+            out.extend(items)
+            lines, i, n = inner, 0, len(inner)
+        elif m := NOTE.match(text):
             inner = [Line(text[m.end() :], line.off + m.end(), line.no)]
             i = _take_item(lines, i, inner, 4)
-            out.append(_container("footnoteDefinition", line, lines[i - 1], scan(inner, refs, level + 1)))
+            if inside and i == n and _filled(inner):
+                lines, i, n = inner, 0, len(inner)
+                continue
+            out.append(_container("footnoteDefinition", line, lines[i - 1], (yield _scan(inner, refs, True))))
         elif (kind := _html_kind(text, False)) >= 0:
             stop = HTML_KINDS[kind][1]
             j = i

@@ -159,6 +159,28 @@ def test_pathological_input_stays_linear():
     assert time.time() - started < 30
 
 
+@pytest.mark.parametrize("mark", ["> ", "- ", "1. ", "[^a]: "])
+def test_deep_containers_keep_links(mark):
+    # The second note has lines that come back out of every level.
+    for text in (mark * 1500 + "see [a](b.md)\n", "".join(">" * (150 - k) + f" {mark}[a](b{k}.md)\n\n" for k in range(150))):
+        blocks = parse_note(text)
+        assert [url for url, _, _ in blocks[0].links][-1:] != [] and sum(len(b.links) for b in blocks) == text.count("](")
+        assert not any(x in b.text for b in blocks for x in ("> ", "- ", "]("))
+        assert all(text[off:].startswith("[a]") for b in blocks for _, _, off in b.links)
+
+
+def test_deep_emphasis_keeps_links():
+    (block,) = parse_note("*a " * 3000 + "[x](y.md)" + " b*" * 3000 + "\n")
+    assert [url for url, _, _ in block.links] == ["y.md"] and "*" not in block.text
+
+
+def test_long_definitions_are_whole():
+    title = "\n".join(f"line {i}" for i in range(120))
+    blocks = parse_note(f"[a]: /x '{title}'\n[b]: /y\ntext [a] and [b]\n")
+    assert [b.kind for b in blocks] == ["definition", "definition", "paragraph"]
+    assert (blocks[0].last.no, blocks[1].first.no, blocks[2].first.no) == (120, 121, 122)
+
+
 def test_definitions_and_footnotes():
     kinds = [b.kind for b in parse_note("[a]: /x 'title'\n[b]: <y z>\ntext [a][] and [^1]\n\n[^1]: the note\n    more\n")]
     assert kinds == ["definition", "definition", "paragraph", "footnoteDefinition"]
