@@ -49,14 +49,34 @@ def sessions(stream: DataFrame, path: str, ts: str, gap: str, watermark: str) ->
     ``watermark`` is how late events may come; it has no default, because later
     ones are dropped. Zero suits sources that are in order.
     """
+    return bursts(stream.withWatermark(ts, watermark), path, ts, gap)
+
+
+def bursts(events: DataFrame, path: str, ts: str, gap: str) -> DataFrame:
+    """One row per path and burst, of a table or a stream."""
     return (
-        stream.withWatermark(ts, watermark)
-        .groupBy(path, F.session_window(ts, gap).alias("w"))
+        events.groupBy(path, F.session_window(ts, gap).alias("w"))
         .agg(F.max(ts).alias("last_ts"), F.count(F.lit(1)).alias("n_events"))
         .select(path, "last_ts", "n_events", F.col("w.end").alias("fires_at"))
     )
 
 
+def drained(stream: DataFrame, path: str, ts: str, gap: str, base: str) -> DataFrame:
+    """All bursts of the available input, those still open at its end too.
+
+    No watermark, so rows may come in any order and none is dropped; the state
+    holds one row per burst. ``base`` is a new folder for checkpoint and result.
+    """
+    found = bursts(stream, path, ts, gap)
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out")
+
+    out = found.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{base}/cp")
+    out.trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(found.schema).parquet(f"{base}/out")
+
+
 def micros_of(ts: Column) -> Column:
     """Microseconds since the epoch of a timestamp without zone."""
     return F.timestamp_diff("MICROSECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), ts)

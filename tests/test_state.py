@@ -219,6 +219,23 @@ def test_queue_keeps_deletes(spark):
     assert debounce.queue(events, "path", "t").first().first_micros == 0
 
 
+def test_drained_stream_keeps_open_bursts_and_late_rows(spark, tmp_path):
+    rng = random.Random(7)
+    data = [(rng.choice("aab"), rng.randint(0, 400) * 100_000) for _ in range(300)]
+    # The newest rows come first, so that a watermark would drop the later files.
+    for k, part in enumerate(sorted(data, key=lambda d: -d[1])[i : i + 100] for i in (0, 100, 200)):
+        rows = spark.createDataFrame(part, "path string, t long").select("path", F.timestamp_micros("t").alias("ts"))
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.05 * k)
+    stream = spark.readStream.schema("path string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = debounce.drained(stream, "path", "ts", "500 milliseconds", str(tmp_path / "work")).collect()
+    events = spark.createDataFrame(data, "path string, t long")
+    fired = {(r.path, r.last_micros) for r in debounce.firings(events, "path", "t", 500).collect()}
+    assert fired == plain_firings(data, 500_000)
+    assert {(r.path, round(r.last_ts.timestamp() * 1e6)) for r in got} == fired
+    assert len(got) == len(fired) and sum(r.n_events for r in got) == len(data)
+
+
 # ---- streams ----
 
 
