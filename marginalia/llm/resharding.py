@@ -13,7 +13,7 @@ order are broken by hash, id and checksum; equal rows are interchangeable.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -99,27 +99,27 @@ def plan_blocks(sizes: dict[int, int], shards: int, capacity: list[int] | None =
 
 
 def assign_shards(docs: DataFrame, shards: int = SHARDS, capacity: list[int] | None = None) -> DataFrame:
-    """Add ``shard`` to rows with ``size`` (bytes, at least 1), ``__old`` (int) and ``__h`` (hash of the row).
+    """Add ``shard`` to rows with ``__size`` (bytes, at least 1), ``__crc`` (checksum), ``__old`` (int) and ``__h`` (hash of the row).
 
     A document goes to the block that holds its middle byte. Places inside an
     old shard are prefix sums over slices of the order, so a shard with a third
     of all rows is spread over many tasks.
     """
     spark = docs.sparkSession
-    totals = docs.groupBy("__old").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).collect()
+    totals = docs.groupBy("__old").agg(F.sum("__size").alias("b"), F.count(F.lit(1)).alias("n")).collect()
     blocks = plan_blocks({r["__old"]: r["b"] for r in totals}, shards, capacity)
     rows = sum(r["n"] for r in totals)
     bits = max(0, min(24, (max(rows, 1) // SLICE_ROWS).bit_length()))
-    rank = (F.lit(256) - F.floor(F.log2(F.col("size").cast("double")) * 4)).cast("long")
+    rank = (F.lit(256) - F.floor(F.log2(F.col("__size").cast("double")) * 4)).cast("long")
     high = F.shiftrightunsigned(F.col("__h"), 64 - bits) if bits else F.lit(0).cast("long")
     sliced = docs.withColumn("__slice", rank * (1 << 24) + high)
-    sums = sliced.groupBy("__old", "__slice").agg(F.sum("size").alias("__b"))
+    sums = sliced.groupBy("__old", "__slice").agg(F.sum("__size").alias("__b"))
     before = W.partitionBy("__old").orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.withColumn("__before", F.coalesce(F.sum("__b").over(before), F.lit(0))).drop("__b")
-    inside = W.partitionBy("__old", "__slice").orderBy("__h", "doc_id", "text_crc32").rowsBetween(W.unboundedPreceding, -1)
-    placed = sliced.withColumn("__at", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    inside = W.partitionBy("__old", "__slice").orderBy("__h", "doc_id", "__crc").rowsBetween(W.unboundedPreceding, -1)
+    placed = sliced.withColumn("__at", F.coalesce(F.sum("__size").over(inside), F.lit(0)))
     placed = join_small(placed, sums, ["__old", "__slice"])
-    middle = F.col("__before") + F.col("__at") + F.col("size") / 2
+    middle = F.col("__before") + F.col("__at") + F.col("__size") / 2
     plan = spark.createDataFrame([(i, a, b, j) for i, a, b, j in blocks], "__o int, __from long, __to long, shard int")
     # At most old x new shards rows; one old shard has at most `shards` blocks.
     found = placed.join(F.broadcast(plan), (F.col("__old") == F.col("__o")) & (middle >= F.col("__from")) & (middle < F.col("__to")), "left")
@@ -127,39 +127,61 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, capacity: list[int] | N
     return found.withColumn("shard", F.coalesce("shard", last)).drop("__o", "__from", "__to", "__slice", "__before", "__at")
 
 
-def measured(docs: DataFrame, old_shards: int, keep: list[str] | None = None) -> DataFrame:
-    """The columns the operator works on: id, size, checksum, old shard (by source), row hash; and ``keep``."""
+def by_source(shards: int) -> Column:
+    """The assumed old shard of rows that are not stored in shards yet."""
+    return F.pmod(row_hash(F.col("source")), F.lit(shards))
+
+
+def measured(docs: DataFrame, old: Column, keep: list[str] | None = None) -> DataFrame:
+    """The columns the operator works on: id, size, checksum, old shard, row hash; and ``keep``."""
     text = text_of()
     return docs.select(
         F.col("doc_id"),
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.pmod(row_hash(F.col("source")), F.lit(old_shards)).cast("int").alias("__old"),
+        (F.octet_length(text) + 1).cast("long").alias("__size"),
+        F.crc32(text.cast("binary")).alias("__crc"),
+        old.cast("int").alias("__old"),
         *[F.col(c) for c in keep or []],
-    ).withColumn("__h", row_hash("doc_id", "text_crc32", "size"))
+    ).withColumn("__h", row_hash("doc_id", "__crc", "__size"))
 
 
 def reshard_digest(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """One narrow row per document: size, checksum, law, new shard and place in it."""
-    narrow = materialise(measured(docs, shards), "reshard")
+    narrow = materialise(measured(docs, by_source(shards)), "reshard")
     placed = assign_shards(narrow, shards)
-    out = slot_in_group(placed, ["shard"], "__h", ["doc_id", "text_crc32"], "slot", narrow.count())
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("__old").alias("old_shard"))
+    out = slot_in_group(placed, ["shard"], "__h", ["doc_id", "__crc"], "slot", narrow.count())
+    return out.select("doc_id", F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("__old").alias("old_shard"))
 
 
-def rewrite_shards(docs: DataFrame, path: str, shards: int = SHARDS, capacity: list[int] | None = None, files: int = 1) -> DataFrame:
+def rewrite_shards(
+    docs: DataFrame, path: str, shards: int = SHARDS, capacity: list[int] | None = None, files: int = 1, old: str | Column | None = None, old_shards: int | None = None
+) -> DataFrame:
     """Reshard whole documents and write the shards that change below ``path`` as ``shard=<n>``.
 
-    Returns the placed documents. A shard that neither gives nor receives is
-    not written: its old files stay valid.
+    ``old`` is the present shard of a row, a number from 0 (null: in no shard
+    yet); without it, rows are taken to lie in ``old_shards`` shards by source.
+    Returns the placed documents; their ``shard`` and ``old_shard`` replace
+    columns of those names. A shard that neither gives nor receives is not
+    written: its old files stay valid. One left without rows is removed, after
+    the others are written.
     """
-    keep = [c for c in docs.columns if c not in ("doc_id", "size", "text_crc32", "shard")]
-    placed = materialise(assign_shards(measured(docs, shards, keep), shards, capacity), "placed")
-    moves = placed.filter("__old <> shard").select("__old", "shard").distinct().collect()
-    changed = sorted({x for r in moves for x in (r["__old"], r["shard"])})
-    out = placed.drop("__h", "size", "text_crc32").withColumnRenamed("__old", "old_shard")
+    spark = docs.sparkSession
+    own = by_source(old_shards or shards) if old is None else F.col(old) if isinstance(old, str) else old
+    first, last = docs.agg(F.min(own.cast("int")), F.max(own.cast("int"))).first()
+    if first is not None and first < 0:
+        raise ValueError("old shards are numbered from 0")
+    # Rows in no shard come from a number that is neither an old nor a new one, so all of them move.
+    nowhere = max(shards, -1 if last is None else last + 1)
+    keep = [c for c in docs.columns if c not in ("doc_id", "shard", "old_shard")]
+    placed = materialise(assign_shards(measured(docs, F.coalesce(own.cast("int"), F.lit(nowhere)), keep), shards, capacity), "placed")
+    pairs = [(r["__old"], r["shard"]) for r in placed.select("__old", "shard").distinct().collect()]
+    changed = sorted({x for pair in pairs if pair[0] != pair[1] for x in pair})
+    out = placed.drop("__h", "__size", "__crc").withColumn("__old", F.nullif("__old", F.lit(nowhere))).withColumnRenamed("__old", "old_shard")
     affected = out.filter(F.col("shard").isin(changed) if changed else F.lit(False))
     affected.repartition(max(1, shards * files), "shard", F.pmod(F.xxhash64("doc_id"), F.lit(files))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    # Dynamic overwrite only replaces shards that have rows.
+    for k in sorted(set(changed) - {new for _, new in pairs} - {nowhere}):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={k}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     return out
 
 

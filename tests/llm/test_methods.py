@@ -321,6 +321,22 @@ def test_shards_are_even_and_gapless(docs, tmp_path):
     assert written.count() == placed.filter(F.col("shard").isin(list(changed))).count()
 
 
+@pytest.mark.parametrize(("shards", "capacity"), [(3, None), (9, None), (5, [0, 10_000, 10_000, 10_000, 10_000])])
+def test_rewriting_real_shards_keeps_each_row_once(spark, tmp_path, shards, capacity):
+    path, n = str(tmp_path / "shards"), 300
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("mine").alias("size"), F.lit("own").alias("text_crc32"))
+    rows.withColumn("shard", (F.col("doc_id") % 5).cast("int")).write.partitionBy("shard").parquet(path)
+    resharding.rewrite_shards(spark.read.parquet(path), path, shards, capacity, old="shard")
+    got = spark.read.parquet(path).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(n))
+    assert {(r["text"], r["size"], r["text_crc32"]) for r in got} == {(f"text {i}", "mine", "own") for i in range(n)}
+    sizes = Counter(r["shard"] for r in got)
+    assert set(sizes) == (set(range(shards)) if capacity is None else {1, 2, 3, 4}) and max(sizes.values()) - min(sizes.values()) < 0.3 * n / len(sizes) + (n if capacity else 0)
+    new = spark.createDataFrame([(n, "late", None)], "doc_id long, text string, shard int")
+    placed = resharding.rewrite_shards(new, str(tmp_path / "more"), 2, old="shard").first()
+    assert placed["old_shard"] is None and spark.read.parquet(str(tmp_path / "more")).count() == 1
+
+
 # ---- op10 ----
 
 
