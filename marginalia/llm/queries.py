@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marginalia.llm.balancing import op10_mix
+from marginalia.llm.decontamination import op13_decontamination
 from marginalia.llm.hostquality import op7_host_rules
 from marginalia.llm.imatch import op8_imatch
 from marginalia.llm.langid import op6_language
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_imatch": op8_imatch,
     "op9_reshard": op9_reshard,
     "op10_mix": op10_mix,
+    "op13_decontamination": op13_decontamination,
 }
 
 ORACLE: dict[str, str] = {
@@ -47,4 +49,14 @@ ORACLE: dict[str, str] = {
       r AS (SELECT source, (k + m * s) / (n + s) AS host_rate FROM h, p)
       SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (host_rate > 0.5 AND strict_failed) AS kept, round(host_rate, 6) AS host_rate
       FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source""",
+    "op13_decontamination": r"""WITH ws AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws, row_number() OVER () AS r FROM documents),
+      bs AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+      bw AS (SELECT DISTINCT item, n, array_to_string(ws[i:i + n - 1], ' ') AS w FROM (SELECT item, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM (SELECT item, ws, least(len(ws), 10) AS n FROM bs WHERE len(ws) > 0))),
+      dw AS (SELECT r, n, i, array_to_string(ws[i:i + n - 1], ' ') AS w FROM (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM ws, (SELECT DISTINCT n FROM bw) WHERE len(ws) >= n)),
+      hits AS (SELECT r, i, dw.n, item FROM dw JOIN bw USING (w)),
+      words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT r, i, n FROM hits)) GROUP BY r),
+      items AS (SELECT r, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+      SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+        coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+      FROM ws LEFT JOIN words USING (r) LEFT JOIN items USING (r)""",
 }
