@@ -33,6 +33,8 @@ WINDOW, GRAM = 10, 5
 # Fingerprints (one long each) up to this number are broadcast, some 64 MB; more are joined by a shuffle.
 BROADCAST_PRINTS = 2_000_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# The same words in a text whose capital letters still stand.
+RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # A fingerprint is packed with its place: no text has more than 2^30 words.
 PLACE_BITS = 30
@@ -49,7 +51,7 @@ def text_key() -> list[Column]:
 
 def hashed_words(text: Column) -> Column:
     """A hash of each word. Words are lower-cased one by one, which keeps words equal that are equal with A-Z lower-cased."""
-    return F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(F.lower(w)))
+    return F.transform(F.regexp_extract_all(text, F.lit(RAW_WORD), F.lit(0)), lambda w: F.xxhash64(F.lower(w)))
 
 
 def winnowed(df: DataFrame, hashes: str, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -150,7 +152,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     listed = join_small(sets, windows.select("wid", "item"), ["wid"]).groupBy("set_id").agg(F.sort_array(F.collect_set("item")).alias("items"))
     named = listed.select("set_id", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
     facts = materialise(texts.drop("wids").join(named, "set_id").drop("set_id"), "facts")
-    rows = docs.select("doc_id", *text_key(), F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("n_words"))
+    rows = docs.select("doc_id", *text_key(), F.regexp_count(text_of(), F.lit(RAW_WORD)).cast("long").alias("n_words"))
     joined = join_small(rows, facts, ["t1", "t2"], "left")
     return joined.select(
         "doc_id",
