@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from marginalia.session import materialise, shared_dir, ship_package
 
-__all__ = ["first_by_hash", "is_held_out", "join_small", "materialise", "row_hash", "shared_dir", "ship_package", "slot_in_group", "table", "text_of"]
+__all__ = ["bounded_batches", "first_by_hash", "is_held_out", "join_small", "materialise", "row_hash", "shared_dir", "ship_package", "slot_in_group", "table", "text_of"]
 
 # Broadcast sides are counted first; above this many (narrow) rows the join shuffles.
 BROADCAST_ROWS = 200_000
@@ -26,6 +26,15 @@ BROADCAST_ROWS = 200_000
 SLICE_ROWS = 20_000
 
 
+# Arrow batches end at this size or with the row that passes it.
+BATCH_BYTES = 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session by bytes, since rows may hold very long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -13,6 +13,7 @@ from marginalia.llm.imatch import op8_imatch
 from marginalia.llm.langid import op6_language
 from marginalia.llm.licenses import op3_licenses
 from marginalia.llm.neardup import op4_neardup
+from marginalia.llm.periodic import op11_periodic_runs
 from marginalia.llm.pii import op2_pii
 from marginalia.llm.pieces import op5_pieces
 from marginalia.llm.resharding import op9_reshard
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_imatch": op8_imatch,
     "op9_reshard": op9_reshard,
     "op10_mix": op10_mix,
+    "op11_periodic_runs": op11_periodic_runs,
     "op13_decontamination": op13_decontamination,
 }
 
