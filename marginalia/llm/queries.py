@@ -13,6 +13,7 @@ from marginalia.llm.imatch import op8_imatch
 from marginalia.llm.langid import op6_language
 from marginalia.llm.licenses import op3_licenses
 from marginalia.llm.neardup import op4_neardup
+from marginalia.llm.negatives import op12_hard_negatives
 from marginalia.llm.periodic import op11_periodic_runs
 from marginalia.llm.pii import op2_pii
 from marginalia.llm.pieces import op5_pieces
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_reshard": op9_reshard,
     "op10_mix": op10_mix,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_decontamination": op13_decontamination,
 }
 
@@ -61,4 +63,12 @@ ORACLE: dict[str, str] = {
       SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
         coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
       FROM ws LEFT JOIN words USING (r) LEFT JOIN items USING (r)""",
+    "op12_hard_negatives": r"""WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+        FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+      s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id, CAST(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) AS BIGINT) AS score
+        FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+      p AS (SELECT anchor_id, id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+      n AS (SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+        FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+      SELECT * FROM n WHERE rank <= 5""",
 }
