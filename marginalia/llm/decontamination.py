@@ -69,6 +69,11 @@ def winnowed(df: DataFrame, hashes: str, window: int = WINDOW, gram: int = GRAM)
     return df.withColumn("prints", chosen).drop("__grams")
 
 
+def runs_of_words(hashes: str, n: int) -> Column:
+    """A hash of every n consecutive words."""
+    return F.transform(F.slice(hashes, F.lit(1), F.size(hashes) - (n - 1)), lambda x, i: F.xxhash64(x, *[F.get(hashes, i + j) for j in range(1, n)]))
+
+
 def print_of(packed: Column) -> Column:
     return F.shiftright(packed, PLACE_BITS)
 
@@ -99,13 +104,9 @@ def _meeting(docs: DataFrame, benchmark: DataFrame, windows: DataFrame, window:
     # Items shorter than a window: at most window - 1 different lengths.
     short = materialise(windows.filter(F.col("length") < window).select("length", F.split("window", " ").alias("ws")).distinct(), "short")
     for n in sorted(r["length"] for r in short.select("length").distinct().collect()):
-
-        def whole(x: Column, i: Column, n: int = n) -> Column:
-            return F.xxhash64(x, *[F.get("__hs", i + j) for j in range(1, n)])
-
         wanted = short.filter(F.col("length") == n).select(F.xxhash64(*[F.xxhash64(F.lower(F.get("ws", F.lit(j)))) for j in range(n)]).alias("print")).distinct()
         wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_PRINTS else wanted
-        runs = keyed.filter(F.size("__hs") >= n).select("doc_id", "t1", "t2", F.posexplode_outer(F.transform(F.slice("__hs", F.lit(1), F.size("__hs") - (n - 1)), whole)).alias("at", "print"))
+        runs = keyed.filter(F.size("__hs") >= n).select("doc_id", "t1", "t2", F.posexplode_outer(runs_of_words("__hs", n)).alias("at", "print"))
         met = met.union(runs.join(wanted, "print", "left_semi").select("doc_id", "t1", "t2", "at", F.lit(n).alias("length")))
     return materialise(met.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.collect_set(F.struct("at", "length")).alias("places")), "met")
 

@@ -5,6 +5,13 @@ ROWS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 CLASHES = ["size", "shard", "score", "kind", "base", "spans", "key", "copies", "node", "ids", "kept", "n", "all"]
 
 
+@pytest.fixture(autouse=True)
+def nothing_stays_cached(spark):
+    """The session is shared with the rest of the suite, whose plans must not meet cached tables."""
+    yield
+    spark.catalog.clearCache()
+
+
 @pytest.fixture(scope="session")
 def odd_docs(spark):
     """Nulls in every column, empty and long texts, repeated rows, ties and clashing extra columns."""

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marginalia.llm import balancing, hostquality, imatch, langid, licenses, neardup, pieces, pii, resharding, toxicity
+from marginalia.llm import balancing, decontamination, hostquality, imatch, langid, licenses, neardup, periodic, pieces, pii, resharding, toxicity
 
 
 def language(docs):
@@ -27,6 +27,8 @@ OPERATORS = {
     "op8": imatch.digest,
     "op9": resharding.reshard_digest,
     "op10": balancing.mix_digest,
+    "op11": periodic.digest,
+    "op13": lambda d: decontamination.contamination(d, d.select(F.col("doc_id").alias("item_id"), "text")),
 }
 
 
