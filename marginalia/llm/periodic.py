@@ -34,7 +34,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -196,7 +195,7 @@ def scanned(docs: DataFrame, mutate: bool) -> DataFrame:
                     for part in np.split(np.arange(len(doc)), np.flatnonzero(np.diff(doc)) + 1):
                         tiles[doc[part[0]]].extend(tiles_of(rows[doc[part[0]]], period, block[part]))
                 n = len(rows)
-                kept = pc.if_else(pa.array([bool(t) for t in tiles]), texts.slice(lo, n), pa.scalar(None, texts.type))
+                kept = pa.array([texts[lo + i].as_py() if t else None for i, t in enumerate(tiles)], pa.string())
                 columns = [batch.column(i).slice(lo, n) for i in range(3)]
                 counts = pa.array([len(r) for r in rows], pa.int64())
                 yield pa.RecordBatch.from_arrays([*columns, counts, pa.array(plain), pa.array(tiles, kind), kept], ["doc_id", "t1", "t2", "n", "plain", "tiles", "text"])
