@@ -166,6 +166,21 @@ def solve_tile(period: int, block_no: int, blocks: int, first: int, words: list[
             yield q, first + at - agree, first + at + min(forward[q], 2 * block)
 
 
+def joined(found: Iterator[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
+    """Fragments of one tile, which come in the order of their blocks, joined where they touch."""
+    last: dict[int, list[int]] = {}
+    for q, s, e in found:
+        have = last.get(q)
+        if have and s <= have[1]:
+            have[1] = max(have[1], e)
+        else:
+            if have:
+                yield q, have[0], have[1]
+            last[q] = [s, e]
+    for q, (s, e) in last.items():
+        yield q, s, e
+
+
 TILE = "struct<octave:int,block:int,blocks:int,first:int,words:array<int>>"
 
 
@@ -205,14 +220,14 @@ def scanned(docs: DataFrame, mutate: bool) -> DataFrame:
 
 
 def fragments(tiles: DataFrame) -> DataFrame:
-    """(key, q, s, e) of every matched block of every tile."""
+    """(key, q, s, e): the matched places of every tile, blocks that touch joined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, out = batch.column(0), [[], [], [], []]
             fixed = [batch.column(i).to_pylist() for i in range(1, 5)]
             for row in range(batch.num_rows):
-                for q, s, e in solve_tile(*[c[row] for c in fixed], batch.column(5)[row].as_py()):
+                for q, s, e in joined(solve_tile(*[c[row] for c in fixed], batch.column(5)[row].as_py())):
                     for column, x in zip(out, (row, q, s, e), strict=True):
                         column.append(x)
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(out[0], pa.int64())), *[pa.array(x, pa.int32()) for x in out[1:]]], ["key", "q", "s", "e"])
