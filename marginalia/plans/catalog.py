@@ -33,6 +33,7 @@ from marginalia.sources import files
 from marginalia.sources.embedders import HashingEmbedder, embed_query
 from marginalia.sources.index_store import IndexStore, build_changes, build_index
 from marginalia.sources.synthetic import doc_path, document_lines, table, vault, vault_listing
+from marginalia.sources.watch import Watch
 from marginalia.streaming import debounce
 from marginalia.streaming.workflow_state import workflow_states
 
@@ -732,28 +733,59 @@ def _event_stream(spark, sf):
 
 @query
 def debounce_stream(spark, sf):
-    """Bursts that end before the newest event, computed by a streaming query; its statement leaves out the open ones."""
+    """All bursts, by a streaming query with a timer for each user."""
     base = f"{shared_dir(spark)}/debounce-{uuid.uuid4().hex}"
-    rows = _event_stream(spark, sf).select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    found = debounce.drained(rows, "user_id", "ts", "1 hour", base)
-    done = found.select("user_id", debounce.micros_of(F.col("last_ts").cast("timestamp_ntz")).alias("last_micros"), "n_events")
-    newest = done.agg(F.max("last_micros")).first()[0]
-    return done.filter(F.col("last_micros") + HOUR_MS * 1000 <= F.lit(newest))
+    found = debounce.drained(_event_stream(spark, sf), "user_id", "ts", base, HOUR_MS)
+    return found.select("user_id", "last_micros", "n_events")
 
 
 @query
-def workflow_stream(spark, sf):
+def queue_stream(spark, sf):
+    """What enters the queue, by a streaming query: bursts of changes, and deletes (errors) at once."""
+    base = f"{shared_dir(spark)}/queue-{uuid.uuid4().hex}"
+    found = debounce.drained(_event_stream(spark, sf), "user_id", "ts", base, HOUR_MS, is_delete=F.col("event_type") == "error")
+    return found.select("user_id", "at_micros", "kind")
+
+
+def _workflow_stream(spark, sf, name):
     """The workflow state kept by a streaming query; the last batch per key wins."""
     base = f"{shared_dir(spark)}/workflow-{uuid.uuid4().hex}"
-    name = F.create_map(*[F.lit(x) for kv in EVENT_MOVES.items() for x in kv])
-    rows = _event_stream(spark, sf).select("user_id", "ts", "event_id", F.try_element_at(name, F.col("event_type")).alias("name"))
-    states = workflow_states(rows, "user_id", ["ts", "event_id"], "name")
+    rows = _event_stream(spark, sf).select("user_id", debounce.micros_of(F.col("ts")).alias("at"), "event_id", name.alias("name"))
+    states = workflow_states(rows, "user_id", ["at", "event_id"], "name")
 
     def keep(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")
 
     out = states.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{base}/cp")
     out.trigger(availableNow=True).start().awaitTermination()
-    log = spark.read.schema("user_id long, final_place string, n_ok long, n_rejected long, epoch long").parquet(f"{base}/out")
-    last = log.groupBy("user_id").agg(F.max_by(F.struct("final_place", "n_ok", "n_rejected"), "epoch").alias("s"))
+    log = spark.read.schema("user_id long, final_place string, n_ok long, n_rejected long, available string, epoch long").parquet(f"{base}/out")
+    last = log.groupBy("user_id").agg(F.max_by(F.struct("final_place", "n_ok", "n_rejected", "available"), "epoch").alias("s"))
     return last.select("user_id", "s.*")
+
+
+@query
+def workflow_stream(spark, sf):
+    name = F.create_map(*[F.lit(x) for kv in EVENT_MOVES.items() for x in kv])
+    return _workflow_stream(spark, sf, F.try_element_at(name, F.col("event_type"))).drop("available")
+
+
+@query
+def workflow_stream_all(spark, sf):
+    """Every transition and the hard reset, with what the last place allows."""
+    name = F.create_map(*[F.lit(x) for kv in EVENT_MOVES.items() for x in kv])
+    more = F.expr("CASE WHEN event_type = 'view' AND event_id % 3 = 0 THEN 'refine' WHEN event_type = 'purchase' AND event_id % 2 = 0 THEN 'back' WHEN event_type = 'error' AND event_id % 4 = 0 THEN 'hard_reset' END")
+    return _workflow_stream(spark, sf, F.coalesce(more, F.try_element_at(name, F.col("event_type"))))
+
+
+@query
+def vault_changes(spark, sf):
+    """What a watch reports when labelled notes come, change and go: the first listing is silent."""
+    watch = Watch(spark, f"{shared_dir(spark)}/watch-{uuid.uuid4().hex}")
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    notes_now = vault_listing(spark, sf).join(table(spark, sf, "documents").select("doc_id", F.col("n_chars").alias("size_bytes")), "doc_id")
+    watch.advance(notes_now.select("path", "size_bytes", start.alias("modified_at")))
+    marked = notes_now.join(table(spark, sf, "labels"), "doc_id", "left")
+    later = marked.filter("toxic IS NULL OR toxic = 0").select("path", (F.col("size_bytes") + F.coalesce("quality", F.lit(0))).alias("size_bytes"), start.alias("modified_at"))
+    added = marked.filter("toxic = 1").select(F.concat(F.lit("moved/"), "path").alias("path"), "size_bytes", start.alias("modified_at"))
+    watch.advance(later.union(added))
+    return watch.changes().select("path", "kind", "step")

@@ -24,9 +24,10 @@ LINES = """
 lines AS (SELECT doc_id, line, text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text,
   CAST(unnest(range(len(string_split(text, chr(10))))) AS INTEGER) AS line FROM documents) WHERE text <> '')"""
 
-WORKFLOW = """
-ev AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'view' THEN 'search' WHEN 'click' THEN 'open_note'
-    WHEN 'purchase' THEN 'save' WHEN 'signup' THEN 'done' WHEN 'error' THEN 'reset' END AS name,
+def workflow(name: str) -> str:
+    """CTEs up to ``final``: the last place of each user under the moves of ``name``."""
+    return f"""
+ev AS (SELECT user_id, event_id, ts, {name} AS name,
     row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
 moves(name, f, t) AS (VALUES ('search','idle','exploring'), ('open_note','exploring','editing'), ('refine','exploring','exploring'),
     ('reset','exploring','idle'), ('save','editing','reviewing'), ('back','editing','exploring'), ('reset','editing','idle'),
@@ -34,11 +35,19 @@ moves(name, f, t) AS (VALUES ('search','idle','exploring'), ('open_note','explor
 walk AS (SELECT ev.user_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS name,
     'idle' AS from_place, 'idle' AS to_place, true AS accepted FROM ev WHERE ev.k = 1
   UNION ALL
-  SELECT ev.user_id, ev.k, ev.event_id, ev.name, walk.to_place, coalesce(moves.t, walk.to_place), moves.t IS NOT NULL
+  SELECT ev.user_id, ev.k, ev.event_id, ev.name, walk.to_place, CASE WHEN ev.name = 'hard_reset' THEN 'idle' ELSE coalesce(moves.t, walk.to_place) END, moves.t IS NOT NULL
   FROM walk JOIN ev ON ev.user_id = walk.user_id AND ev.k = walk.k + 1
   LEFT JOIN moves ON moves.name = ev.name AND moves.f = walk.to_place),
-final AS (SELECT user_id, max_by(to_place, k) AS final_place, count(*) FILTER (k > 0 AND accepted) AS n_ok,
-    count(*) FILTER (NOT accepted) AS n_rejected FROM walk GROUP BY user_id)"""
+clear AS (SELECT user_id, max(k) FILTER (k = 0 OR name = 'hard_reset') AS k0 FROM walk GROUP BY user_id),
+final AS (SELECT user_id, max_by(to_place, k) AS final_place, count(*) FILTER (k > k0 AND accepted) AS n_ok,
+    count(*) FILTER (k > k0 AND NOT accepted) AS n_rejected FROM walk JOIN clear USING (user_id) GROUP BY user_id)"""
+
+
+MOVES = """CASE event_type WHEN 'view' THEN 'search' WHEN 'click' THEN 'open_note'
+    WHEN 'purchase' THEN 'save' WHEN 'signup' THEN 'done' WHEN 'error' THEN 'reset' END"""
+WORKFLOW = workflow(MOVES)
+WORKFLOW_ALL = workflow(f"""CASE WHEN event_type = 'view' AND event_id % 3 = 0 THEN 'refine' WHEN event_type = 'purchase' AND event_id % 2 = 0 THEN 'back'
+    WHEN event_type = 'error' AND event_id % 4 = 0 THEN 'hard_reset' ELSE {MOVES} END""")
 
 
 def scores(source: str, scope: str, ids: str, query: str) -> str:
@@ -297,9 +306,16 @@ SELECT pos, path, heading, md5(got) AS content_md5, got IS NOT NULL AS found, CA
         CASE final_place WHEN 'editing' THEN 4 ELSE 1 END AS n_tool_hints FROM final""",
     "debounce_stream": f"""WITH e AS (SELECT user_id, {MICROS} AS us, lag({MICROS}) OVER (PARTITION BY user_id ORDER BY ts) AS pv FROM events),
         g AS (SELECT *, sum(CASE WHEN pv IS NULL OR us - pv > 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY us) AS s FROM e)
-        SELECT user_id, max(us) AS last_micros, count(*) AS n_events FROM g GROUP BY user_id, s
-        HAVING max(us) + 3600000000 <= (SELECT max({MICROS}) FROM events)""",
+        SELECT user_id, max(us) AS last_micros, count(*) AS n_events FROM g GROUP BY user_id, s""",
+    "queue_stream": f"""WITH e AS (SELECT user_id, {MICROS} AS us, lead({MICROS}) OVER (PARTITION BY user_id ORDER BY ts) AS nx FROM events WHERE event_type <> 'error')
+        SELECT user_id, us + 3600000000 AS at_micros, 'change' AS kind FROM e WHERE nx IS NULL OR nx - us > 3600000000
+        UNION ALL SELECT user_id, {MICROS}, 'unlink' FROM events WHERE event_type = 'error'""",
     "workflow_stream": f"WITH RECURSIVE {WORKFLOW} SELECT * FROM final",
+    "workflow_stream_all": f"""WITH RECURSIVE {WORKFLOW_ALL} SELECT *, CASE final_place WHEN 'idle' THEN 'search' WHEN 'exploring' THEN 'open_note,refine,reset'
+        WHEN 'editing' THEN 'save,back,reset' ELSE 'done,open_note,search' END AS available FROM final""",
+    "vault_changes": f"""WITH m AS (SELECT {DOC_PATH} AS path, quality, toxic FROM documents JOIN labels USING (doc_id))
+        SELECT path, 'unlink' AS kind, CAST(1 AS BIGINT) AS step FROM m WHERE toxic = 1 UNION ALL SELECT 'moved/' || path, 'add', 1 FROM m WHERE toxic = 1
+        UNION ALL SELECT path, 'change', 1 FROM m WHERE toxic = 0 AND quality = 1""",
 }
 
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 # Quiet period in milliseconds for the library and for a service.
 DEBOUNCE_MS = 500
@@ -61,20 +66,127 @@ def bursts(events: DataFrame, path: str, ts: str, gap: str) -> DataFrame:
     )
 
 
-def drained(stream: DataFrame, path: str, ts: str, gap: str, base: str) -> DataFrame:
-    """All bursts of the available input, those still open at its end too.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# The open bursts of a path: first and last event and number of events of each, in order.
+OPEN = "first array<bigint>, last array<bigint>, n array<bigint>"
 
-    No watermark, so rows may come in any order and none is dropped; the state
-    holds one row per burst. ``base`` is a new folder for checkpoint and result.
-    """
-    found = bursts(stream, path, ts, gap)
 
-    def keep(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out")
+class _Debouncer(StatefulProcessor):
+    """Keeps the open bursts of a path; a timer fires them when they have been quiet for the gap.
+
+    There is one state row and one timer for each path with an open burst, and
+    more than one burst in it only where events come late.
+    """
 
-    out = found.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{base}/cp")
-    out.trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.read.schema(found.schema).parquet(f"{base}/out")
+    def __init__(self, path: str, gap_micros: int) -> None:
+        self.path, self.gap = path, gap_micros
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", OPEN)
+
+    def _rows(self, path: object, at: list[int], kind: str, n: list[int], fires: list[int]) -> pd.DataFrame:
+        return pd.DataFrame({self.path: [path] * len(at), "last_micros": at, "kind": kind, "n_events": n, "at_micros": fires})
+
+    def _due(self, last: int) -> int:
+        """Milliseconds at which nothing more can belong to a burst with this last event."""
+        return -(-(last + self.gap) // 1000)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        if key[0] is None:
+            return
+        times = []
+        for part in rows:
+            gone = part["unlink"].to_numpy(bool)
+            if gone.any():
+                at = part["micros"].to_numpy()[gone].tolist()
+                yield self._rows(key[0], at, "unlink", [1] * len(at), at)
+            times.append(part["micros"].to_numpy(np.int64)[~gone])
+        fresh = np.sort(np.concatenate(times))
+        if not len(fresh):
+            return
+        # The batch's own bursts, then those of the state: both become one ordered list that is joined where gaps are small.
+        cut = np.flatnonzero(np.diff(fresh) > self.gap) + 1
+        starts, ends = np.append(0, cut), np.append(cut, len(fresh))
+        spans = [(int(fresh[s]), int(fresh[e - 1]), int(e - s)) for s, e in zip(starts, ends, strict=True)]
+        if self.open.exists():
+            old = self.open.get()
+            self.handle.deleteTimer(self._due(old[1][0]))
+            spans = sorted(spans + list(zip(*old, strict=True)))
+        joined = [list(spans[0])]
+        for first, last, n in spans[1:]:
+            if first - joined[-1][1] <= self.gap:
+                joined[-1][1] = max(joined[-1][1], last)
+                joined[-1][2] += n
+            else:
+                joined.append([first, last, n])
+        self._keep(joined)
+
+    def _keep(self, bursts: list[list[int]]) -> None:
+        self.open.update(tuple([b[i] for b in bursts] for i in range(3)))
+        self.handle.registerTimer(self._due(bursts[0][1]))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # Timers set from here wait for the next batch, so all that is due leaves now.
+        now = timerValues.getCurrentWatermarkInMs()
+        bursts = [list(b) for b in zip(*self.open.get(), strict=True)]
+        done = [b for b in bursts if self._due(b[1]) <= now]
+        left = bursts[len(done) :]
+        if left:
+            self._keep(left)
+        else:
+            self.open.clear()
+        yield self._rows(key[0], [b[1] for b in done], "change", [b[2] for b in done], [b[1] + self.gap for b in done])
+
+    def close(self) -> None:
+        pass
+
+
+def debounced(events: DataFrame, path: str, ts: str, gap_ms: int = DEBOUNCE_MS, watermark: str = "0 seconds", is_delete: Column | None = None, ticks: DataFrame | None = None) -> DataFrame:
+    """A stream of what enters the queue: ``path, last_micros, kind, n_events, at_micros``.
+
+    A burst of changes of a path leaves once, when no event of the path came for
+    longer than the gap; rows of ``is_delete`` leave at once and do not touch an
+    open burst. Append mode; a path without an open burst has no state. The
+    watermark says how late events may come. Timers follow the newest event of
+    any path; ``ticks`` (a stream with a column ``ts``) moves time on while
+    nothing happens. Rows without a path are left out.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    gone = F.lit(False) if is_delete is None else F.coalesce(is_delete, F.lit(False))
+    kind = events.schema[path].dataType.simpleString()
+    rows = events.filter(F.col(path).isNotNull()).select(path, F.col(ts).cast("timestamp").alias("ts"), gone.alias("unlink"))
+    if ticks is not None:
+        rows = rows.unionByName(ticks.select(F.lit(None).cast(kind).alias(path), F.col("ts").cast("timestamp").alias("ts"), F.lit(False).alias("unlink")))
+    timed = rows.withWatermark("ts", watermark).withColumn("micros", F.unix_micros("ts"))
+    result = f"`{path}` {kind}, last_micros bigint, kind string, n_events bigint, at_micros bigint"
+    return timed.groupBy(path).transformWithStateInPandas(_Debouncer(path, gap_ms * 1000), result, "Append", "EventTime")
+
+
+def drained(events: DataFrame, path: str, ts: str, base: str, gap_ms: int = DEBOUNCE_MS, watermark: str = "0 seconds", is_delete: Column | None = None) -> DataFrame:
+    """All of :func:`debounced` for the input there is now, bursts still open at its end too.
+
+    A tick later than all events fires the last timers. ``base`` is a folder
+    for checkpoint, ticks and result; a further call with the same folder goes
+    on from there with new input and returns all results so far.
+    """
+    spark = events.sparkSession
+    spark.createDataFrame([], "ts timestamp").write.mode("append").parquet(f"{base}/ticks")
+    ticks = spark.readStream.schema("ts timestamp").parquet(f"{base}/ticks")
+    found = debounced(events, path, ts, gap_ms, watermark, is_delete, ticks)
+
+    def run() -> str | None:
+        out = found.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/cp")
+        query = out.trigger(availableNow=True).start()
+        query.awaitTermination()
+        return max((p["eventTime"]["max"] for p in query.recentProgress if "max" in p["eventTime"]), default=None)
+
+    newest = run()
+    if newest is not None:
+        later = F.lit(newest).cast("timestamp") + F.expr(f"INTERVAL {gap_ms + 2} MILLISECONDS") + F.expr(f"INTERVAL {watermark}")
+        spark.range(1).select(later.alias("ts")).write.mode("append").parquet(f"{base}/ticks")
+        run()
+    return spark.read.schema(found.schema).parquet(f"{base}/out")
 
 
 def micros_of(ts: Column) -> Column:

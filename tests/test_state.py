@@ -1,5 +1,6 @@
 """Paths, files, index store, workflow, debounce and streams, tool calls."""
 
+import datetime as dt
 import json
 import os
 import random
@@ -15,9 +16,10 @@ from marginalia.operators import workflow
 from marginalia.sources import files
 from marginalia.sources.embedders import HashingEmbedder, ServiceEmbedder, create_embedder
 from marginalia.sources.index_store import IndexStore, build_changes, build_index
+from marginalia.sources.watch import Watch, start_watching
 from marginalia.streaming import debounce
 from marginalia.streaming.indexing import changed_contents, start_indexing
-from marginalia.streaming.workflow_state import workflow_states
+from marginalia.streaming.workflow_state import folded, workflow_states
 
 
 @pytest.mark.parametrize(
@@ -221,21 +223,113 @@ def test_queue_keeps_deletes(spark):
 
 def test_drained_stream_keeps_open_bursts_and_late_rows(spark, tmp_path):
     rng = random.Random(7)
-    data = [(rng.choice("aab"), rng.randint(0, 400) * 100_000) for _ in range(300)]
+    data = [(rng.choice("aab"), rng.randint(1, 400) * 100_000) for _ in range(300)]
     # The newest rows come first, so that a watermark would drop the later files.
     for k, part in enumerate(sorted(data, key=lambda d: -d[1])[i : i + 100] for i in (0, 100, 200)):
         rows = spark.createDataFrame(part, "path string, t long").select("path", F.timestamp_micros("t").alias("ts"))
         rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         time.sleep(0.05 * k)
     stream = spark.readStream.schema("path string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = debounce.drained(stream, "path", "ts", "500 milliseconds", str(tmp_path / "work")).collect()
+    got = debounce.drained(stream, "path", "ts", str(tmp_path / "work"), 500, "1 hour").collect()
     events = spark.createDataFrame(data, "path string, t long")
     fired = {(r.path, r.last_micros) for r in debounce.firings(events, "path", "t", 500).collect()}
     assert fired == plain_firings(data, 500_000)
-    assert {(r.path, round(r.last_ts.timestamp() * 1e6)) for r in got} == fired
+    assert {(r.path, r.last_micros) for r in got} == fired
     assert len(got) == len(fired) and sum(r.n_events for r in got) == len(data)
 
 
+def test_deletes_pass_an_open_burst(spark, tmp_path):
+    rows = [("a", 0, "change"), ("a", 100, "unlink"), ("a", 300, "change"), ("b", 0, "unlink"), (None, 5, "change"), ("c", 9000, "change")]
+    at = F.timestamp_micros((F.col("ms") + 1000) * 1000).alias("ts")
+    spark.createDataFrame(rows[:4], "path string, ms long, kind string").select("path", at, "kind").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("path string, ts timestamp, kind string").parquet(str(tmp_path / "in"))
+
+    def run():
+        out = debounce.drained(stream, "path", "ts", str(tmp_path / "work"), 500, is_delete=F.col("kind") == "unlink")
+        return sorted((r.path, r.kind, r.last_micros // 1000 - 1000, r.n_events) for r in out.collect())
+
+    first = [("a", "change", 300, 2), ("a", "unlink", 100, 1), ("b", "unlink", 0, 1)]
+    assert run() == first
+    # A further call goes on from there.
+    spark.createDataFrame(rows[4:], "path string, ms long, kind string").select("path", at, "kind").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert run() == sorted([*first, ("c", "change", 9000, 1)])
+
+
+# ---- watching ----
+
+
+def settled():
+    return dt.datetime.now(dt.timezone.utc) + dt.timedelta(seconds=5)
+
+
+def test_watch_reports_adds_changes_and_deletes(spark, vault, tmp_path):
+    watch = Watch(spark, str(tmp_path / "watch"))
+    look = lambda: files.list_files(spark, vault)
+    assert watch.advance(look(), settled()) == 0 and watch.changes().count() == 0
+    os.unlink(f"{vault}/hello.md")
+    with open(f"{vault}/empty.md", "w") as f:
+        f.write("now some text")
+    # A file that comes with an old time is new all the same.
+    with open(f"{vault}/old.md", "w") as f:
+        f.write("x")
+    os.utime(f"{vault}/old.md", (1_000_000, 1_000_000))
+    # Equal size, other time.
+    os.utime(f"{vault}/daily/2024-01-01.md", (2_000_000, 2_000_000))
+    assert watch.advance(look(), settled()) == 1
+    seen = {(r.path, r.kind, r.step) for r in watch.changes().collect()}
+    assert seen == {("hello.md", "unlink", 1), ("empty.md", "change", 1), ("old.md", "add", 1), ("daily/2024-01-01.md", "change", 1)}
+    assert watch.advance(look(), settled()) == 2 and watch.changes().count() == 4
+    assert [r.folder[-6:] for r in watch.forget().collect()] == ["step=0"]
+
+
+def test_watch_waits_for_files_being_written(spark, tmp_path):
+    watch = Watch(spark, str(tmp_path / "watch"))
+    at = lambda s: dt.datetime(2024, 1, 1, 0, 0, s, tzinfo=dt.timezone.utc)
+    table = lambda rows: spark.createDataFrame(rows, "path string, size_bytes long, modified_at timestamp")
+    watch.advance(table([("a", 1, at(1)), ("b", 1, at(1))]), at(5))
+    watch.advance(table([("a", 2, at(9)), ("b", 1, at(1)), ("c", 1, at(9))]), at(8))
+    assert watch.changes().count() == 0
+    watch.advance(table([("a", 2, at(9)), ("b", 1, at(1)), ("c", 1, at(9))]), at(10))
+    assert {(r.path, r.kind) for r in watch.changes().collect()} == {("a", "change"), ("c", "add")}
+
+
+def test_watch_takes_up_a_step_cut_short(spark, tmp_path, monkeypatch):
+    watch = Watch(spark, str(tmp_path / "watch"))
+    table = lambda *paths: spark.createDataFrame([(p, 1, None) for p in paths], "path string, size_bytes long, modified_at timestamp")
+    watch.advance(table("a", "b"), settled())
+    with monkeypatch.context() as m:
+        m.setattr(Watch, "_publish", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            watch.advance(table("b", "c"), settled())
+    assert Watch(spark, watch.base).advance(table("b", "c", "d"), settled()) == 2
+    assert {(r.path, r.kind, r.step) for r in watch.changes().collect()} == {("a", "unlink", 1), ("c", "add", 1), ("d", "add", 2)}
+
+
+def test_watch_feeds_the_debounced_queue(spark, tmp_path):
+    watch = Watch(spark, str(tmp_path / "watch"))
+    at = lambda s: dt.datetime(2024, 1, 1, 0, 0, s, tzinfo=dt.timezone.utc)
+    table = lambda rows: spark.createDataFrame(rows, "path string, size_bytes long, modified_at timestamp")
+    watch.advance(table([("a", 1, at(0)), ("gone", 1, at(0))]), at(1))
+    watch.advance(table([("a", 2, at(2))]), at(3))
+    out = debounce.drained(watch.stream(), "path", "ts", str(tmp_path / "queue"), is_delete=F.col("kind") == "unlink").collect()
+    assert {(r.path, r.kind) for r in out} == {("a", "change"), ("gone", "unlink")}
+
+
+def test_watch_on_a_clock(spark, vault, tmp_path):
+    watch = Watch(spark, str(tmp_path / "watch"))
+    query = start_watching(watch, lambda: files.list_files(spark, vault), settle_ms=0)
+    try:
+        limit = time.time() + 60
+        while watch._state()[0] < 0 and time.time() < limit:
+            time.sleep(0.3)
+        os.unlink(f"{vault}/hello.md")
+        while not watch.changes().count() and time.time() < limit:
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert [(r.path, r.kind) for r in watch.changes().collect()] == [("hello.md", "unlink")]
+
+
 # ---- streams ----
 
 
@@ -306,6 +400,13 @@ def test_workflow_stream(spark, tmp_path):
     assert last == {u: walk([n for v, _, n in data if v == u])[:3] for u in {d[0] for d in data}}
 
 
+def test_busy_key_reaches_its_state_as_few_rows(spark):
+    events = spark.createDataFrame([(1, i, ["search", "open_note", "hard_reset"][i % 3]) for i in range(3000)], "user long, seq long, name string")
+    runs = folded(events, "user", ["seq"], "name").collect()
+    assert 1 < len(runs) <= 8 and all(r.cleared for r in runs)
+    assert [r.place for r in sorted(runs, key=lambda r: r.seq)][-1] == [0] * 4
+
+
 # ---- tools ----
 
 
