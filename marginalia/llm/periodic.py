@@ -279,14 +279,18 @@ def strongest(runs: list[tuple[int, int, int]]) -> tuple[int, int, int]:
 
 
 def summarised(rows: DataFrame, mutate: bool) -> DataFrame:
-    """``rows`` has doc_id, text and runs (array of start, length, period): one row each with the columns of SUMMARY."""
+    """``rows`` has doc_id, text, runs (array of start, length, period, or NULL) and plain: one row each with the columns of SUMMARY."""
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
-            doc_ids, texts, runs = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
+            doc_ids, texts, runs, plain = batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3)
             for row in range(batch.num_rows):
+                if not runs[row].is_valid:
+                    for column, x in zip(out, (0, None, None, None, None, hashlib.sha256(b"").hexdigest(), plain[row].as_py()), strict=True):
+                        column.append(x)
+                    continue
                 words = texts[row].as_py().encode().split()
                 words = planted(words, doc_ids[row]) if mutate else words
                 found = sorted((r["start"], r["length"], r["period"]) for r in runs[row].as_py())
@@ -299,7 +303,7 @@ def summarised(rows: DataFrame, mutate: bool) -> DataFrame:
             arrays = [pa.array(x, pa.int64() if i < 5 else pa.string()) for i, x in enumerate(out)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"])
 
-    return rows.select("doc_id", "text", "runs").mapInArrow(run, f"doc_id {id_type}, {SUMMARY}")
+    return rows.select("doc_id", "text", "runs", "plain").mapInArrow(run, f"doc_id {id_type}, {SUMMARY}")
 
 
 def find_runs(docs: DataFrame) -> DataFrame:
@@ -314,12 +318,12 @@ def digest(docs: DataFrame, mutate: bool = True) -> DataFrame:
     # A run list belongs to one text and has fewer entries than the text has words.
     listed = runs_of(rows).groupBy("key").agg(F.collect_list(F.struct("start", "length", "period")).alias("runs"))
     listed = materialise(listed, "runs")
-    keyed = rows.select("doc_id", "n", "plain", "text", key().alias("key"))
-    some = summarised(keyed.filter("text IS NOT NULL").join(listed, "key"), mutate)
-    none = keyed.join(listed.select("key"), "key", "left_anti")
+    # Only texts with tiles can have runs and are joined. The lists grow with the input, so they are never broadcast.
+    tiled = rows.filter("text IS NOT NULL").select("doc_id", "plain", "text", key().alias("key")).join(listed.hint("merge"), "key", "left")
     empty = hashlib.sha256(b"").hexdigest()
     nothing = [F.lit(None).cast("long").alias(c) for c in ("start", "length", "period", "exponent_milli")]
-    return none.select("doc_id", F.lit(0).cast("long").alias("n_runs"), *nothing, F.lit(empty).alias("runs_sha256"), F.col("plain").alias("collapsed_sha256")).unionByName(some)
+    none = rows.filter("text IS NULL").select("doc_id", F.lit(0).cast("long").alias("n_runs"), *nothing, F.lit(empty).alias("runs_sha256"), F.col("plain").alias("collapsed_sha256"))
+    return none.unionByName(summarised(tiled, mutate))
 
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
