@@ -19,8 +19,8 @@ their element sets. Groups of any size stay linear:
   one that shares buckets with most others;
 * in buckets of up to ``SMALL`` nodes all pairs are compared;
 * in larger buckets, members outside the bucket's largest component are compared
-  with the members of other components (an exact way for the rest); as long as
-  that would be many pairs, further central nodes take turns first.
+  with the members of other components (an exact way for the rest), except where
+  the elements that no other such node has rule the similarity out.
 
 Result: one row per document with its class, the smallest doc_id of the
 connected component over similarities of 0.8 or more. Null and empty texts are
@@ -35,7 +35,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marginalia.llm import textscan as ts
@@ -47,8 +46,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 36, 5
 K = BANDS * ROWS
 SMALL = 32
-# The exact rest of large buckets is compared at once when it has at most so many pairs for each of their rows.
-REST_PER_ROW, ROUNDS = 8, 6
+SLOTS = 64
 # Ranks are visited one unit at a time; a single element fills all coordinates long before this.
 MAX_UNITS = 1 << 14
 EMPTY = np.iinfo(np.uint64).max
@@ -224,6 +222,19 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(enough).select("a", "b")
 
 
+def _shareable(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, s, counts): how many elements of each of these nodes some other of them has too, in all and by ``SLOTS`` slots of their hash.
+
+    Two nodes share at most the sum over slots of the smaller count.
+    """
+    elements = sets.join(nodes, "node", "left_semi").select("node", F.explode("set").alias("e"))
+    held = elements.groupBy("e").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    met = elements.join(held, "e", "left_semi").groupBy("node", F.pmod("e", F.lit(SLOTS)).alias("slot")).agg(F.count(F.lit(1)).cast("int").alias("k"))
+    slots = met.groupBy("node").agg(F.sum("k").alias("s"), F.map_from_entries(F.collect_list(F.struct("slot", "k"))).alias("k"))
+    counts = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(SLOTS - 1).cast("long")), lambda i: F.coalesce(F.try_element_at("k", i), F.lit(0)))
+    return slots.select("node", "s", counts.alias("counts"))
+
+
 def classes(docs: DataFrame, weighting: str = "set") -> DataFrame:
     """One row per input row: doc_id, t1 and t2 (hashes of the text) and class_id."""
     sketched = materialise(sketch(docs, weighting), "sketch")
@@ -260,34 +271,29 @@ def classes(docs: DataFrame, weighting: str = "set") -> DataFrame:
     links = materialise(_verified(tested, sets), "links")
     roots = components(links)
 
-    # Large buckets that still hold several components. While the exact rest would be more than a few pairs for
-    # each row, the most central nodes outside a bucket's largest component are compared with the bucket: one in
-    # the first round, four times as many in each later one.
-    large = materialise(shared.filter(F.col("m") > SMALL).select("key", "node", "n", "c"), "large")
-    rows = large.count()
-    for turn in range(ROUNDS):
-        placed = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        placed = materialise(placed, "placed")
-        parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"))
-        main = parts.groupBy("key").agg(F.max(F.struct("k", "root")).alias("main"), F.sum("k").alias("m"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-        main = materialise(main.select("key", F.col("main.root").alias("main"), (F.col("m") - F.col("main.k")).alias("out"), "m"), "main")
-        rest = main.agg(F.sum(F.col("out") * F.col("m")).alias("pairs")).first()["pairs"] or 0
-        if not rest:
-            break
-        mixed = placed.join(main, "key")
-        outside = mixed.filter(F.col("root") != F.col("main"))
-        last = rest <= REST_PER_ROW * rows or turn == ROUNDS - 1
-        against = mixed.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-        rank = F.row_number().over(W.partitionBy("key").orderBy(F.desc("c"), "node"))
-        reps = outside if last else outside.withColumn("rank", rank).filter(F.col("rank") <= 4**turn)
-        pairs = reps.select("key", "node", "n", "root").join(against, "key").filter((F.col("root") != F.col("root2")) & near).select(*ordered).distinct()
-        pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = materialise(_verified(pairs, sets), "links")
-        links, tested = links.union(found), tested.union(pairs)
-        if not found.isEmpty():
-            roots = components(links)
-        if last:
-            break
+    # Large buckets that still hold several components: members outside a bucket's largest component meet the members
+    # of other components. An element that no other node of large buckets has cannot be shared: with s shareable ones
+    # of n, a node reaches no other if s < 0.8 n, and two nodes need 9 * shared >= 4 * (n + n2), where shared is at most
+    # the smaller s, and at most the sum of the smaller counts of their slots. A pair is formed in the first band that
+    # its nodes share and nowhere else.
+    large = materialise(shared.filter(F.col("m") > SMALL).select("key", "node", "n"), "large")
+    shareable = materialise(_shareable(large.select("node").distinct(), sets), "shareable")
+    placed = large.join(shareable, "node").filter(F.col("s") * 5 >= F.col("n") * 4).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = materialise(placed.join(nodes.select("node", "bands"), "node"), "placed")
+    parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"))
+    main = parts.groupBy("key").agg(F.max(F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("key", F.col("main.root").alias("main"))
+    mixed = placed.join(main, "key")
+    against = mixed.select(*[F.col(c).alias(c + "2") for c in ("key", "node", "n", "s", "root", "bands", "main", "counts")])
+    possible = near & (F.least("s", "s2") * 9 >= (F.col("n") + F.col("n2")) * 4)
+    # Of two nodes outside the main component one is enough to form the pair.
+    once = (F.col("root2") == F.col("main2")) | (F.col("node") < F.col("node2"))
+    first = F.get(F.array_intersect("bands", "bands2"), F.lit(0)) == F.col("key")
+    most = F.aggregate(F.zip_with("counts", "counts2", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
+    meets = (F.col("key") == F.col("key2")) & (F.col("root") != F.col("root2")) & once & possible & first & (most * 9 >= (F.col("n") + F.col("n2")) * 4)
+    pairs = materialise(mixed.filter(F.col("root") != F.col("main")).join(against, meets).select(*ordered), "pairs")
+    found = materialise(_verified(pairs, sets), "links")
+    if not found.isEmpty():
+        roots = components(links.union(found))
 
     rooted = sketched.select("doc_id", "t1", "t2", node.alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = materialise(rooted.select("doc_id", "t1", "t2", "root"), "rooted")
