@@ -25,12 +25,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marginalia.llm import textscan as ts
-from marginalia.llm.common import first_by_hash, is_held_out, materialise, row_hash, ship_package, table
+from marginalia.llm.common import bounded_batches, first_by_hash, is_held_out, materialise, row_hash, ship_package, table
 
 SAMPLE_DOCS = 4000
 SIZES = (3, 4, 5)
@@ -74,7 +75,7 @@ def gram_values(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.nd
 
 @dataclass
 class Filter:
-    """Words of language bits. ``slices`` has one array for every 64 languages."""
+    """Words of language bits. ``slices`` has one array for every 64 languages; up to 32 languages take shorter words."""
 
     languages: list[str]
     common: int
@@ -91,7 +92,7 @@ class Filter:
     def add(self, language: int, grams: np.ndarray) -> None:
         words = self.slices[language // 64]
         for at in self.positions(grams):
-            np.bitwise_or.at(words, at, np.uint64(1 << (language % 64)))
+            np.bitwise_or.at(words, at, words.dtype.type(1 << (language % 64)))
 
     def lookup(self, grams: np.ndarray) -> list[np.ndarray]:
         """For each slice, the bits of the languages that contain each n-gram."""
@@ -114,7 +115,7 @@ class Filter:
             seen = np.flatnonzero(words)
             words, at = words[seen], rows[seen]
             for j in range(min(64, len(self.languages) - 64 * s)):
-                out[:, 64 * s + j] = np.bincount(at, (words >> np.uint64(j)) & np.uint64(1), n)
+                out[:, 64 * s + j] = np.bincount(at, (words >> words.dtype.type(j)) & words.dtype.type(1), n)
         return out
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,11 +135,17 @@ class Filter:
         return best, np.where(top > 0, top / np.maximum(top + second, 1e-12), 0.0)
 
 
+def word_type(languages: int) -> type:
+    """The shortest word with a bit for each language, 64 bits at most."""
+    return next((kind for bits, kind in ((8, np.uint8), (16, np.uint16), (32, np.uint32)) if languages <= bits), np.uint64)
+
+
 def learn(training: DataFrame, text: str = "text", lang: str = "lang") -> Filter | None:
     """Fit the filter. ``training`` has doc_id, text and lang."""
     spark = training.sparkSession
     ship_package(spark)
-    rows = training.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.lower(text).alias("text"), row_hash("doc_id").alias("__h"), F.crc32(F.col(text).cast("binary")).alias("__t"))
+    bounded_batches(spark)
+    rows = training.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), row_hash("doc_id").alias("__h"), F.crc32(F.col(text).cast("binary")).alias("__t"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return None
@@ -151,7 +158,7 @@ def learn(training: DataFrame, text: str = "text", lang: str = "lang") -> Filter
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owners = np.array([index[x] for x in batch.column(0).to_pylist()], np.int64)
-            for lo, hi, data, offsets in ts.text_chunks(batch.column(1)):
+            for lo, hi, data, offsets in ts.text_chunks(pc.utf8_lower(batch.column(1))):
                 for size in SIZES:
                     grams, at = gram_values(data, offsets, size)
                     who = owners[lo:hi][at]
@@ -175,7 +182,7 @@ def learn(training: DataFrame, text: str = "text", lang: str = "lang") -> Filter
     distinct = max(1, found["gram"].nunique())
     bits = max(10, int(np.ceil(np.log2(distinct * BITS_PER_GRAM))))
     common = index[max(languages, key=lambda x: (sizes[x], -index[x]))]
-    made = Filter(languages, common, bits, [np.zeros(1 << bits, np.uint64) for _ in range((len(languages) + 63) // 64)], np.zeros(len(languages)))
+    made = Filter(languages, common, bits, [np.zeros(1 << bits, word_type(len(languages))) for _ in range((len(languages) + 63) // 64)], np.zeros(len(languages)))
     for k, part in found.groupby("k"):
         made.add(int(k), part["gram"].to_numpy(np.int64).view(np.uint64))
     made.measure_false_positives()
@@ -189,9 +196,12 @@ def identify(docs: DataFrame, model: Filter | None, keep: list[str]) -> DataFram
     if model is None:
         return docs.select(*[F.col(c) for c in keep], F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     ship_package(spark)
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    text = F.coalesce(F.lower("text"), F.lit(""))
-    narrow = docs.select(*[F.col(c) for c in keep], text.rlike(LETTER).alias("__letter"), text.alias("__text"))
+    # The text crosses to Python once: with the kept columns if it is one of them.
+    kept = [F.col(c) for c in keep]
+    where = keep.index("text") if "text" in keep and dict(docs.dtypes)["text"] == "string" else len(keep) + 1
+    narrow = docs.select(*kept, F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(LETTER).alias("__letter"), *([] if where < len(keep) else [F.col("text").cast("string").alias("__text")]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[: len(keep)])
     at = len(keep)
 
@@ -199,7 +209,7 @@ def identify(docs: DataFrame, model: Filter | None, keep: list[str]) -> DataFram
         tool: Filter = shared.value
         names = pa.array([*tool.languages, "und"])
         for batch in batches:
-            for lo, hi, data, offsets in ts.text_chunks(batch.column(at + 1)):
+            for lo, hi, data, offsets in ts.text_chunks(pc.utf8_lower(batch.column(where))):
                 best, score = tool.predict(data, offsets)
                 letters = batch.column(at).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
                 best = np.where(letters, best, len(tool.languages))

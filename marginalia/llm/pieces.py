@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import ship_package, table, text_of
+from marginalia.llm.common import bounded_batches, ship_package, table, text_of
 
 MARK = "▁"
 CACHE_SEGMENTS = 400_000
@@ -229,6 +229,7 @@ def encode(docs: DataFrame, model: str | None = None, threads: int | None = None
     """
     spark = docs.sparkSession
     ship_package(spark)
+    bounded_batches(spark)
     model = model or default_model()
     find = _resolver(spark, model)
     threads = threads or int(spark.conf.get("spark.task.cpus", "1"))
