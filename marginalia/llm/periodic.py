@@ -232,12 +232,12 @@ def fragments(tiles: DataFrame) -> DataFrame:
                         column.append(x)
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(out[0], pa.int64())), *[pa.array(x, pa.int32()) for x in out[1:]]], ["key", "q", "s", "e"])
 
-    return tiles.mapInArrow(run, "key string, q int, s int, e int")
+    return tiles.mapInArrow(run, "key binary, q int, s int, e int")
 
 
 def key() -> Column:
-    """Stands for an (id, text) pair."""
-    return F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.hex("t1"), F.hex("t2"))
+    """Sixteen bytes that stand for an (id, text) pair."""
+    return F.unhex(F.md5(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.hex("t1"), F.hex("t2"))))
 
 
 def runs_of(rows: DataFrame) -> DataFrame:
