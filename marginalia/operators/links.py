@@ -10,14 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marginalia.functions.arrays import running
 from marginalia.functions.markdown import list_array, parse_note
 from marginalia.functions.paths import file_name, path_key
-from marginalia.functions.text import unnest
+from marginalia.functions.text import let, unnest
 from marginalia.operators.skew import attach
 from marginalia.session import materialise
 
 # The wikilink form and what counts as an external address.
-WIKILINK = re.compile(r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]")
+WIKILINK = r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]"
 NAME = r"\[\[([^\]]+)\]\]"
 EXTERNAL = r"^(?i:[a-z]+://)|^mailto:|^#"
 AROUND = 30
@@ -56,44 +57,90 @@ def _context(text: str, off: int, length: int) -> str:
 
 
 def _links_of(path: str, text: str) -> list[tuple]:
-    """Wikilinks of the raw text (code and front matter included), then inline links."""
-    found, line, seen = [], 1, 0
-    for m in WIKILINK.finditer(text):
-        line += text.count("\n", seen, m.start())
-        seen = m.start()
-        found.append(("wikilink", None, m.group(1), line, seen, _context(text, seen, m.end() - seen)))
-    if "](" in text or "<" in text:
-        for url, at_line, off in (link for block in parse_note(text) for link in block.links):
-            target = None if EXTERNAL_LINK.search(url) else _relative(path, url)
-            if target:
-                found.append(("markdown_link", url, target, at_line, off, _context(text, off, len(url) + 4)))
+    """Inline links of the parsed note that stay inside the vault."""
+    found = []
+    for url, at_line, off in (link for block in parse_note(text) for link in block.links):
+        target = None if EXTERNAL_LINK.search(url) else _relative(path, url)
+        if target:
+            found.append(("markdown_link", url, target, at_line, off, _context(text, off, len(url) + 4)))
     return found
 
 
 @F.arrow_udf(FOUND)
 def scan_links(path: pa.Array, content: pa.Array) -> pa.Array:
-    """All links of each note in one pass over its text."""
-    notes = [_links_of(p, c or "") for p, c in zip(path.to_pylist(), content.to_pylist())]
+    """Inline links of each note; a NULL text has none."""
+    notes = [_links_of(p, c) if c else [] for p, c in zip(path.to_pylist(), content.to_pylist())]
     flat = [link for links in notes for link in links]
     types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
     columns = [pa.array([x[i] for x in flat], t) for i, t in enumerate(types)]
     return list_array([len(x) for x in notes], pa.StructArray.from_arrays(columns, FOUND.elementType.names))
 
 
+def wikilinks_in(content: Column) -> Column:
+    """Wikilinks of a raw text (code and front matter included), an array like FOUND.
+
+    The text is split at the links once; offsets and lines are running sums over
+    the pieces, and a link's surroundings come from the ends of the pieces and
+    links next to it, so the work grows with the text and not with its square.
+    """
+    none = F.array().cast(FOUND)
+    # A link has five characters or more: this many links and pieces always hold the surroundings.
+    beside = -(-AROUND // 5)
+
+    def breaks(x: Column) -> Column:
+        return F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+
+    def found(parts: Column) -> Column:
+        # parts: per link the piece before it (p), the link (h), its target (t); the last entry has the rest of the text only.
+        ends = F.transform(
+            parts,
+            lambda x: F.struct(
+                F.length(x["p"]).alias("n"),
+                (F.length(x["p"]) + F.coalesce(F.length(x["h"]), F.lit(0))).alias("size"),
+                breaks(x["p"]).alias("lines"),
+                (breaks(x["p"]) + F.coalesce(breaks(x["h"]), F.lit(0))).alias("all_lines"),
+                F.left(x["p"], F.lit(AROUND)).alias("head"), F.right(x["p"], F.lit(AROUND)).alias("tail"),
+                F.left(x["h"], F.lit(AROUND)).alias("h_head"), F.right(x["h"], F.lit(AROUND)).alias("h_tail"),
+            ),
+        )
+        return let(ends, lambda e: let(running(F.transform(e, lambda x: x["size"])), lambda at: let(running(F.transform(e, lambda x: x["all_lines"])), lambda lines: rows(parts, e, at, lines))))
+
+    def rows(parts: Column, e: Column, at: Column, lines: Column) -> Column:
+        def row(x: Column, i: Column) -> Column:
+            left = [t for j in range(beside, 0, -1) for t in (F.get(e, i - j)["tail"], F.get(e, i - j)["h_tail"])] + [F.get(e, i)["tail"]]
+            right = [F.get(e, i + 1)["head"]] + [t for j in range(1, beside + 1) for t in (F.get(e, i + j)["h_head"], F.get(e, i + j + 1)["head"])]
+            context = F.concat(F.right(F.concat_ws("", *left), F.lit(AROUND)), x["h"], F.left(F.concat_ws("", *right), F.lit(AROUND)))
+            none_yet = F.lit(None).cast("string")
+            return F.struct(
+                F.lit("wikilink").alias("link_type"), none_yet.alias("url"), x["t"].alias("target"),
+                (F.get(lines, i) + F.get(e, i)["lines"] + 1).cast("int").alias("line"), (F.get(at, i) + F.get(e, i)["n"]).cast("int").alias("off"),
+                F.replace(context, F.lit("\n"), F.lit(" ")).alias("context"),
+            )
+
+        return F.transform(F.filter(parts, lambda x: x["h"].isNotNull()), row)
+
+    hits = F.regexp_extract_all(content, F.lit(WIKILINK), F.lit(0))
+    targets = F.regexp_extract_all(content, F.lit(WIKILINK), F.lit(1))
+    parts = F.zip_with(F.zip_with(F.split(content, WIKILINK, -1), hits, lambda p, h: F.struct(p.alias("p"), h.alias("h"))), targets, lambda x, t: F.struct(x["p"].alias("p"), x["h"].alias("h"), t.alias("t")))
+    return F.when(content.contains("[["), let(parts, found)).otherwise(none)
+
+
 def all_links(notes: DataFrame) -> DataFrame:
     """One row per link: ``path, link_type, url, target, line, off, context``.
 
-    Notes that cannot hold a link are skipped before their text leaves the JVM.
+    Wikilinks are found in the JVM; only texts that may hold inline links go to
+    the parser, the others are sent as NULL.
     """
     content = F.col("content")
     linked = notes.filter(content.contains("[[") | content.contains("](") | content.contains("<"))
-    return unnest(linked, scan_links("path", "content"), "path")
+    inline = scan_links("path", F.when(content.contains("](") | content.contains("<"), content))
+    return unnest(linked, F.concat(wikilinks_in(content), inline), "path")
 
 
 def wikilinks(notes: DataFrame) -> DataFrame:
-    """``path, target, line, off, context``."""
+    """``path, target, line, off, context``, without a Python worker."""
     linked = notes.filter(F.col("content").contains("[["))
-    return all_links(linked).filter(F.col("link_type") == "wikilink").drop("link_type", "url")
+    return unnest(linked, wikilinks_in(F.col("content")), "path").drop("link_type", "url")
 
 
 def markdown_links(notes: DataFrame) -> DataFrame:
@@ -122,10 +169,11 @@ def resolve_names(names: DataFrame, listing: DataFrame) -> DataFrame:
 
     A bare name matches a file name. A name with ``/`` matches the end of a
     path, at any character. For these, each path lists its endings of exactly
-    the lengths that occur among such names (a set no larger than the longest
-    path), which keeps this an equi-join rather than a comparison of all pairs
-    and keeps equal file names, however common, from meeting in one task. Both
-    sides of each join are distinct on the join key.
+    the lengths that occur among such names (one row with a set no larger than
+    the longest path, found in the same plan), which keeps this an equi-join
+    rather than a comparison of all pairs and keeps equal file names, however
+    common, from meeting in one task. Both sides of each join are distinct on
+    the join key.
     """
     files = listing.select(F.col("path").alias("file")).withColumn("low", F.lower("file"))
     stem = F.regexp_replace(file_name(F.col("file")), r"(?<=.)\.md\z", "")
@@ -133,11 +181,9 @@ def resolve_names(names: DataFrame, listing: DataFrame) -> DataFrame:
     plain = names.filter(~F.col("name").contains("/")).join(by_base, "name", "left")
 
     partial = names.filter(F.col("name").contains("/")).withColumn("suffix", F.concat("name", F.lit(".md")))
-    lengths = sorted(r[0] for r in partial.select(F.length("suffix")).distinct().collect())
-    if not lengths:
-        return plain
-    fitting = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("low"))
-    endings = files.select("file", "low", F.explode_outer(fitting).alias("n")).filter("n IS NOT NULL")
+    lengths = partial.agg(F.collect_set(F.length("suffix")).alias("lengths"))
+    fitting = F.filter("lengths", lambda n: n <= F.length("low"))
+    endings = files.join(F.broadcast(lengths)).select("file", "low", F.explode_outer(fitting).alias("n")).filter("n IS NOT NULL")
     by_suffix = endings.groupBy(F.right(F.col("low"), F.col("n")).alias("suffix")).agg(_best().alias("resolved"))
     return plain.unionByName(partial.join(by_suffix, "suffix", "left").drop("suffix"))
 
@@ -186,6 +232,46 @@ def update_links(found: DataFrame, changed: DataFrame) -> DataFrame:
     return materialise(kept.unionByName(all_links(changed.filter(F.col("content").isNotNull())).select(*kept.columns)), "links")
 
 
+def last_part(name: Column) -> Column:
+    """The last segment of a name: equal to the file name, without ``.md``, of any path it can match (or to its end, if alone)."""
+    return F.regexp_extract(name, r"[^/]*\z", 0)
+
+
+def resolved_links(found: DataFrame, listing: DataFrame) -> DataFrame:
+    """A kept table of links (from :func:`all_links`) with the name each wikilink looks for and what it resolves to now."""
+    wiki = found.filter(F.col("link_type") == "wikilink")
+    done = resolve(wiki, listing, ["path", "off"]).withColumn("name", target_name(F.col("target")))
+    inline = found.filter(F.col("link_type") != "wikilink").withColumn("resolved", F.lit(None).cast("string")).withColumn("name", F.lit(None).cast("string"))
+    return done.select(*found.columns, "resolved", "name").unionByName(inline)
+
+
+def follow_changes(kept: DataFrame, changed: DataFrame, appeared: DataFrame, vanished: DataFrame, listing: DataFrame) -> DataFrame:
+    """:func:`resolved_links` after changes, without resolving everything again.
+
+    ``changed`` has ``path, content`` (NULL content removes) of the notes whose
+    text changed, new ones included; ``appeared`` and ``vanished`` are paths, and
+    ``listing`` the notes that exist now. A name can only resolve differently
+    if a note of its file name came or went: links of such names, and those of
+    changed notes, are resolved; all others stay as they are.
+    """
+    columns = [c for c in kept.columns if c not in ("resolved", "name")]
+    gone = changed.select("path").union(vanished.select("path")).distinct()
+    fresh = all_links(changed.filter(F.col("content").isNotNull())).select(*columns)
+    staying = kept.join(gone, "path", "left_anti").withColumn("last", last_part(F.col("name")))
+    stem = F.regexp_replace(file_name(F.lower("path")), r"\.md\z", "")
+    touched = appeared.select("path").union(vanished.select("path")).select(stem.alias("last")).distinct()
+    again = staying.join(touched, "last", "left_semi").select(*columns)
+    quiet = staying.join(touched, "last", "left_anti").select(*kept.columns)
+    return materialise(quiet.unionByName(resolved_links(materialise(fresh.unionByName(again), "links"), listing)), "links")
+
+
+def edges_from(kept: DataFrame) -> DataFrame:
+    """Edges of a table of :func:`resolved_links`."""
+    target = F.when(F.col("link_type") == "wikilink", F.coalesce("resolved", F.concat("target", F.lit(".md")))).otherwise(F.col("target"))
+    key = path_key(target)
+    return kept.filter(key != path_key(F.col("path"))).select(key.alias("target_key"), F.col("path").alias("source_path"), F.col("line").alias("line_number"), "context", "link_type")
+
+
 def backlinks_of(edges: DataFrame, path: str) -> DataFrame:
     return edges.filter(F.col("target_key") == path_key(F.lit(path)))
 

@@ -28,7 +28,7 @@ from marginalia.operators import edits, fuzzy, links, notes, overview, vectors,
 from marginalia.operators.chunks import chunk_notes, outline, read_sections
 from marginalia.operators.hints import with_hints
 from marginalia.operators.search import fragment_search, global_search, score_rows
-from marginalia.session import shared_dir, spread
+from marginalia.session import materialise, shared_dir, spread
 from marginalia.sources import files
 from marginalia.sources.embedders import HashingEmbedder, embed_query
 from marginalia.sources.index_store import IndexStore, build_changes, build_index
@@ -510,12 +510,21 @@ def backlink_index_size(spark, sf):
 
 @query
 def backlinks_updated(spark, sf):
-    """Edges after the labelled notes were rewritten (or, if toxic, removed)."""
-    changed = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id").select(
-        doc_path().alias("path"),
-        F.when(F.col("toxic") == 0, F.concat(F.lit("See [[doc-"), F.col("doc_id") % 10, F.lit("|this]].\n"))).alias("content"),
+    """Edges of a kept link table after labelled notes went (toxic), were rewritten, or got a namesake that takes their links."""
+    marked = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id")
+    to = F.concat(F.lit("doc-"), F.col("doc_id") % 10)
+    gone, good = F.col("toxic") == 1, F.col("quality") == 1
+    changed = marked.select(
+        F.when(~gone & good, F.concat(F.lit("aaa/doc-"), "doc_id", F.lit(".md"))).otherwise(doc_path()).alias("path"),
+        F.when(~gone & good, F.concat(F.lit("New [["), to, F.lit("]]\n"))).when(~gone, F.concat(F.lit("See [["), to, F.lit("|this]].\n"))).alias("content"),
+        gone.alias("gone"),
+        (~gone & good).alias("new"),
     )
-    edges = links.update_sources(_edges(spark, sf), changed, vault_listing(spark, sf))
+    vanished, appeared = changed.filter("gone").select("path"), changed.filter("new").select("path")
+    before = vault_listing(spark, sf).select("path")
+    kept = links.resolved_links(materialise(links.all_links(vault(spark, sf)), "links"), before)
+    now = before.join(vanished, "path", "left_anti").union(appeared)
+    edges = links.edges_from(links.follow_changes(kept, changed.select("path", "content"), appeared, vanished, now))
     return edges.select("target_key", "source_path", "line_number", "link_type")
 
 
@@ -577,6 +586,14 @@ def fuzzy_best(spark, sf):
     return found.select("query", "match", "distance", r6("similarity").alias("similarity"))
 
 
+@query
+def fuzzy_join(spark, sf):
+    """Words of the benchmark beside the similar words of all documents."""
+    words = lambda name: table(spark, sf, name).select(F.explode_outer(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).filter("word IS NOT NULL").distinct()
+    asked, known = words("benchmark").withColumnRenamed("word", "query"), words("documents").withColumnRenamed("word", "match")
+    return fuzzy.join_similar(asked, "query", known, "match", 0.8).select("query", "match", "distance", r6("similarity").alias("similarity"))
+
+
 @query
 def fuzzy_all(spark, sf):
     found = fuzzy.all_matches(_part_names(spark, sf), "p_name", FUZZY_QUERIES, 0.5)

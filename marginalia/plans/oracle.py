@@ -257,11 +257,12 @@ SELECT pos, path, heading, md5(got) AS content_md5, got IS NOT NULL AS found, CA
     "backlinks": f"{BACKLINKS} SELECT * FROM e",
     "backlink_counts": f"{BACKLINKS} SELECT target_key, count(*) AS n FROM e GROUP BY 1",
     "backlink_index_size": f"{BACKLINKS} SELECT count(DISTINCT target_key) AS targets FROM e",
-    "backlinks_updated": f"""{BACKLINKS}, ch AS (SELECT {DOC_PATH} AS path, doc_id, toxic FROM labels JOIN documents USING (doc_id)),
-        nw AS (SELECT coalesce(lower(regexp_replace(b.path, '\\.md$', '')), 'doc-' || ch.doc_id % 10) AS target_key, ch.path AS source_path FROM ch
-          LEFT JOIN base b ON b.doc_id = ch.doc_id % 10 WHERE toxic = 0)
-        SELECT target_key, source_path, line_number, link_type FROM e WHERE source_path NOT IN (SELECT path FROM ch)
-        UNION ALL SELECT target_key, source_path, 1, 'wikilink' FROM nw WHERE target_key <> lower(regexp_replace(source_path, '\\.md$', ''))""",
+    "backlinks_updated": f"""WITH {VAULT}, lab AS (SELECT b.doc_id, b.path, toxic = 1 AS gone, toxic <> 1 AND quality = 1 AS fresh FROM labels JOIN base b USING (doc_id)),
+        best AS (SELECT 'doc-' || b.doc_id AS name, CASE WHEN fresh THEN 'aaa/doc-' || b.doc_id || '.md' ELSE b.path END AS path FROM base b LEFT JOIN lab USING (doc_id) WHERE NOT coalesce(gone, false)),
+        src AS (SELECT p.path AS source_path, p.link, CAST(10 + 4 * i AS INTEGER) AS line_number FROM parts p LEFT JOIN lab USING (doc_id) WHERE coalesce(fresh, true)
+          UNION ALL SELECT CASE WHEN fresh THEN 'aaa/doc-' || doc_id || '.md' ELSE path END, 'doc-' || doc_id % 10, 1 FROM lab WHERE NOT gone),
+        k AS (SELECT lower(coalesce(regexp_replace(best.path, '\\.md$', ''), link)) AS target_key, source_path, line_number FROM src LEFT JOIN best ON name = link)
+        SELECT *, 'wikilink' AS link_type FROM k WHERE target_key <> lower(regexp_replace(source_path, '\\.md$', ''))""",
     "orphan_notes": f"{BACKLINKS} SELECT path FROM base WHERE lower(regexp_replace(path, '\\.md$', '')) NOT IN (SELECT target_key FROM e)",
     "html_links": f"WITH {HREFS} SELECT page_id, 'pages' || url AS target FROM hrefs",
     "markdown_links": f"""WITH {HREFS} SELECT 'site/' || page_id || '.md' AS path, url, 'site' || url AS target, CAST(3 + i AS INTEGER) AS line,
@@ -275,6 +276,10 @@ SELECT pos, path, heading, md5(got) AS content_md5, got IS NOT NULL AS found, CA
     "fuzzy_best": f"""{FUZZY} SELECT query, p_name AS match, CAST(d AS INTEGER) AS distance, round(s, 6) AS similarity FROM m WHERE s >= 0.6
         QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, k) = 1""",
     "fuzzy_all": f"{FUZZY} SELECT query, p_name AS match, CAST(d AS INTEGER) AS distance, round(s, 6) AS similarity FROM m WHERE s >= 0.5",
+    "fuzzy_join": """WITH q AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS query FROM benchmark), c AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS match FROM documents),
+        m AS (SELECT query, match, levenshtein(query, match) AS d FROM q JOIN c ON abs(len(query) - len(match)) <= 0.2 * greatest(len(query), len(match)) + 1e-9)
+        SELECT query, match, CAST(d AS INTEGER) AS distance, floor((1 - d::DOUBLE / greatest(len(query), len(match))) * 1e6 + 0.5000001) / 1e6 AS similarity FROM m
+        WHERE 1 - d::DOUBLE / greatest(len(query), len(match)) >= 0.8 - 1e-9""",
     "string_replace_first": """SELECT doc_id, CASE WHEN contains(text, 'the') THEN md5(substr(text, 1, instr(text, 'the') - 1) || '<$1>' || substr(text, instr(text, 'the') + 3)) END AS content_md5,
         CASE WHEN NOT contains(text, 'the') THEN 'Freeform edit failed: Search string not found: "the"' END AS error FROM documents""",
     "string_replace_all": """SELECT doc_id, CASE WHEN contains(text, 'the') THEN md5(replace(text, 'the', '<$1>')) END AS content_md5,

@@ -1,10 +1,15 @@
 """Link extraction, resolution, backlinks, overview and fuzzy matching."""
 
 import datetime as dt
+import random
+import re
+import time
+from itertools import accumulate
 
 import pytest
 from pyspark.sql import functions as F
 
+from marginalia.functions.arrays import running
 from marginalia.operators import fuzzy, links, overview
 from marginalia.operators.links import backlinks, backlinks_of, resolve, update_sources
 
@@ -172,3 +177,77 @@ def test_kept_links_follow_targets_like_a_full_rebuild(spark, make):
     got = sorted(map(tuple, links.edges_of(kept, make(after)).collect()))
     assert got == sorted(map(tuple, links.backlinks(make(after)).collect()))
     assert ("sub/new", "a.md") in {(x[0], x[1]) for x in got}
+
+
+def test_wikilinks_equal_a_plain_scan(spark):
+    draw, form = random.Random(3), re.compile(links.WIKILINK)
+    parts = ["[[", "]]", "|", "a", "b\n", "x y ", "ü", "𝒳", "[[n]]", "[[a|b]]", "]"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 60))) for _ in range(300)] + ["", None]
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, content string")
+    found = links.wikilinks(rows)
+    got = sorted((int(r.path), r.off, r.line, r.target, r.context) for r in found.collect())
+    want = [
+        (i, m.start(), t.count("\n", 0, m.start()) + 1, m.group(1), t[max(m.start() - 30, 0) : m.end() + 30].replace("\n", " "))
+        for i, t in enumerate(texts) for m in form.finditer(t or "")
+    ]
+    assert got == want and len(got) > 1000
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().toString()
+
+
+def test_many_links_in_one_note(spark):
+    text = "".join(f"line {i} [[note {i}|x]] more\n" for i in range(100_000))
+    started = time.time()
+    row = links.wikilinks(spark.createDataFrame([("b", text)], "path string, content string")).agg(F.count("*").alias("n"), F.max("off").alias("off"), F.max("line").alias("line")).first()
+    assert (row.n, row.off, row.line) == (100_000, text.rfind("[["), 100_000) and time.time() - started < 60
+
+
+def test_running_sums(spark):
+    rows = [(n, [(7 * i) % 11 for i in range(n)]) for n in (0, 1, 31, 32, 33, 1023, 1024, 1025, 5000)]
+    for r in spark.createDataFrame(rows, "n int, x array<int>").select("x", running(F.col("x")).alias("s")).collect():
+        assert r.s == [0, *accumulate(r.x)][: len(r.x)]
+
+
+def test_kept_links_follow_their_targets(spark):
+    """Random changes: links of touched names only are resolved again, and the result equals a full rebuild."""
+    draw = random.Random(8)
+    make = lambda notes: spark.createDataFrame(sorted(notes.items()), "path string, content string")
+    folders, names = ["", "a/", "b/", "a/c/"], ["n1", "n2", "N3", "x.y"]
+    text = lambda: " ".join(f"[[{draw.choice(['', 'a/', 'c/', 'zz/'])}{draw.choice(names)}{draw.choice(['', '#h', '.md'])}]]" for _ in range(3)) + " [t](a/n1.md)"
+    notes = {f + n + ".md": text() for f in folders for n in names if draw.random() < 0.5}
+    listing = lambda: make(notes).select("path")
+    kept = links.resolved_links(links.all_links(make(notes)), listing())
+    rows = lambda edges: sorted(tuple(r) for r in edges.collect())
+    for _ in range(3):
+        every = [f + n + ".md" for f in folders for n in names]
+        vanished = [p for p in sorted(notes) if draw.random() < 0.3]
+        appeared = [p for p in every if p not in notes and draw.random() < 0.3]
+        edited = [p for p in sorted(notes) if p not in vanished and draw.random() < 0.2]
+        notes = {p: t for p, t in notes.items() if p not in vanished} | {p: text() for p in appeared + edited}
+        changed = spark.createDataFrame([(p, notes[p]) for p in appeared + edited] + [(p, None) for p in vanished], "path string, content string")
+        paths = lambda x: spark.createDataFrame([(p,) for p in x], "path string")
+        kept = links.follow_changes(kept, changed, paths(appeared), paths(vanished), listing())
+        assert rows(links.edges_from(kept)) == rows(links.backlinks(make(notes)))
+
+
+def test_similar_join_equals_all_pairs(spark):
+    draw = random.Random(4)
+    words = ["".join(draw.choice("abc") for _ in range(draw.randint(0, 9))) for _ in range(160)]
+    left = spark.createDataFrame([(w, i) for i, w in enumerate([*words[:70], None, words[0]])], "q string, i int")
+    right = spark.createDataFrame([(w.upper(),) for w in words[70:]] + [(None,)], "t string")
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    for threshold in (0.3, 0.6, 1.0):
+        got = sorted((r.q, r.i, r.t, r.distance) for r in fuzzy.join_similar(left, "q", right, "t", threshold).collect())
+        pairs = [(a, i, b.upper(), distance(a, b)) for i, a in enumerate([*words[:70], None, words[0]]) if a is not None for b in words[70:]]
+        assert got == sorted(p for p in pairs if p[3] <= (1 - threshold) * max(len(p[0]), len(p[2])) + 1e-9)
+    plan = fuzzy.join_similar(left, "q", right, "t")._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    with pytest.raises(ValueError):
+        fuzzy.join_similar(left, "q", right, "t", 0)
