@@ -2,9 +2,10 @@
 
 Rules of a document are computed from its whole text. Failures are added up per
 host (``source``), each host's rate is shrunk by a beta prior that is estimated
-from all hosts by the method of moments, and the verdict of a host decides how
-strict its documents are judged: on a failing host a document is kept only if
-it passes the strict rules too; elsewhere the base rules alone decide.
+from all hosts by the method of moments, and the host's rate beside the prior's
+mean decides how strictly its documents are judged: a document is kept if it
+passes the base rules and the strict rules, whose limits are wider on hosts that
+fail less often than the mean, up to twice as wide.
 
 Nulls and empty texts have no words and fail. A null host is a host of its own.
 Empty table: empty result. Repeated rows count and are judged one by one.
@@ -25,10 +26,12 @@ from marginalia.llm.common import join_small, materialise, ship_package, table,
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = b"#*$%&|<>"
-# Strict rules, which count on failing hosts only: symbols per word, repeated lines, word length.
+# Strict rules: symbols per word, repeated lines, word length. Hosts that fail less often than the prior's mean get wider limits.
 MAX_SYMBOLS_PER_WORD = 0.5
 MAX_DUP_LINES = 0.3
 MEAN_WORD = (2.0, 15.0)
+WIDEST = 2.0
+# A host is reported as bad above this rate.
 HOST_LIMIT = 0.5
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
@@ -113,24 +116,28 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def strict_failed() -> Column:
+def strict_failed(width: Column | float = 1.0) -> Column:
+    """Whether a strict rule fails; ``width`` stretches the limits."""
+    width = F.lit(width) if isinstance(width, float) else width
     words = F.greatest(F.col("n_words"), F.lit(1))
     mean = F.col("word_chars") / words
     return (
-        (F.col("n_symbols") > MAX_SYMBOLS_PER_WORD * words)
-        | (F.col("n_dup_lines") > MAX_DUP_LINES * F.greatest(F.col("n_lines"), F.lit(1)))
-        | (mean < MEAN_WORD[0])
-        | (mean > MEAN_WORD[1])
+        (F.col("n_symbols") > MAX_SYMBOLS_PER_WORD * width * words)
+        | (F.col("n_dup_lines") > MAX_DUP_LINES * width * F.greatest(F.col("n_lines"), F.lit(1)))
+        | (mean < MEAN_WORD[0] / width)
+        | (mean > MEAN_WORD[1] * width)
     )
 
 
 def host_verdicts(flagged: DataFrame) -> DataFrame:
-    """Per host: documents, failures, shrunk failure rate and verdict.
+    """Per host: documents, failures, shrunk failure rate and the width of the strict limits.
 
     ``flagged`` has source and failed (boolean). The prior beta(a, b) has the
     mean of the host rates and their variance beyond sampling noise, with a + b
     between 1 and 1000; a host with few documents is drawn to that mean. The
-    prior is one row, computed from one row per host.
+    prior is one row, computed from one row per host. A host that fails as often
+    as the mean, or more often, has the strict limits themselves; the limits
+    of a better one are wider by the ratio, up to twice as wide.
     """
     hosts = flagged.groupBy("source").agg(F.count(F.lit(1)).alias("host_docs"), F.sum(F.col("failed").cast("long")).alias("host_failed"))
     rate = F.col("host_failed") / F.col("host_docs")
@@ -144,7 +151,8 @@ def host_verdicts(flagged: DataFrame) -> DataFrame:
     # The prior is a single aggregate row: this join adds two constants.
     shrunk = hosts.join(F.broadcast(prior), F.lit(True))
     host_rate = (F.col("host_failed") + F.col("__a")) / (F.col("host_docs") + F.col("__s"))
-    return shrunk.select("source", "host_docs", "host_failed", host_rate.alias("host_rate"), (host_rate > HOST_LIMIT).alias("host_bad"))
+    width = F.least(F.greatest(F.col("__a") / F.col("__s") / host_rate, F.lit(1.0)), F.lit(WIDEST))
+    return shrunk.select("source", "host_docs", "host_failed", host_rate.alias("host_rate"), width.alias("host_width"), (host_rate > HOST_LIMIT).alias("host_bad"))
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -152,8 +160,8 @@ def judge(docs: DataFrame) -> DataFrame:
     counts = materialise(measure(docs), "rules")
     flags = counts.withColumn("base_failed", base_failed()).withColumn("strict_failed", strict_failed())
     hosts = host_verdicts(flags.select("source", (F.col("base_failed") | F.col("strict_failed")).alias("failed")))
-    joined = join_small(flags, hosts.select("source", "host_rate", "host_bad"), ["source"])
-    kept = ~F.col("base_failed") & ~(F.col("host_bad") & F.col("strict_failed"))
+    joined = join_small(flags, hosts.select("source", "host_rate", "host_width"), ["source"])
+    kept = ~F.col("base_failed") & ~strict_failed(F.col("host_width"))
     return joined.withColumn("kept", kept)
 
 

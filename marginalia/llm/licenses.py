@@ -45,17 +45,39 @@ TEMPLATES = [
     ("mit", "released under the MIT License"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("apache-2", "Licensed under the Apache License, Version 2.0"),
-    ("gpl-3", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl-2", "This work is licensed under the GNU General Public License, version 2"),
+    ("gpl-3", "licensed under the GNU General Public License, version 3"),
+    ("gpl-2", "licensed under the GNU General Public License, version 2"),
     ("lgpl-3", "licensed under the GNU Lesser General Public License, version 3"),
     ("agpl-3", "licensed under the GNU Affero General Public License, version 3"),
+    ("cc-by", "Licensed under CC BY 4.0"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
     ("cc-by", "licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-nc", "licensed under a Creative Commons Attribution NonCommercial 4.0 International License"),
+    ("cc-by-sa", "licensed under a Creative Commons Attribution ShareAlike 4.0 International License"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 ]
+# The words, beside a high share of the others, that tell each notice from its relatives.
+TELLING = [
+    "mit",
+    "",
+    "apache 2",
+    "gnu 3",
+    "gnu 2",
+    "lesser 3",
+    "affero 3",
+    "cc by",
+    "cc nc",
+    "cc sa",
+    "attribution",
+    "noncommercial",
+    "sharealike",
+    "",
+    "mozilla",
+    "unencumbered",
+]
 
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -163,9 +185,17 @@ def digest(docs: DataFrame) -> DataFrame:
         found = found.withColumn(f"__p{k}", phrase_places(F.col("normal"), phrase))
     places = F.concat(*[F.col(f"__p{k}") for k in range(len(PHRASES))])
     base = F.array_compact(F.array(*[F.when(F.size(f"__p{k}") > 0, F.lit(label)) for k, label in enumerate(PHRASES.values())]))
-    # A similar notice also reaches the threshold: it is no find of its own where a better one matches through all of its words.
+    telling = F.array(*[F.array(*map(F.lit, words.split())).cast("array<string>") for words in TELLING])
+
+    # A similar notice also reaches the threshold. It is no find of its own without the words that tell it from its
+    # relatives, nor where one that is as good matches through all of its words and more.
     def is_own(m: Column) -> Column:
-        return ~F.exists("matches", lambda o: (o["start"] == m["start"]) & (o["score"] > m["score"]) & (F.size(F.array_except(m["words"], o["words"])) == 0))
+        told = F.size(F.array_except(F.get(telling, m["template"]), m["words"])) == 0
+        wider = F.exists(
+            "matches",
+            lambda o: (o["start"] == m["start"]) & (o["score"] >= m["score"]) & ((o["score"] > m["score"]) | (F.size(o["words"]) > F.size(m["words"]))) & (F.size(F.array_except(m["words"], o["words"])) == 0),
+        )
+        return told & ~wider
 
     own = F.transform(F.filter("matches", is_own), lambda m: m["label"])
     best = F.coalesce(F.array_max(F.transform("matches", lambda m: m["score"])), F.lit(0.0))

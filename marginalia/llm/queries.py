@@ -50,8 +50,10 @@ ORACLE: dict[str, str] = {
       h AS (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (base_failed OR strict_failed)::DOUBLE AS k FROM f GROUP BY source),
       m AS (SELECT least(greatest(avg(k / n), 1e-6), 1 - 1e-6) AS m, var_pop(k / n) AS v, avg(1 / n) AS u FROM h),
       p AS (SELECT m, least(greatest(m * (1 - m) / greatest(v - m * (1 - m) * u, 1e-9) - 1, 1.0), 1000.0) AS s FROM m),
-      r AS (SELECT source, (k + m * s) / (n + s) AS host_rate FROM h, p)
-      SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (host_rate > 0.5 AND strict_failed) AS kept, round(host_rate, 6) AS host_rate
+      r AS (SELECT source, (k + m * s) / (n + s) AS host_rate, least(greatest((m * s) / s / ((k + m * s) / (n + s)), 1.0), 2.0) AS width FROM h, p)
+      SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (
+        n_symbols > 0.5 * width * greatest(n_words, 1) OR n_dup_lines > 0.3 * width * greatest(n_lines, 1)
+        OR word_chars / greatest(n_words, 1) < 2.0 / width OR word_chars / greatest(n_words, 1) > 15.0 * width) AS kept, round(host_rate, 6) AS host_rate
       FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source""",
     "op13_decontamination": r"""WITH ws AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws, row_number() OVER () AS r FROM documents),
       bs AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
