@@ -232,6 +232,11 @@ def update_links(found: DataFrame, changed: DataFrame) -> DataFrame:
     return materialise(kept.unionByName(all_links(changed.filter(F.col("content").isNotNull())).select(*kept.columns)), "links")
 
 
+def backlinks_of_all(edges: DataFrame, paths: DataFrame) -> DataFrame:
+    """Edges to any of the listed paths."""
+    return edges.join(paths.select(path_key(F.col("path")).alias("target_key")).distinct(), "target_key", "left_semi")
+
+
 def last_part(name: Column) -> Column:
     """The last segment of a name: equal to the file name, without ``.md``, of any path it can match (or to its end, if alone)."""
     return F.regexp_extract(name, r"[^/]*\z", 0)

@@ -61,9 +61,16 @@ def create_notes(notes: DataFrame, new: DataFrame) -> DataFrame:
     return new.join(taken, "path", "left")
 
 
-def upsert_notes(notes: DataFrame, new: DataFrame) -> DataFrame:
-    """Next state of the table with ``new`` written over it."""
-    return delete_notes(notes, new).unionByName(new.select(*notes.columns))
+def upsert_notes(notes: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
+    """Next state of the table with ``new`` written over it.
+
+    Of several rows with one path the last by ``order`` is written; without an
+    order the greatest row, so that a path never stands twice.
+    """
+    rest = F.struct(*[c for c in notes.columns if c != "path"])
+    by = F.col(order) if order else rest
+    last = new.groupBy("path").agg(F.max_by(rest, by).alias("_n")).select("path", "_n.*")
+    return delete_notes(notes, new).unionByName(last.select(*notes.columns))
 
 
 def delete_notes(notes: DataFrame, paths: DataFrame) -> DataFrame:

@@ -57,6 +57,33 @@ def total_files(listing: DataFrame) -> DataFrame:
     return listing.filter(visible(F.col("path"))).agg(F.count(F.lit(1)).alias("total_files"))
 
 
+def folder_tree(rows: DataFrame, max_depth: int = DEFAULT_DEPTH) -> DataFrame:
+    """``path, tree``: one row per root of a table of :func:`folders`, with the folders below it nested as JSON.
+
+    Levels are folded from the deepest up: each step groups the folders of one
+    depth under their parents, so a row only ever holds one folder's subtree.
+    Children stand in locale order. A folder whose parent is not in the table is
+    a root.
+    """
+    known = rows.select(F.col("path").alias("_p")).distinct()
+    placed = rows.join(known, rows["parent_path"] == known["_p"], "left").withColumn("root", F.col("_p").isNull()).drop("_p")
+    below = None
+    for depth in range(max_depth, -1, -1):
+        level = placed.filter(F.col("depth") == depth)
+        if below is not None:
+            inner = F.transform(F.array_sort(F.collect_list(F.struct(F.collate("path", "UNICODE").alias("c"), F.col("path").alias("p"), "node"))), lambda x: x["node"])
+            level = level.join(below.groupBy(F.col("parent_path").alias("_up")).agg(inner.alias("children")), F.col("path") == F.col("_up"), "left").drop("_up")
+        else:
+            level = level.withColumn("children", F.lit(None).cast("array<string>"))
+        head = F.to_json(F.struct("path", "depth", "file_count", *(["last_modified"] if "last_modified" in rows.columns else [])), {"ignoreNullFields": "false"})
+        node = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"children":['), F.coalesce(F.array_join("children", ","), F.lit("")), F.lit("]}"))
+        level = level.select("path", "parent_path", "root", node.alias("node"))
+        roots = level.filter("root").select("path", F.col("node").alias("tree"))
+        out = roots if depth == max_depth else out.unionByName(roots)
+        below = level.filter(~F.col("root"))
+    return out
+
+
 def in_folder_order(folders: DataFrame) -> DataFrame:
     """Folders by path in locale order: letters before case, accents after plain letters."""
     return folders.orderBy(F.collate("path", "UNICODE"), "path")

@@ -82,7 +82,9 @@ def note_stat(spark, sf):
 
 @query
 def read_note(spark, sf):
-    return vault(spark, sf).select("path", md5("content").alias("content_md5"))
+    """Every note, and a missing one for each label."""
+    asked = vault_listing(spark, sf).select("path").union(table(spark, sf, "labels").select(F.concat(F.lit("missing/doc-"), "doc_id", F.lit(".md"))))
+    return notes.read_notes(vault(spark, sf), asked).select("path", md5("content").alias("content_md5"), "error_code")
 
 
 @query
@@ -97,9 +99,9 @@ def vault_files(spark, sf):
 
 @query
 def missing_notes(spark, sf):
-    wanted = table(spark, sf, "embeddings").select(F.concat(F.lit("doc-"), "vec_id").alias("path"))
-    have = table(spark, sf, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("path"))
-    return notes.missing(have, wanted)
+    marked = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id")
+    wanted = marked.select(F.when(F.col("quality") == 1, doc_path()).otherwise(F.concat(F.lit("gone/"), doc_path())).alias("path"))
+    return notes.missing(vault_listing(spark, sf), wanted)
 
 
 @query
@@ -142,7 +144,9 @@ def create_conflicts(spark, sf):
 
 @query
 def note_upsert(spark, sf):
-    state = notes.upsert_notes(vault(spark, sf).select("path", "content"), _label_notes(spark, sf))
+    new = _label_notes(spark, sf)
+    twice = new.withColumn("seq", F.lit(2)).union(new.withColumn("content", F.lit("Draft")).withColumn("seq", F.lit(1)))
+    state = notes.upsert_notes(vault(spark, sf).select("path", "content"), twice, "seq")
     return state.select("path", md5("content").alias("content_md5"))
 
 
@@ -390,7 +394,8 @@ def vector_upsert(spark, sf):
         F.transform("embedding", lambda x: -x).alias("embedding"),
     )
     state = vectors.upsert(_store(spark, sf), new, 64)
-    return state.select("doc_path", "chunk_idx", r6(F.get("embedding", F.lit(0)).cast("double")).alias("first"), F.size("embedding").alias("n"))
+    whole = F.array_join(F.transform("embedding", lambda x: F.floor(x.cast("double") * 1e6).cast("string")), ",")
+    return state.select("doc_path", "chunk_idx", F.md5(whole).alias("vector_md5"), F.size("embedding").alias("n"))
 
 
 @query
@@ -498,6 +503,12 @@ def backlinks(spark, sf):
     return _edges(spark, sf)
 
 
+@query
+def backlinks_of_labelled(spark, sf):
+    wanted = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id").select(doc_path().alias("path"))
+    return links.backlinks_of_all(_edges(spark, sf), wanted).select("target_key", "source_path", "line_number")
+
+
 @query
 def backlink_counts(spark, sf):
     return links.backlink_counts(_edges(spark, sf))
@@ -571,6 +582,14 @@ def overview_depth_one(spark, sf):
     return rows.select("path", "parent_path", "depth", "file_count", F.date_format("last_modified", "yyyy-MM-dd HH:mm:ss").alias("last_modified"))
 
 
+@query
+def overview_tree(spark, sf):
+    """Three levels of folders below the root folders, nested as JSON."""
+    path = F.concat("source", F.lit("/"), "lang", F.lit("/g"), F.col("doc_id") % 11, F.lit("/n-"), "doc_id", F.lit(".md"))
+    listing = table(spark, sf, "documents").select(path.alias("path"))
+    return overview.folder_tree(overview.folders(listing).drop("last_modified"))
+
+
 @query
 def overview_total(spark, sf):
     return overview.total_files(vault_listing(spark, sf))
@@ -656,6 +675,28 @@ def patch_document(spark, sf):
     return done.select("path", md5("content").alias("content_md5"), "error_code")
 
 
+@query
+def patch_document_append(spark, sf):
+    done = edits.patch(vault(spark, sf), "append", F.lit("Last words."))
+    return done.select("path", md5("content").alias("content_md5"), "error_code")
+
+
+@query
+def patch_document_replace(spark, sf):
+    done = edits.patch(vault(spark, sf), "replace", F.concat(F.lit("Only "), "path"))
+    return done.select("path", md5("content").alias("content_md5"), "error_code")
+
+
+@query
+def patch_found_block(spark, sf):
+    """Append, prepend and replace at a paragraph with an id, beside notes without it."""
+    marked = F.when(F.col("doc_id") % 5 == 0, F.col("content")).otherwise(F.concat("content", F.lit("\nMarked *text* ^b-1\n\nTail words\n")))
+    rows = vault(spark, sf).select("path", marked.alias("content"))
+    done = [edits.patch(rows, how, F.lit("Added."), block_id=F.lit("b-1")).withColumn("operation", F.lit(how)) for how in ("append", "prepend", "replace")]
+    both = done[0].unionByName(done[1]).unionByName(done[2])
+    return both.select("path", "operation", md5("content").alias("content_md5"), "error_code")
+
+
 @query
 def patch_missing_block(spark, sf):
     done = edits.patch(vault(spark, sf), "append", F.lit("x"), block_id=F.lit("nope"))

@@ -165,9 +165,10 @@ ORACLE: dict[str, str] = {
     "list_notes": f"SELECT {DOC_PATH} AS path FROM documents",
     "list_notes_dir": f"SELECT {DOC_PATH} AS path FROM documents WHERE source = 'src1' AND lang = 'en'",
     "note_stat": f"WITH {VAULT} SELECT path, CAST(strlen(content) AS BIGINT) AS size_bytes FROM vault",
-    "read_note": f"WITH {VAULT} SELECT path, md5(content) AS content_md5 FROM vault",
+    "read_note": f"""WITH {VAULT} SELECT path, md5(content) AS content_md5, CAST(NULL AS VARCHAR) AS error_code FROM vault
+        UNION ALL SELECT 'missing/doc-' || doc_id || '.md', NULL, 'NOTE_NOT_FOUND' FROM labels""",
     "vault_files": f"WITH {VAULT} SELECT path, CAST(strlen(content) AS BIGINT) AS size_bytes, md5(content) AS content_md5 FROM vault",
-    "missing_notes": "SELECT 'doc-' || vec_id AS path FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)",
+    "missing_notes": f"SELECT 'gone/' || {DOC_PATH} AS path FROM documents JOIN labels USING (doc_id) WHERE quality <> 1",
     "safe_paths": """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN source || '/' || lang || '/doc-' || doc_id || '.md'
         WHEN 1 THEN source || '/' || lang || '/doc-' || doc_id || '.md' WHEN 3 THEN source || '/' || lang || ' ' || doc_id || '.md' END AS path,
         CASE doc_id % 5 WHEN 2 THEN 'PATH_TRAVERSAL' WHEN 4 THEN 'INVALID_NOTE_PATH' END AS error_code FROM documents""",
@@ -227,9 +228,9 @@ SELECT pos, path, heading, md5(got) AS content_md5, got IS NOT NULL AS found, CA
     "hybrid_search": hybrid(10),
     "hybrid_search_dir": hybrid(20, prefix="src1"),
     "hybrid_search_prefilter": hybrid(10, prefilter="src1/"),
-    "vector_upsert": """WITH n AS (SELECT 'v' || (vec_id * 2) AS doc_path, unnest([0, 1]) AS chunk_idx, -embedding[1] AS f FROM embeddings)
-        SELECT 'v' || vec_id AS doc_path, 0 AS chunk_idx, round(embedding[1]::DOUBLE, 6) AS first, 64 AS n FROM embeddings
-        WHERE 'v' || vec_id NOT IN (SELECT doc_path FROM n) UNION ALL SELECT doc_path, chunk_idx, round(f::DOUBLE, 6), 64 FROM n""",
+    "vector_upsert": """WITH n AS (SELECT 'v' || (vec_id * 2) AS doc_path, unnest([0, 1]) AS chunk_idx, list_transform(embedding, lambda x: -x) AS e FROM embeddings),
+        v AS (SELECT 'v' || vec_id AS doc_path, 0 AS chunk_idx, embedding AS e FROM embeddings WHERE 'v' || vec_id NOT IN (SELECT doc_path FROM n) UNION ALL SELECT * FROM n)
+        SELECT doc_path, chunk_idx, md5(array_to_string(list_transform(e, lambda x: CAST(CAST(floor(x::DOUBLE * 1e6) AS BIGINT) AS VARCHAR)), ',')) AS vector_md5, 64 AS n FROM v""",
     "vector_delete": "SELECT 'v' || vec_id AS doc_path, 0 AS chunk_idx FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)",
     "vector_pad_truncate": """SELECT vec_id, dims, dims AS n, round(list_sum(embedding[1:dims]::DOUBLE[]), 6) AS total
         FROM embeddings, (SELECT unnest([48, 80]) AS dims)""",
@@ -255,6 +256,8 @@ SELECT pos, path, heading, md5(got) AS content_md5, got IS NOT NULL AS found, CA
           ELSE source || '/' || lang || '/doc-' || (doc_id + 1) || '.md' END AS suffix FROM documents)
         SELECT t.doc_id, target, min(d.path) AS resolved FROM t LEFT JOIN d ON ends_with(d.path, suffix) GROUP BY ALL""",
     "backlinks": f"{BACKLINKS} SELECT * FROM e",
+    "backlinks_of_labelled": f"""{BACKLINKS} SELECT target_key, source_path, line_number FROM e
+        WHERE target_key IN (SELECT lower(regexp_replace({DOC_PATH}, '\\.md$', '')) FROM documents JOIN labels USING (doc_id))""",
     "backlink_counts": f"{BACKLINKS} SELECT target_key, count(*) AS n FROM e GROUP BY 1",
     "backlink_index_size": f"{BACKLINKS} SELECT count(DISTINCT target_key) AS targets FROM e",
     "backlinks_updated": f"""WITH {VAULT}, lab AS (SELECT b.doc_id, b.path, toxic = 1 AS gone, toxic <> 1 AND quality = 1 AS fresh FROM labels JOIN base b USING (doc_id)),
@@ -272,6 +275,10 @@ SELECT pos, path, heading, md5(got) AS content_md5, got IS NOT NULL AS found, CA
     "overview_depth_one": """WITH f AS (SELECT CASE WHEN user_id % 9 = 0 THEN '.' ELSE event_type END AS path, ts FROM events WHERE user_id % 9 <> 1)
         SELECT path, CASE WHEN path = '.' THEN NULL ELSE '.' END AS parent_path, CASE WHEN path = '.' THEN 0 ELSE 1 END AS depth,
         count(*) AS file_count, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_modified FROM f GROUP BY path""",
+    "overview_tree": """WITH f AS (SELECT source AS a, source || '/' || lang AS b, source || '/' || lang || '/g' || doc_id % 11 AS c FROM documents),
+        c AS (SELECT a, b, c, '{"path":"' || c || '","depth":3,"file_count":' || count(*) || ',"children":[]}' AS node FROM f GROUP BY a, b, c),
+        b AS (SELECT a, b, '{"path":"' || b || '","depth":2,"file_count":0,"children":[' || string_agg(node, ',' ORDER BY c) || ']}' AS node FROM c GROUP BY a, b)
+        SELECT a AS path, '{"path":"' || a || '","depth":1,"file_count":0,"children":[' || string_agg(node, ',' ORDER BY b) || ']}' AS tree FROM b GROUP BY a""",
     "overview_total": "SELECT count(*) AS total_files FROM documents",
     "fuzzy_best": f"""{FUZZY} SELECT query, p_name AS match, CAST(d AS INTEGER) AS distance, round(s, 6) AS similarity FROM m WHERE s >= 0.6
         QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, k) = 1""",
@@ -292,6 +299,11 @@ SELECT pos, path, heading, md5(got) AS content_md5, got IS NOT NULL AS found, CA
     "patch_prepend": patched(f"'## Part 0' || {NL} || {NL} || 'Added *text*.' || {NL} || {NL} || ls[1] || ' [[doc-' || ((doc_id*31) % 997) || ']]' || {NL}"),
     "patch_replace": patched(f"'## Part 0' || {NL} || {NL} || 'Added *text*.' || {NL}"),
     "patch_document": f"WITH {VAULT} SELECT path, md5(front || 'First words.' || {NL} || {NL} || body) AS content_md5, CAST(NULL AS VARCHAR) AS error_code FROM vault",
+    "patch_document_append": f"WITH {VAULT} SELECT path, md5(rtrim(content, {NL}) || {NL} || {NL} || 'Last words.' || {NL}) AS content_md5, CAST(NULL AS VARCHAR) AS error_code FROM vault",
+    "patch_document_replace": f"SELECT {DOC_PATH} AS path, md5('Only ' || {DOC_PATH} || {NL}) AS content_md5, CAST(NULL AS VARCHAR) AS error_code FROM documents",
+    "patch_found_block": f"""WITH {VAULT}, m(operation, middle) AS (VALUES ('append', 'Marked *text* ^b-1' || {NL} || {NL} || 'Added.'), ('prepend', 'Added.' || {NL} || {NL} || 'Marked *text* ^b-1'), ('replace', 'Added.'))
+        SELECT path, operation, CASE WHEN doc_id % 5 <> 0 THEN md5(rtrim(content, {NL}) || {NL} || {NL} || middle || {NL} || {NL} || 'Tail words' || {NL}) END AS content_md5,
+        CASE WHEN doc_id % 5 = 0 THEN 'BLOCK_NOT_FOUND' END AS error_code FROM vault, m""",
     "patch_missing_block": f"SELECT {DOC_PATH} AS path, CAST(NULL AS VARCHAR) AS content, 'BLOCK_NOT_FOUND' AS error_code FROM documents",
     "diff_preview": f"SELECT {DOC_PATH} AS path, 2 AS added, 0 AS removed FROM documents",
     "batch_edit": f"{BATCH} SELECT * FROM results",
