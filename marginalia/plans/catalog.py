@@ -97,6 +97,21 @@ def vault_files(spark, sf):
     return rows.select("path", "size_bytes", md5("content").alias("content_md5"))
 
 
+@query
+def vault_errors(spark, sf):
+    """Notes and failures by kind: folders that are not there, and notes that went between listing and reading."""
+    root = f"{shared_dir(spark).removeprefix('file://').removeprefix('file:')}/errors-{uuid.uuid4().hex}"
+    os.makedirs(root)
+    files.write_files(root, vault(spark, sf), overwrite=True).write.format("noop").mode("overwrite").save()
+    marked = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id").select(doc_path().alias("path"), "toxic", "doc_id")
+    absent = marked.select(F.concat(F.lit("absent/"), F.col("doc_id").cast("string")).alias("folder"))
+    seen = files.walk(spark, root, table(spark, sf, "documents").select(F.col("source").alias("folder")).distinct().union(absent))
+    listing = materialise(seen.filter("kind = 'file'").select("path", "size_bytes", "modified_at"), "listing")
+    files.delete_files(root, marked.filter("toxic = 1")).write.format("noop").mode("overwrite").save()
+    lost = files.unreadable(files.read_files(spark, root, listing)).select(F.col("error_code").alias("kind"))
+    return seen.select("kind").unionByName(lost).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def missing_notes(spark, sf):
     marked = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id")

@@ -168,6 +168,8 @@ ORACLE: dict[str, str] = {
     "read_note": f"""WITH {VAULT} SELECT path, md5(content) AS content_md5, CAST(NULL AS VARCHAR) AS error_code FROM vault
         UNION ALL SELECT 'missing/doc-' || doc_id || '.md', NULL, 'NOTE_NOT_FOUND' FROM labels""",
     "vault_files": f"WITH {VAULT} SELECT path, CAST(strlen(content) AS BIGINT) AS size_bytes, md5(content) AS content_md5 FROM vault",
+    "vault_errors": """SELECT 'file' AS kind, count(*) AS n FROM documents UNION ALL SELECT 'folder', count(DISTINCT (source, lang)) FROM documents
+        UNION ALL SELECT 'error', count(DISTINCT doc_id) FROM labels UNION ALL SELECT 'NOTE_UNREADABLE', count(*) FROM labels JOIN documents USING (doc_id) WHERE toxic = 1""",
     "missing_notes": f"SELECT 'gone/' || {DOC_PATH} AS path FROM documents JOIN labels USING (doc_id) WHERE quality <> 1",
     "safe_paths": """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN source || '/' || lang || '/doc-' || doc_id || '.md'
         WHEN 1 THEN source || '/' || lang || '/doc-' || doc_id || '.md' WHEN 3 THEN source || '/' || lang || ' ' || doc_id || '.md' END AS path,

@@ -21,6 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 from marginalia.errors import InvalidNotePath, NoteError, PathTraversal, VaultNotFound
 from marginalia.functions.paths import directory_path
+from marginalia.session import materialise
 
 # Fixed value: how long a file must have been left alone before it is read.
 SETTLE_MS = 100
@@ -49,33 +50,73 @@ def _walk(top: str) -> Iterator[os.DirEntry]:
             continue
 
 
-def list_files(spark: SparkSession, root: str, directory: str | None = None) -> DataFrame:
-    """``path, size_bytes, modified_at`` of all notes; folders are walked in parallel.
+ENTRIES = "path string, kind string, size_bytes long, modified_at timestamp, error string"
+
+
+def walk(spark: SparkSession, root: str, tops: DataFrame) -> DataFrame:
+    """Everything below the folders ``tops`` (column ``folder``, relative to the root): ``path, kind, size_bytes, modified_at, error``.
 
-    The driver only reads the two upper folder levels; each task walks the
-    subtrees it is given.
+    ``kind`` is ``file`` for a note, ``folder``, or ``error`` for a folder or an
+    entry that cannot be read. The frontier is a table and is expanded level by
+    level, one job for each, so however the notes are spread over the tree, the
+    folders of a level are dealt over all tasks. Symbolic links are not followed.
     """
     base = open_vault(root)
-    top = os.path.join(base, directory_path(directory))
-    work = _work_folders(top)
-    n = min(len(work), spark.sparkContext.defaultParallelism * 4)
-    frame = spark.createDataFrame(work, "folder string, deep boolean").repartition(max(n, 1), "folder")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["path", "size_bytes", "modified_at"]
+        columns = ["path", "kind", "size_bytes", "modified_at", "error"]
         for batch in batches:
             rows = []
-            for folder, deep in zip(batch["folder"], batch["deep"]):
-                for entry in _walk(folder) if deep else _flat(folder):
-                    info = entry.stat(follow_symlinks=False)
-                    stamp = pd.Timestamp(info.st_mtime_ns // 1000, unit="us", tz="UTC")
-                    rows.append((os.path.relpath(entry.path, base), info.st_size, stamp))
-                    if len(rows) == 10_000:
-                        yield pd.DataFrame(rows, columns=columns)
-                        rows = []
+            for folder in batch["folder"]:
+                rows += _entries(base, folder)
+                if len(rows) >= 10_000:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
             yield pd.DataFrame(rows, columns=columns)
 
-    return frame.mapInPandas(scan, LISTING)
+    found, frontier = [], tops.select("folder").distinct()
+    while True:
+        tasks = spark.sparkContext.defaultParallelism * 4
+        level = materialise(frontier.repartition(tasks, "folder").mapInPandas(scan, ENTRIES), "level")
+        if level.isEmpty():
+            break
+        found.append(level)
+        frontier = level.filter("kind = 'folder'").select(F.col("path").alias("folder"))
+    out = found[0] if found else spark.createDataFrame([], ENTRIES)
+    for level in found[1:]:
+        out = out.unionByName(level)
+    return out
+
+
+def _entries(base: str, folder: str) -> list[tuple]:
+    """Notes and folders directly in one folder, and what could not be read."""
+    rows, empty = [], (None, None)
+    try:
+        with os.scandir(os.path.join(base, folder)) as entries:
+            for entry in entries:
+                path = os.path.relpath(entry.path, base)
+                try:
+                    if entry.is_dir(follow_symlinks=False):
+                        rows.append((path, "folder", *empty, None))
+                    elif entry.is_file(follow_symlinks=False) and entry.name.endswith(".md"):
+                        info = entry.stat(follow_symlinks=False)
+                        rows.append((path, "file", info.st_size, pd.Timestamp(info.st_mtime_ns // 1000, unit="us", tz="UTC"), None))
+                except OSError as exc:
+                    rows.append((path, "error", *empty, exc.strerror))
+    except OSError as exc:
+        rows.append((folder, "error", *empty, exc.strerror))
+    return rows
+
+
+def list_files(spark: SparkSession, root: str, directory: str | None = None) -> DataFrame:
+    """``path, size_bytes, modified_at`` of all notes; :func:`walk` tells what could not be read."""
+    top = spark.createDataFrame([(directory_path(directory),)], "folder string")
+    return walk(spark, root, top).filter("kind = 'file'").select("path", "size_bytes", "modified_at")
+
+
+def unreadable(contents: DataFrame) -> DataFrame:
+    """Notes of :func:`read_files` that were listed and could not be read, with an error code."""
+    return contents.filter(F.col("content").isNull()).select("path", F.lit("NOTE_UNREADABLE").alias("error_code"))
 
 
 def _work_folders(top: str) -> list[tuple[str, bool]]:

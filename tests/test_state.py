@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from marginalia import errors
 from marginalia.api import Workspace
 from marginalia.functions.paths import clean_path, directory_path, note_path
-from marginalia.operators import workflow
+from marginalia.operators import notes, workflow
 from marginalia.sources import files
 from marginalia.sources.embedders import HashingEmbedder, ServiceEmbedder, create_embedder
 from marginalia.sources.index_store import IndexStore, build_changes, build_index
@@ -255,6 +255,34 @@ def test_deletes_pass_an_open_burst(spark, tmp_path):
     assert run() == sorted([*first, ("c", "change", 9000, 1)])
 
 
+# ---- listing ----
+
+
+def test_one_deep_folder_is_listed_by_many_tasks(spark, tmp_path):
+    for i in range(40):
+        os.makedirs(tmp_path / "top/second" / f"f{i}")
+        (tmp_path / "top/second" / f"f{i}" / "n.md").write_text("x")
+    tops = spark.createDataFrame([("top",), ("absent",)], "folder string")
+    found = files.walk(spark, str(tmp_path), tops)
+    assert sorted((r.kind, r.n) for r in found.groupBy("kind").agg(F.count("*").alias("n")).collect()) == [("error", 1), ("file", 40), ("folder", 41)]
+    assert found.filter("kind = 'file'").select(F.input_file_name().alias("f")).distinct().count() > 1
+    assert [r.path for r in found.filter("kind = 'error'").collect()] == ["absent"]
+
+
+def test_lost_notes_are_reported(spark, vault):
+    listing = files.list_files(spark, vault)
+    os.unlink(f"{vault}/hello.md")
+    assert [(r.path, r.error_code) for r in files.unreadable(files.read_files(spark, vault, listing)).collect()] == [("hello.md", "NOTE_UNREADABLE")]
+
+
+def test_upsert_keeps_the_last_of_repeated_paths(spark):
+    old = spark.createDataFrame([("a", "old"), ("b", "old")], "path string, content string")
+    new = spark.createDataFrame([("a", "first", 1), ("a", "second", 2), ("c", "only", 1)], "path string, content string, seq int")
+    got = sorted((r.path, r.content) for r in notes.upsert_notes(old, new, "seq").collect())
+    assert got == [("a", "second"), ("b", "old"), ("c", "only")]
+    assert notes.upsert_notes(old, new.select("path", "content")).filter("path = 'a'").count() == 1
+
+
 # ---- watching ----
 
 
