@@ -26,6 +26,7 @@ from marginalia.functions.text import (
 )
 from marginalia.operators import edits, fuzzy, links, notes, overview, vectors, workflow
 from marginalia.operators.chunks import chunk_notes, outline, read_sections
+from marginalia.operators.headings import heading_trails
 from marginalia.operators.hints import with_hints
 from marginalia.operators.search import fragment_search, global_search, score_rows
 from marginalia.session import materialise, shared_dir, spread
@@ -212,6 +213,13 @@ def note_outline(spark, sf):
     return outline(vault(spark, sf).select("path", "content"))
 
 
+@query
+def heading_paths(spark, sf):
+    """Every heading with its trail, by Spark expressions alone."""
+    rows = heading_trails(vault(spark, sf).select("path", "content"))
+    return rows.select("path", "line", "depth", "title", F.array_join("heading_path", " > ").alias("trail"))
+
+
 @query
 def read_section(spark, sf):
     rows = read_sections(vault(spark, sf), F.lit("pArT 3"))

@@ -195,6 +195,8 @@ SELECT pos, path, heading, md5(got) AS content_md5, got IS NOT NULL AS found, CA
         CAST(8 + 4 * chunk_idx AS INTEGER) AS start_line, CAST(10 + 4 * chunk_idx AS INTEGER) AS end_line, md5(text) AS text_md5 FROM chunks""",
     "note_outline": f"""WITH {VAULT} SELECT path, 1 AS idx, 1 AS depth, 'Doc ' || doc_id AS title FROM vault
         UNION ALL SELECT path, CAST(2 + 2 * i AS INTEGER), 2, 'Part ' || i FROM parts""",
+    "heading_paths": f"""WITH {VAULT} SELECT path, 6 AS line, 1 AS depth, 'Doc ' || doc_id AS title, 'Doc ' || doc_id AS trail FROM vault
+        UNION ALL SELECT path, CAST(8 + 4 * i AS INTEGER), 2, 'Part ' || i, 'Doc ' || doc_id || ' > Part ' || i FROM parts""",
     "read_section": f"WITH {VAULT} SELECT path, len(ps) > 3 AS found, md5(coalesce(ps[4], '')) AS content_md5 FROM vault",
     "frontmatter_get": f"SELECT {DOC_PATH} AS path, 'Doc ' || doc_id AS title, lang FROM documents",
     "frontmatter_set": f"""WITH {VAULT} SELECT path, md5('---' || {NL} || 'title: Doc ' || doc_id || {NL} || 'lang: x-' || lang || {NL} || 'status: done' || {NL}
