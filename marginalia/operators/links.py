@@ -169,8 +169,8 @@ def resolve_names(names: DataFrame, listing: DataFrame) -> DataFrame:
 
     A bare name matches a file name. A name with ``/`` matches the end of a
     path, at any character. For these, each path lists its endings of exactly
-    the lengths that occur among such names (one row with a set no larger than
-    the longest path, found in the same plan), which keeps this an equi-join
+    the lengths that occur among such names (a subquery of the same plan, a set
+    no larger than the longest path), which keeps this an equi-join
     rather than a comparison of all pairs and keeps equal file names, however
     common, from meeting in one task. Both sides of each join are distinct on
     the join key.
@@ -181,9 +181,9 @@ def resolve_names(names: DataFrame, listing: DataFrame) -> DataFrame:
     plain = names.filter(~F.col("name").contains("/")).join(by_base, "name", "left")
 
     partial = names.filter(F.col("name").contains("/")).withColumn("suffix", F.concat("name", F.lit(".md")))
-    lengths = partial.agg(F.collect_set(F.length("suffix")).alias("lengths"))
+    lengths = partial.agg(F.collect_set(F.length("suffix"))).scalar()
     fitting = F.filter("lengths", lambda n: n <= F.length("low"))
-    endings = files.join(F.broadcast(lengths)).select("file", "low", F.explode_outer(fitting).alias("n")).filter("n IS NOT NULL")
+    endings = files.withColumn("lengths", lengths).select("file", "low", F.explode_outer(fitting).alias("n")).filter("n IS NOT NULL")
     by_suffix = endings.groupBy(F.right(F.col("low"), F.col("n")).alias("suffix")).agg(_best().alias("resolved"))
     return plain.unionByName(partial.join(by_suffix, "suffix", "left").drop("suffix"))
 
