@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from marginalia.session import materialise, shared_dir, ship_package
 
-__all__ = ["bounded_batches", "first_by_hash", "is_held_out", "join_small", "materialise", "row_hash", "shared_dir", "ship_package", "slot_in_group", "table", "text_of"]
+__all__ = ["PIECE_BYTES", "bounded_batches", "first_by_hash", "is_held_out", "join_small", "materialise", "row_hash", "shared_dir", "ship_package", "slot_in_group", "table", "text_of"]
 
 # Broadcast sides are counted first; above this many (narrow) rows the join shuffles.
 BROADCAST_ROWS = 200_000
@@ -27,7 +27,9 @@ SLICE_ROWS = 20_000
 
 
 # Arrow batches end at this size or with the row that passes it.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
+# Texts looked at together inside a batch by operators with wide temporaries.
+PIECE_BYTES = 512 << 10
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marginalia.llm import textscan as ts
-from marginalia.llm.common import bounded_batches, first_by_hash, is_held_out, materialise, row_hash, ship_package, table
+from marginalia.llm.common import PIECE_BYTES, bounded_batches, first_by_hash, is_held_out, materialise, row_hash, ship_package, table
 
 SAMPLE_DOCS = 4000
 SIZES = (3, 4, 5)
@@ -158,7 +158,7 @@ def learn(training: DataFrame, text: str = "text", lang: str = "lang") -> Filter
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owners = np.array([index[x] for x in batch.column(0).to_pylist()], np.int64)
-            for lo, hi, data, offsets in ts.text_chunks(pc.utf8_lower(batch.column(1))):
+            for lo, hi, data, offsets in ts.text_chunks(pc.utf8_lower(batch.column(1)), PIECE_BYTES):
                 for size in SIZES:
                     grams, at = gram_values(data, offsets, size)
                     who = owners[lo:hi][at]
@@ -209,7 +209,7 @@ def identify(docs: DataFrame, model: Filter | None, keep: list[str]) -> DataFram
         tool: Filter = shared.value
         names = pa.array([*tool.languages, "und"])
         for batch in batches:
-            for lo, hi, data, offsets in ts.text_chunks(pc.utf8_lower(batch.column(where))):
+            for lo, hi, data, offsets in ts.text_chunks(pc.utf8_lower(batch.column(where)), PIECE_BYTES):
                 best, score = tool.predict(data, offsets)
                 letters = batch.column(at).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
                 best = np.where(letters, best, len(tool.languages))

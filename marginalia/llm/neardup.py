@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import textscan as ts
-from marginalia.llm.common import bounded_batches, materialise, ship_package, table, text_of
+from marginalia.llm.common import PIECE_BYTES, bounded_batches, materialise, ship_package, table, text_of
 from marginalia.llm.components import components
 
 WIDTH = 5
@@ -181,7 +181,7 @@ def sketch(docs: DataFrame, weighting: str = "set") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in ts.text_chunks(batch.column(3)):
+            for lo, hi, data, offsets in ts.text_chunks(batch.column(3), PIECE_BYTES):
                 n = hi - lo
                 elements, rows, times = distinct_elements(*shingles(data, offsets))
                 size = np.bincount(rows, minlength=n)
@@ -204,7 +204,7 @@ def element_sets(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in ts.text_chunks(batch.column(1)):
+            for lo, hi, data, offsets in ts.text_chunks(batch.column(1), PIECE_BYTES):
                 elements, rows, _ = distinct_elements(*shingles(data, offsets))
                 edge = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=hi - lo))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(edge), pa.array(elements.view(np.int64)))], ["node", "set"])
