@@ -28,6 +28,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.functions.arrays import running
+from marginalia.functions.text import let
 from marginalia.llm.common import table, text_of
 
 THRESHOLD = 0.8
@@ -171,10 +173,8 @@ def phrase_places(joined: Column, phrase: str) -> Column:
     size = len(phrase.split())
     # Words before a place: those of the earlier parts, and the phrases between them.
     count = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p: F.length(p) - F.length(F.replace(p, F.lit(" "), F.lit(""))) - 1)
-    return F.when(
-        F.contains(marked, F.lit(f" {phrase} ")),
-        F.transform(count, lambda _, i: F.aggregate(F.slice(count, 1, i + 1), F.lit(0), lambda s, c: s + c) + i * size),
-    ).otherwise(F.array().cast("array<int>"))
+    places = let(running(F.transform(count, lambda c: c + size)), lambda before: F.transform(count, lambda c, i: (F.get(before, i) + c).cast("int")))
+    return F.when(F.contains(marked, F.lit(f" {phrase} ")), places).otherwise(F.array().cast("array<int>"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
