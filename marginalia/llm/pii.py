@@ -12,7 +12,9 @@ probability of at least ``KEEP`` that overlap no base span are added.
 
 All patterns run in linear time and without recursion on texts of any length:
 runs start only at their first character (or where the last match ended), and
-repeated groups have a fixed width. Offsets are code points.
+repeated groups have a fixed width or a bound (a domain has at most 127 labels).
+Places, overlaps and replacements are found by running sums, so a text costs no
+more than its length times the logarithm of its matches. Offsets are code points.
 
 Null and empty texts have no spans. Repeated rows give repeated results. With
 no candidates at all the classifier adds nothing. Empty table: empty result.
@@ -25,12 +27,15 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.functions.arrays import running
+from marginalia.functions.text import let
 from marginalia.llm.common import materialise, table, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 KEEP = 0.9
 STEPS = 25
-BEFORE, AFTER = 40, 16
+BEFORE, AFTER = 40, 1
+BLOCK = 512
 
 # Fixed values of the base definition, written so that no text makes them slow:
 #   email [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+   ip [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)
@@ -42,13 +47,13 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 WIDER = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]++(?:\.|\x20?[(\[]dot[)\]]\x20?)[A-Za-z0-9-]++",
-    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[(\[]dot[)\]]\x20?)[A-Za-z0-9-]++){1,126}",
+    "ip": r"(?<![0-9A-Za-z:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
     "phone": r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[.-][0-9]{4}(?![0-9.-])",
 }
 # A cheap test that no text with a match of the kind fails.
 HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][0-9\x20-]{12}", "phone": r"\+[0-9]"}
-WIDER_HINTS = {"email": r"[(\[]at[)\]]", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:", "phone": r"[0-9]{3}[.-][0-9]{4}"}
+WIDER_HINTS = {"email": r"[(\[]at[)\]]", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]{0,4}:", "phone": r"[0-9]{3}[.-][0-9]{4}"}
 
 # Gazetteers.
 TOP_DOMAINS = "com org net edu gov io info biz de fr es uk eu it nl ch at ca us au".split()
@@ -94,25 +99,31 @@ def passes(kind: str, hit: Column) -> Column:
 
 
 def matches(text: Column, kind: str, pattern: str, hint: str, wider: bool) -> Column:
-    """All leftmost matches that do not overlap, with their places and surroundings."""
+    """All leftmost matches that do not overlap, with their places and surroundings; linear in the text."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.split(text, pattern, -1)
+    # A match with the piece before it; the last piece has no match.
     joined = F.zip_with(pieces, hits, lambda p, h: F.struct(p.alias("p"), h.alias("h")))
     code = KINDS.index(kind)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["p"])
-        end = start + F.length(x["h"])
-        # The text after a match is the piece before the next one; it is filled in there.
-        good = F.lit(False) if wider else F.coalesce(passes(kind, x["h"]), F.lit(False))
-        span = F.struct(
-            F.lit(code).alias("kind"), start.alias("start"), end.alias("end"), good.alias("base"), F.lit(wider).alias("wider"),
-            x["h"].alias("hit"), F.right(x["p"], F.lit(BEFORE)).alias("before"), F.substring(text, end + 1, F.lit(AFTER)).alias("after"),
-        )
-        return F.struct(end.alias("at"), F.when(x["h"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"))
+    def spans(parts: Column, at: Column) -> Column:
+        def span(x: Column, i: Column) -> Column:
+            start = F.get(at, i) + F.length(x["p"])
+            following = F.get(parts, i + 1)
+            good = F.lit(False) if wider else F.coalesce(passes(kind, x["h"]), F.lit(False))
+            after = F.concat(F.left(following["p"], F.lit(AFTER)), F.coalesce(F.left(following["h"], F.lit(AFTER)), F.lit("")))
+            return F.struct(
+                F.lit(code).alias("kind"), start.cast("int").alias("start"), (start + F.length(x["h"])).cast("int").alias("end"), good.alias("base"), F.lit(wider).alias("wider"),
+                x["h"].alias("hit"), F.right(x["p"], F.lit(BEFORE)).alias("before"), F.left(after, F.lit(AFTER)).alias("after"),
+            )
+
+        return F.transform(F.slice(parts, 1, F.size(parts) - 1), span)
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-    return F.when(text.rlike(hint), F.aggregate(joined, start, step)["out"]).otherwise(F.array().cast(_SPAN))
+    def placed(parts: Column) -> Column:
+        sizes = F.transform(parts, lambda x: F.length(x["p"]) + F.coalesce(F.length(x["h"]), F.lit(0)))
+        return let(running(sizes), lambda at: spans(parts, at))
+
+    return F.when(text.rlike(hint), let(joined, placed).cast(_SPAN)).otherwise(F.array().cast(_SPAN))
 
 
 def found_spans(text: Column) -> Column:
@@ -245,14 +256,46 @@ def learn(described_rows: DataFrame) -> Classifier:
     return Classifier(prior, odds, reliability)
 
 
+def without_overlap(cands: Column, spans: Column) -> Column:
+    """Those of ``cands`` that share no character with any of ``spans``.
+
+    As many spans end at or before the start of a free candidate as start before its end. Both numbers are running
+    sums over the sorted borders of all.
+    """
+
+    def mark(at: Column, order: int, query: Column, starts: int, ends: int) -> Column:
+        return F.struct(at.alias("at"), F.lit(order).alias("order"), query.cast("int").alias("query"), F.lit(starts).alias("starts"), F.lit(ends).alias("ends"))
+
+    marks = F.array_sort(
+        F.concat(
+            F.transform(spans, lambda b: mark(b["start"], 1, F.lit(-1), 1, 0)),
+            F.transform(spans, lambda b: mark(b["end"], 0, F.lit(-1), 0, 1)),
+            F.transform(cands, lambda c, i: mark(c["start"], 1, 2 * i, 0, 0)),
+            F.transform(cands, lambda c, i: mark(c["end"], 0, 2 * i + 1, 0, 0)),
+        )
+    )
+
+    def answered(m: Column, ended: Column, started: Column) -> Column:
+        value = lambda x, j: F.struct(x["query"].alias("query"), F.when(x["query"] % 2 == 0, F.get(ended, j)).otherwise(F.get(started, j)).alias("n"))
+        numbers = F.array_sort(F.filter(F.transform(m, value), lambda x: x["query"] >= 0))
+        return let(numbers, lambda n: F.filter(cands, lambda c, i: F.get(n, 2 * i)["n"] == F.get(n, 2 * i + 1)["n"]))
+
+    def counted(m: Column) -> Column:
+        # Ends sort before starts of the same place, so spans that touch a candidate do not overlap it.
+        ended, started = running(F.transform(m, lambda x: x["ends"])), running(F.transform(m, lambda x: x["starts"]))
+        return let(ended, lambda e: let(started, lambda s: answered(m, e, s)))
+
+    return F.when((F.size(cands) > 0) & (F.size(spans) > 0), let(marks, counted)).otherwise(cands)
+
+
 def decided(rows: DataFrame, model: Classifier) -> DataFrame:
     """Add ``base`` and ``all`` spans (kind, start, end), each in the order of (start, kind)."""
     plain = lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"))
     base = F.array_sort(F.transform(F.filter("cands", lambda c: c["base"]), plain))
-    likely = F.filter("cands", lambda c: c["wider"] & (model.probability(c) >= KEEP))
+    likely = F.transform(F.filter("cands", lambda c: c["wider"] & (model.probability(c) >= KEEP)), plain)
     with_base = rows.withColumn("base", base).withColumn("__likely", likely)
-    free = F.filter("__likely", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return with_base.withColumn("all", F.array_sort(F.concat("base", F.transform(free, plain)))).drop("__likely")
+    free = without_overlap(F.col("__likely"), F.col("base"))
+    return with_base.withColumn("all", F.array_sort(F.concat("base", free))).drop("__likely")
 
 
 def spelled(spans: str) -> Column:
@@ -272,22 +315,51 @@ def _count(kind: int) -> Column:
     return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
 
 
+def covered(spans: Column) -> Column:
+    """Merged spans (start, kind, end), each with the kind of its first; spans that only touch stay apart."""
+    marks = F.array_sort(
+        F.concat(
+            F.transform(spans, lambda s: F.struct(s["start"].alias("at"), F.lit(1).alias("step"), s["kind"].alias("kind"))),
+            F.transform(spans, lambda s: F.struct(s["end"].alias("at"), F.lit(-1).alias("step"), s["kind"].alias("kind"))),
+        )
+    )
+
+    def merged(m: Column, held: Column) -> Column:
+        opening = F.filter(m, lambda x, j: (x["step"] == 1) & (F.get(held, j) == 0))
+        closing = F.filter(m, lambda x, j: (x["step"] == -1) & (F.get(held, j) == 1))
+        return F.zip_with(opening, closing, lambda a, b: F.struct(a["at"].alias("start"), a["kind"].alias("kind"), b["at"].alias("end")))
+
+    return let(marks, lambda m: let(running(F.transform(m, lambda x: x["step"])), lambda held: merged(m, held)))
+
+
+def replaced(text: Column, spans: Column) -> Column:
+    """The text with every merged span replaced by its kind in brackets.
+
+    The text is cut into blocks once, so that no piece is looked up from the start of the text.
+    """
+    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+
+    def between(blocks: Column, first: Column, last: Column) -> Column:
+        low = F.floor(first / BLOCK).cast("int")
+        near = F.array_join(F.slice(blocks, low + 1, F.floor(last / BLOCK).cast("int") - low + 1), "")
+        return F.substring(near, first - low * BLOCK + 1, last - first)
+
+    def joined(blocks: Column, groups: Column) -> Column:
+        ended = lambda i: F.coalesce(F.get(groups, i - 1)["end"], F.lit(0))
+        parts = F.transform(groups, lambda g, i: F.concat(between(blocks, ended(i), g["start"]), F.element_at(names, g["kind"] + 1)))
+        return F.concat(F.array_join(parts, ""), between(blocks, ended(F.size(groups)), F.length(text)))
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return let(blocks, lambda b: let(covered(spans), lambda g: joined(b, g)))
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """Documents with every span replaced by its kind in brackets; n_chars follows. Overlapping spans are replaced once."""
     model = learn(described(docs, ["doc_id"]))
     whole_row = docs.select(F.struct(*docs.columns).alias("__row"), F.col("text"), text_of().alias("__text"))
     rows = decided(described(whole_row, ["__row", "__text", "text"]), model)
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        out = F.concat(acc["out"], F.substring(F.col("__text"), acc["at"] + 1, s["start"] - acc["at"]), F.element_at(names, s["kind"] + 1))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, out).otherwise(acc["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    whole = F.aggregate("all", start, step, lambda a: F.concat(a["out"], F.substring(F.col("__text"), a["at"] + 1, F.length("__text"))))
     found = F.size("all") > 0
-    clean = rows.withColumn("__clean", F.when(found, whole).otherwise(F.col("text")))
+    clean = rows.withColumn("__clean", F.when(found, replaced(F.col("__text"), F.col("all"))).otherwise(F.col("text")))
     own = {c: F.col("__row")[c] for c in docs.columns}
     own["text"] = F.col("__clean")
     if "n_chars" in own:
