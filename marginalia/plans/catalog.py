@@ -26,6 +26,7 @@ from marginalia.functions.text import (
 )
 from marginalia.operators import edits, fuzzy, links, notes, overview, vectors, workflow
 from marginalia.operators.chunks import chunk_notes, outline, read_sections
+from marginalia.operators.diff import line_changes
 from marginalia.operators.headings import heading_trails
 from marginalia.operators.hints import with_hints
 from marginalia.operators.search import fragment_search, global_search, score_rows
@@ -734,6 +735,15 @@ def diff_preview(spark, sf):
     return rows.select("path", added.alias("added"), removed.alias("removed"))
 
 
+@query
+def diff_lines(spark, sf):
+    """Removed and added lines of whole texts whose second line was rewritten."""
+    lines = F.split("text", "\n", -1)
+    edited = F.array_join(F.transform(lines, lambda x, i: F.when(i == 1, F.concat(F.lit("Edited "), F.reverse(x))).otherwise(x)), "\n")
+    rows = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("old_content"), edited.alias("content"))
+    return line_changes(rows).select("path", "kind", "line_number", md5("text").alias("text_md5"))
+
+
 def _batch_ops(spark, sf):
     return table(spark, sf, "documents").select(
         F.expr("doc_id div 10").alias("batch_id"),

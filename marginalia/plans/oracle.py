@@ -310,6 +310,9 @@ SELECT pos, path, heading, md5(got) AS content_md5, got IS NOT NULL AS found, CA
         CASE WHEN doc_id % 5 = 0 THEN 'BLOCK_NOT_FOUND' END AS error_code FROM vault, m""",
     "patch_missing_block": f"SELECT {DOC_PATH} AS path, CAST(NULL AS VARCHAR) AS content, 'BLOCK_NOT_FOUND' AS error_code FROM documents",
     "diff_preview": f"SELECT {DOC_PATH} AS path, 2 AS added, 0 AS removed FROM documents",
+    "diff_lines": """WITH t AS (SELECT CAST(doc_id AS VARCHAR) AS path, string_split(text, chr(10))[2] AS x FROM documents WHERE text LIKE '%' || chr(10) || '%'),
+        e AS (SELECT path, x, 'Edited ' || reverse(x) AS y FROM t WHERE x <> 'Edited ' || reverse(x))
+        SELECT path, '-' AS kind, 2 AS line_number, md5(x) AS text_md5 FROM e UNION ALL SELECT path, '+', 2, md5(y) FROM e""",
     "batch_edit": f"{BATCH} SELECT * FROM results",
     "batch_summary": f"""{BATCH} SELECT batch_id, (SELECT count(*) FROM ops o WHERE o.batch_id = r.batch_id) AS total_requested,
         count(*) FILTER (status = 'success') AS total_succeeded, count(*) FILTER (status = 'error') AS total_failed,
