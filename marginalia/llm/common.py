@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marginalia.session import materialise, shared_dir, ship_package
+from marginalia.session import bounded_batches, materialise, shared_dir, ship_package
 
 __all__ = ["PIECE_BYTES", "bounded_batches", "first_by_hash", "is_held_out", "join_small", "materialise", "row_hash", "shared_dir", "ship_package", "slot_in_group", "table", "text_of"]
 
@@ -26,17 +26,10 @@ BROADCAST_ROWS = 200_000
 SLICE_ROWS = 20_000
 
 
-# Arrow batches end at this size or with the row that passes it.
-BATCH_BYTES = 4 << 20
 # Texts looked at together inside a batch by operators with wide temporaries.
 PIECE_BYTES = 512 << 10
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session by bytes, since rows may hold very long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
