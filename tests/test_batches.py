@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.functions.batches import by_pieces, pieces
-from marginalia.functions.markdown import parse_blocks
+from marginalia.functions.markdown import parse_blocks, parse_chunks
 from marginalia.session import BATCH_BYTES
 
 
@@ -49,7 +49,7 @@ def test_pieces_cover_all_rows():
     assert len(by_pieces(lambda xs: pa.array(xs, pa.string()), texts.slice(0, 0))) == 0
 
 
-@pytest.mark.parametrize("parse", [parse_blocks])
+@pytest.mark.parametrize("parse", [parse_blocks, parse_chunks])
 def test_parsing_does_not_hold_the_batch(parse):
     small, large = notes(200), notes(1000)
     assert peak(lambda: parse.func(large)) < 2 * peak(lambda: parse.func(small))
