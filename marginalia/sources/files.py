@@ -13,6 +13,7 @@ import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,6 +28,9 @@ from marginalia.session import materialise
 SETTLE_MS = 100
 # Bytes of notes that one reading task gets at most, on average.
 TASK_BYTES = 64 << 20
+# Entries of a listing, and bytes of notes, that leave a task together.
+LISTED = 2_000
+READ_BYTES = 1 << 20
 LISTING = "path string, size_bytes long, modified_at timestamp"
 
 
@@ -66,13 +70,9 @@ def walk(spark: SparkSession, root: str, tops: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["path", "kind", "size_bytes", "modified_at", "error"]
         for batch in batches:
-            rows = []
-            for folder in batch["folder"]:
-                rows += _entries(base, folder)
-                if len(rows) >= 10_000:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows = []
-            yield pd.DataFrame(rows, columns=columns)
+            rows = chain.from_iterable(_entries(base, folder) for folder in batch["folder"])
+            while part := list(islice(rows, LISTED)):
+                yield pd.DataFrame(part, columns=columns)
 
     found, frontier = [], tops.select("folder").distinct()
     while True:
@@ -88,24 +88,23 @@ def walk(spark: SparkSession, root: str, tops: DataFrame) -> DataFrame:
     return out
 
 
-def _entries(base: str, folder: str) -> list[tuple]:
-    """Notes and folders directly in one folder, and what could not be read."""
-    rows, empty = [], (None, None)
+def _entries(base: str, folder: str) -> Iterator[tuple]:
+    """Notes and folders directly in one folder, and what could not be read; a folder is never held whole."""
+    empty = (None, None)
     try:
         with os.scandir(os.path.join(base, folder)) as entries:
             for entry in entries:
                 path = os.path.relpath(entry.path, base)
                 try:
                     if entry.is_dir(follow_symlinks=False):
-                        rows.append((path, "folder", *empty, None))
+                        yield path, "folder", *empty, None
                     elif entry.is_file(follow_symlinks=False) and entry.name.endswith(".md"):
                         info = entry.stat(follow_symlinks=False)
-                        rows.append((path, "file", info.st_size, pd.Timestamp(info.st_mtime_ns // 1000, unit="us", tz="UTC"), None))
+                        yield path, "file", info.st_size, pd.Timestamp(info.st_mtime_ns // 1000, unit="us", tz="UTC"), None
                 except OSError as exc:
-                    rows.append((path, "error", *empty, exc.strerror))
+                    yield path, "error", *empty, exc.strerror
     except OSError as exc:
-        rows.append((folder, "error", *empty, exc.strerror))
-    return rows
+        yield folder, "error", *empty, exc.strerror
 
 
 def list_files(spark: SparkSession, root: str, directory: str | None = None) -> DataFrame:
@@ -147,10 +146,13 @@ def read_files(spark: SparkSession, root: str, listing: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for start in range(0, len(batch), 64):
-                part = batch.iloc[start : start + 64].copy()
-                part["content"] = [_content(base, p) for p in part["path"]]
-                yield part
+            start, held, size = 0, [], 0
+            for end, path in enumerate(batch["path"], 1):
+                held.append(_content(base, path))
+                size += len(held[-1] or "")
+                if size >= READ_BYTES or end == len(batch):
+                    yield batch.iloc[start:end].assign(content=held)
+                    start, held, size = end, [], 0
 
     tasks = spark.sparkContext.defaultParallelism
     if "size_bytes" in listing.columns:
