@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marginalia.functions.arrays import running
+from marginalia.functions.batches import by_pieces
 from marginalia.functions.markdown import list_array, parse_note
 from marginalia.functions.paths import file_name, path_key
 from marginalia.functions.text import let, unnest
@@ -69,7 +70,11 @@ def _links_of(path: str, text: str) -> list[tuple]:
 @F.arrow_udf(FOUND)
 def scan_links(path: pa.Array, content: pa.Array) -> pa.Array:
     """Inline links of each note; a NULL text has none."""
-    notes = [_links_of(p, c) if c else [] for p, c in zip(path.to_pylist(), content.to_pylist())]
+    return by_pieces(_link_arrays, content, path)
+
+
+def _link_arrays(contents: list[str | None], paths: list[str]) -> pa.Array:
+    notes = [_links_of(p, c) if c else [] for p, c in zip(paths, contents)]
     flat = [link for links in notes for link in links]
     types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
     columns = [pa.array([x[i] for x in flat], t) for i, t in enumerate(types)]
