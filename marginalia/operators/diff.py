@@ -13,12 +13,16 @@ version is an empty one. Equal versions have no rows.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Callable
+from itertools import compress
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marginalia.functions.text import let, unnest
+
 
 def increasing(values: list[int]) -> list[bool]:
     """Which values form a longest increasing run."""
@@ -36,54 +40,103 @@ def increasing(values: list[int]) -> list[bool]:
     return kept
 
 
-@F.arrow_udf(T.ArrayType(T.BooleanType()))
-def in_order(places: pa.Array) -> pa.Array:
-    return pa.array([increasing(x) for x in places.to_pylist()], pa.list_(pa.bool_()))
+# A pair of places is one long.
+PLACE_BITS = 31
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def in_order(pairs: pa.Array) -> pa.Array:
+    """Pairs (old place, new place), sorted by the old one, of a longest run that keeps the order of the new one."""
+    mask = (1 << PLACE_BITS) - 1
+    out = []
+    for own in pairs:
+        packed = own.as_py()
+        out.append(list(compress(packed, increasing([p & mask for p in packed]))))
+    return pa.array(out, pa.list_(pa.int64()))
+
+
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+
+
+def unique_pairs(old: Column, new: Column) -> Column:
+    """Places of the lines that occur once in both versions, packed, in the order of the old one.
+
+    The lines of both are sorted together: such a line has one neighbour equal to it, behind it and of the other version.
+    """
+
+    def marked(lines: Column, is_new: bool) -> Column:
+        return F.transform(lines, lambda x, i: F.struct(x.alias("line"), F.lit(is_new).alias("new"), i.alias("at")))
+
+    def pairs(s: Column) -> Column:
+        def pair(x: Column, i: Column) -> Column:
+            after = F.get(s, i + 1)
+            alone = ~x["new"] & after["new"] & (after["line"] == x["line"])
+            # The place before the first is none: an index below zero gives null.
+            alone = alone & ~F.get(s, i - 1)["line"].eqNullSafe(x["line"]) & ~F.get(s, i + 2)["line"].eqNullSafe(x["line"])
+            return F.when(alone, F.shiftleft(x["at"].cast("long"), PLACE_BITS) + after["at"])
+
+        return F.sort_array(F.filter(F.transform(s, pair), lambda p: p.isNotNull()))
 
+    return let(F.sort_array(F.concat(marked(old, False), marked(new, True))), pairs)
 
-def _lines(rows: DataFrame, column: str, new: bool) -> DataFrame:
-    text = F.coalesce(F.col(column), F.lit(""))
-    return rows.select("path", F.lit(new).alias("new"), F.posexplode(F.split(text, "\n", -1)).alias("at", "line"))
 
+def _stretches(kept: Column, old: Column, new: Column) -> Column:
+    """Bounds (from, before) of each stretch on both sides; an anchor begins the stretch behind it."""
 
-def _once(new: bool) -> list[Column]:
-    own = F.col("new") == new
-    name = "new" if new else "old"
-    return [F.count_if(own).alias(f"n_{name}"), F.max(F.when(own, F.col("at"))).alias(f"{name}_at")]
+    def ends(k: Column) -> Column:
+        return F.transform(k, lambda p: F.struct(F.shiftright(p, PLACE_BITS).cast("int").alias("o"), p.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int").alias("n")))
 
+    zero = F.array(F.struct(F.lit(0).alias("o"), F.lit(0).alias("n")))
+    last = F.array(F.struct(F.size(old).alias("o"), F.size(new).alias("n")))
+    return let(F.concat(zero, ends(kept), last), lambda e: F.transform(F.slice(e, F.lit(1), F.size(e) - 1), lambda x, i: F.struct(i.cast("bigint").alias("stretch"), x["o"].alias("o"), x["n"].alias("n"), F.get(e, i + 1)["o"].alias("o_end"), F.get(e, i + 1)["n"].alias("n_end"))))
 
-def anchors(lines: DataFrame) -> DataFrame:
-    """Anchors of each path: ``path, old_at, new_at``."""
-    unique = lines.groupBy("path", "line").agg(*_once(False), *_once(True)).filter("n_old = 1 AND n_new = 1")
-    pairs = unique.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("old_at", "new_at"))).alias("pairs"))
-    marked = pairs.select("path", "pairs", in_order(F.transform("pairs", lambda p: p["new_at"])).alias("kept"))
-    return marked.select("path", F.explode(F.arrays_zip("pairs", "kept")).alias("x")).filter("x.kept").select("path", "x.pairs.*")
+
+def _upto(n: Column) -> Column:
+    """0, 1 ... n - 1; no element where n is 0."""
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _changed(v: Column) -> Column:
+    """Removed and added lines of a row with ``old``, ``new`` (lines) and its ``stretches``."""
+    old, new = v["old"], v["new"]
+
+    def first_difference(n: Column, differ: Callable[[Column], Column]) -> Column:
+        return F.coalesce(F.array_min(F.filter(_upto(n), differ)), n)
+
+    def left(x: Column) -> Column:
+        def cut(c: Column) -> Column:
+            def side(lines: Column, kind: str, start: str, end: str) -> Column:
+                count = x[end] - x[start] - c["front"] - c["back"]
+                first = x[start] + c["front"]
+                return F.transform(_upto(count), lambda j: F.struct(x["stretch"].alias("stretch"), F.lit(kind).alias("kind"), (first + j + 1).alias("line_number"), F.get(lines, first + j).alias("text")))
+
+            return F.concat(side(old, "-", "o", "o_end"), side(new, "+", "n", "n_end"))
+
+        def with_back(front: Column) -> Column:
+            # A line must not count for the front and for the back.
+            back = first_difference(shorter - front, lambda j: F.get(old, x["o_end"] - 1 - j) != F.get(new, x["n_end"] - 1 - j))
+            return let(F.struct(front.alias("front"), back.alias("back")), cut)
+
+        shorter = F.least(x["o_end"] - x["o"], x["n_end"] - x["n"])
+        return let(first_difference(shorter, lambda j: F.get(old, x["o"] + j) != F.get(new, x["n"] + j)), with_back)
+
+    return F.flatten(F.transform(v["stretches"], left))
 
 
 def line_changes(rows: DataFrame) -> DataFrame:
-    """Removed (``-``) and added (``+``) lines: ``path, stretch, kind, line_number, text``, numbers from 1 in their own version."""
+    """Removed (``-``) and added (``+``) lines: ``path, stretch, kind, line_number, text``, numbers from 1 in their own version.
+
+    All of it happens inside the row, so nothing is shuffled; the work grows with the lines (and their sorting).
+    """
     # An update that changes nothing needs no lines.
     differing = rows.filter(~F.coalesce("old_content", F.lit("")).eqNullSafe(F.coalesce("content", F.lit(""))))
-    lines = _lines(differing, "old_content", False).unionByName(_lines(differing, "content", True))
-    both = anchors(lines).select("path", F.explode(F.array(F.struct(F.lit(False).alias("new"), F.col("old_at").alias("at")), F.struct(F.lit(True).alias("new"), F.col("new_at").alias("at")))).alias("m"))
-    marked = lines.join(both.select("path", "m.*", F.lit(1).alias("anchor")), ["path", "new", "at"], "left")
-    side = Window.partitionBy("path", "new")
-    cut = marked.withColumn("stretch", F.coalesce(F.sum("anchor").over(side.orderBy("at")), F.lit(0)))
-    own = Window.partitionBy("path", "new", "stretch")
-    size = F.count(F.lit(1)).over(own)
-    front = F.col("at") - F.min("at").over(own)
-    placed = cut.select("path", "new", "stretch", "at", "line", front.alias("front"), (size - 1 - front).alias("back"))
-
-    def equal_run(order: str) -> DataFrame:
-        pair = placed.groupBy("path", "stretch", order).agg(((F.count(F.lit(1)) == 2) & (F.min("line") == F.max("line"))).alias("same"))
-        return pair.groupBy("path", "stretch").agg(F.coalesce(F.min(F.when(~F.col("same"), F.col(order))), F.max(order) + 1).alias(f"{order}_run"))
-
-    shorter = placed.groupBy("path", "stretch").agg(F.least(F.count_if("new"), F.count_if(~F.col("new"))).alias("shorter"))
-    runs = equal_run("front").join(equal_run("back"), ["path", "stretch"]).join(shorter, ["path", "stretch"])
-    # A line must not count for the front and for the back.
-    runs = runs.withColumn("back_run", F.least("back_run", F.col("shorter") - F.col("front_run")))
-    left = placed.join(runs, ["path", "stretch"]).filter((F.col("front") >= F.col("front_run")) & (F.col("back") >= F.col("back_run")))
-    return left.select("path", "stretch", F.when(F.col("new"), "+").otherwise("-").alias("kind"), (F.col("at") + 1).alias("line_number"), F.col("line").alias("text"))
+    # Each generator keeps what it gives a plain column: lines and pairs are found once, and the Python function stays out of the lambdas.
+    split = unnest(differing, F.array(F.struct(_lines(F.col("old_content")).alias("old"), _lines(F.col("content")).alias("new"))), "path")
+    paired = unnest(split, F.array(F.struct("old", "new", unique_pairs(F.col("old"), F.col("new")).alias("pairs"))), "path")
+    kept = paired.select("path", "old", "new", in_order("pairs").alias("kept"))
+    both = F.struct("old", "new", _stretches(F.col("kept"), F.col("old"), F.col("new")).alias("stretches"))
+    return unnest(kept, let(both, _changed), "path")
 
 
 def hunks(changes: DataFrame) -> DataFrame:

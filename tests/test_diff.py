@@ -49,3 +49,11 @@ def test_hunks_of_a_small_edit(spark):
     changes = line_changes(spark.createDataFrame([("n", old, new)], "path string, old_content string, content string"))
     got = sorted((r.n_removed, r.removed_from, r.n_added, r.added_from) for r in hunks(changes).collect())
     assert got == [(1, 6, 2, 6), (1, 31, 0, None)]
+
+
+def test_lines_are_not_shuffled(spark):
+    rows = spark.createDataFrame([("n", "a\nb", "a\nc"), ("n", "x", "y")], "path string, old_content string, content string")
+    changes = line_changes(rows)
+    assert "Exchange" not in changes._jdf.queryExecution().executedPlan().toString()
+    # Two versions of one path stay two differences.
+    assert sorted((r.kind, r.text) for r in changes.collect()) == [("+", "c"), ("+", "y"), ("-", "b"), ("-", "x")]
