@@ -506,7 +506,8 @@ def wikilink_names(spark, sf):
 
 @query
 def wikilink_resolve(spark, sf):
-    found = links.resolve(links.wikilinks(vault(spark, sf)), vault_listing(spark, sf), ["path", "off"])
+    # Resolving needs the links several times; the notes should be read and searched once.
+    found = links.resolve(materialise(links.wikilinks(vault(spark, sf)), "links"), vault_listing(spark, sf), ["path", "off"])
     return found.groupBy("target", "resolved").agg(F.count(F.lit(1)).alias("n"))
 
 

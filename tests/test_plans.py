@@ -51,3 +51,8 @@ def test_notes_without_the_terms_are_not_parsed(spark):
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["path", "chunk_idx", "score", "word_count", "text_md5"] and df.count() == 20
+
+
+def test_links_are_found_once(spark):
+    # Resolving reads the links several times; none of these reads searches the notes again.
+    assert "regexp_extract_all" not in plan(entry.queries()["wikilink_resolve"](spark, SF))
