@@ -32,10 +32,12 @@ from marginalia.llm.common import BROADCAST_ROWS, join_small, materialise, table
 WINDOW, GRAM = 10, 5
 # Fingerprints (one long each) up to this number are broadcast, some 64 MB; more are joined by a shuffle.
 BROADCAST_PRINTS = 2_000_000
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+# Characters of words, one by one: Java looks single ones up in a table, and tests ranges and complements one after the other.
+BEYOND_ASCII = r"\x{80}-\x{10FFFF}"
+WORD = f"[{LOWER}{DIGITS}{BEYOND_ASCII}]+"
 # The same words in a text whose capital letters still stand.
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+RAW_WORD = f"[{LOWER}{UPPER}{DIGITS}{BEYOND_ASCII}]+"
 # A fingerprint is packed with its place: no text has more than 2^30 words.
 PLACE_BITS = 30
 
