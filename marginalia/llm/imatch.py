@@ -39,7 +39,7 @@ _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 def term_hashes(text: Column) -> Column:
     """The distinct terms of a text as 64-bit hashes."""
-    words = F.filter(F.split(F.lower(text), _SEPARATORS), lambda w: w != "")
+    words = F.array_remove(F.split(F.lower(text), _SEPARATORS), "")
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
@@ -95,18 +95,20 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), n - half), F.substring(following, F.lit(1), half))
 
 
-def fingerprint(terms: Column, own: Column) -> Column:
-    """Entries of a sorted array of (term, mask); ``own`` stands in where no lexicon term is present."""
-    entries = []
-    for j in range(SUBSETS):
-        part = F.transform(_subset(terms, j), lambda t: t["term"])
-        code = F.lower(F.lpad(F.hex(F.xxhash64(part).bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
-        entries.append(F.when(F.size(part) > 0, code).otherwise(F.lit("-")))
-    return F.when(F.size(terms) > 0, F.concat_ws(",", *entries)).otherwise(own)
+def fingerprint(terms: Column, present: Column, own: Column) -> Column:
+    """Entries of a sorted array of (term, mask); ``own`` stands in where no lexicon term is present.
+
+    One nested transform over the subsets: an expression for each subset would
+    be compiled into one method of thousands of lines.
+    """
+    subsets = F.array(*[F.lit(1 << j) for j in range(SUBSETS)])
+    parts = F.transform(subsets, lambda bit: F.transform(F.filter(terms, lambda t: t["mask"].bitwiseAND(bit) != 0), lambda t: t["term"]))
+    entries = F.transform(parts, lambda part: F.when(F.size(part) > 0, _code(part)).otherwise(F.lit("-")))
+    return F.when(present, F.array_join(entries, ",")).otherwise(own)
 
 
-def _subset(terms: Column, j: int) -> Column:
-    return F.filter(terms, lambda t: t["mask"].bitwiseAND(F.lit(1 << j)) != 0)
+def _code(part: Column) -> Column:
+    return F.lower(F.lpad(F.hex(F.xxhash64(part).bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -121,32 +123,36 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = docs.count()
     words = lexicon(docs, rows)
     size = words.count()
-    ordered = in_order(docs, rows)
-    changed = ordered.withColumn("__edited", edited(F.col("text"), F.col("next_text")))
-    # The first element of a text's list carries its facts; the terms follow.
-    item = "array<struct<term:bigint,own:bigint,sha:string>>"
-
-    def items(text: Column, sha: Column) -> Column:
-        terms = term_hashes(text)
-        own = F.xxhash64(F.array_sort(terms))
-        return F.concat(F.array(F.struct(F.lit(None).cast("bigint").alias("term"), own.alias("own"), sha.alias("sha"))), F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(None).cast("bigint").alias("own"), F.lit(None).cast("string").alias("sha")))).cast(item)
-
-    texts = F.array(F.struct(F.lit(0).alias("which"), items(F.col("text"), F.lit("")).alias("items")), F.struct(F.lit(1).alias("which"), items(F.col("__edited"), F.sha2("__edited", 256)).alias("items")))
-    flat = changed.select("__bucket", "__row", "doc_id", F.length("text").alias("n_chars"), F.explode(texts).alias("x"))
-    flat = flat.select("__bucket", "__row", "doc_id", "n_chars", "x.which", F.explode("x.items").alias("i")).select("__bucket", "__row", "doc_id", "n_chars", "which", "i.term", "i.own", "i.sha")
+    changed = in_order(docs, rows).withColumn("__edited", edited(F.col("text"), F.col("next_text")))
+    # Terms are columns of their own, so that each text is split once.
+    split = changed.select("__bucket", "__row", "doc_id", F.length("text").alias("n_chars"), F.sha2("__edited", 256).alias("sha"), term_hashes(F.col("text")).alias("a"), term_hashes(F.col("__edited")).alias("b"))
+    # Both texts share most terms: a term is one row, with a bit for each text that has it. The first row carries the facts.
+    owns = [F.xxhash64(F.sort_array(c)).alias(f"own_{c}") for c in ("a", "b")]
+
+    def items(terms: Column, bits: int) -> Column:
+        return F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(bits).alias("bits")))
+
+    sides = [items(F.array_intersect("a", "b"), 3), items(F.array_except("a", "b"), 1), items(F.array_except("b", "a"), 2)]
+    item = F.concat(F.array(F.struct(F.lit(None).cast("bigint").alias("term"), F.lit(0).alias("bits"))), *sides)
+    facts = ["doc_id", "n_chars", "sha", "own_a", "own_b"]
+    flat = split.select("__bucket", "__row", "doc_id", "n_chars", "sha", *owns, F.explode(item).alias("i"))
+    flat = flat.select("__bucket", "__row", "i.term", "i.bits", *[F.when(F.col("i.bits") == 0, F.col(c)).alias(c) for c in facts])
     known = words.select(F.col("term").alias("__t"), "mask")
     known = F.broadcast(known) if size <= LEXICON_ROWS else known
-    met = flat.join(known, flat["term"] == known["__t"], "left").filter("mask IS NOT NULL OR own IS NOT NULL")
-    listed = met.groupBy("__bucket", "__row", "which").agg(
-        F.sort_array(F.collect_list(F.when(F.col("mask").isNotNull(), F.struct("term", "mask")))).alias("terms"),
-        F.max("own").alias("own"), F.max("sha").alias("sha"), F.max("doc_id").alias("doc_id"), F.max("n_chars").alias("n_chars"),
-    )
-    own = F.array_join(F.array_repeat(F.concat(F.lit("x"), F.lower(F.hex("own"))), SUBSETS), ",")
-    printed = listed.select("__bucket", "__row", "which", "doc_id", "n_chars", "sha", fingerprint(F.col("terms"), own).alias("f"))
-    both = printed.groupBy("__bucket", "__row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_chars").alias("n_chars"), F.max("sha").alias("edited_sha256"),
-        F.max(F.when(F.col("which") == 0, F.col("f"))).alias("fingerprint"), F.max(F.when(F.col("which") == 1, F.col("f"))).alias("edited_fingerprint"),
+    met = flat.join(known, flat["term"] == known["__t"], "left").filter("mask IS NOT NULL OR bits = 0")
+    # Terms of no subset count as present and are not listed.
+    listed = met.groupBy("__bucket", "__row").agg(
+        F.sort_array(F.collect_list(F.when(F.col("mask") != 0, F.struct("term", "mask", "bits")))).alias("terms"), F.bit_or("bits").alias("present"), *[F.max(c).alias(c) for c in facts]
     )
+
+    def has(bits: Column, bit: int) -> Column:
+        return bits.bitwiseAND(F.lit(bit)) != 0
+
+    def printed(side: str, bit: int) -> Column:
+        own = F.array_join(F.array_repeat(F.concat(F.lit("x"), F.lower(F.hex(f"own_{side}"))), SUBSETS), ",")
+        return fingerprint(F.filter("terms", lambda t: has(t["bits"], bit)), has(F.col("present"), bit), own)
+
+    both = listed.select("__bucket", "__row", "doc_id", "n_chars", F.col("sha").alias("edited_sha256"), printed("a", 1).alias("fingerprint"), printed("b", 2).alias("edited_fingerprint"))
     return materialise(both, "fingerprints")
 
 
