@@ -308,10 +308,23 @@ def keep_one(docs: DataFrame) -> DataFrame:
     winner = found.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "t1", "t2")).alias("w")).select("w.doc_id", "w.t1", "w.t2")
     winner = winner.select(F.col("doc_id").alias("__id"), F.col("t1").alias("__w1"), F.col("t2").alias("__w2"))
     keyed = docs.withColumn("__t1", F.xxhash64(text_of())).withColumn("__t2", F.crc32(text_of().cast("binary")))
-    test = keyed["doc_id"].eqNullSafe(winner["__id"]) & (keyed["__t1"] == winner["__w1"]) & (keyed["__t2"] == winner["__w2"])
-    kept = keyed.join(winner, test, "left_semi")
-    # Repeated rows (equal id and text) are one group too.
-    return kept.dropDuplicates(["doc_id", "__t1", "__t2"]).select(*[F.col(c) for c in docs.columns])
+
+    def stay(rows: DataFrame, won: DataFrame, keys: list[tuple[str, str]]) -> DataFrame:
+        """Repeated rows (equal id and text) are one group too; they meet before the texts are moved.
+
+        The join is on the columns of that grouping, so it takes its partitions: texts are shuffled once.
+        Equality that also matches nulls would be on other expressions and shuffle them again.
+        """
+        single = rows.dropDuplicates([mine for mine, _ in keys])
+        test = F.lit(True)
+        for mine, theirs in keys:
+            test = test & (single[mine] == won[theirs])
+        return single.join(won, test, "left_semi")
+
+    texts = [("__t1", "__w1"), ("__t2", "__w2")]
+    known = stay(keyed.filter("doc_id IS NOT NULL"), winner.filter("__id IS NOT NULL"), [("doc_id", "__id"), *texts])
+    unknown = stay(keyed.filter("doc_id IS NULL"), winner.filter("__id IS NULL"), texts)
+    return known.unionByName(unknown).select(*[F.col(c) for c in docs.columns])
 
 
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
